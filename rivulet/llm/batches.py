@@ -65,21 +65,31 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (multiply and xor-shift, twice)."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
     x *= ODD
-    return x ^ (x >> np.uint64(32))
+    x ^= x >> np.uint64(32)
+    return x
 
 
-def powers(n: int, base: int = 0x5851F42D4C957F2D) -> np.ndarray:
-    """base^0 .. base^n modulo 2^64."""
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_POWERS: dict[int, np.ndarray] = {}
+_BASE = 0x5851F42D4C957F2D
 
 
-def inverse_powers(n: int, base: int = 0x5851F42D4C957F2D) -> np.ndarray:
-    return powers(n, pow(base, -1, 1 << 64))
+def powers(n: int, base: int = _BASE) -> np.ndarray:
+    """base^0 .. base^n modulo 2^64; kept for the next call."""
+    held = _POWERS.get(base)
+    if held is None or len(held) <= n:
+        out = np.full(max(n + 1, 1 << 16), base, np.uint64)
+        out[0] = 1
+        held = np.multiply.accumulate(out)
+        if n < 1 << 22:
+            _POWERS[base] = held
+    return held[: n + 1]
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    return powers(n, pow(_BASE, -1, 1 << 64))
 
 
 class Spans:
@@ -87,7 +97,8 @@ class Spans:
 
     def __init__(self, words: np.ndarray):
         n = len(words)
-        self.sums = np.zeros(n + 1, np.uint64)
+        self.sums = np.empty(n + 1, np.uint64)
+        self.sums[0] = 0
         np.cumsum(words * powers(n)[:n], out=self.sums[1:])
         self.back = inverse_powers(n)
 

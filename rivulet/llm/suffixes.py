@@ -40,6 +40,8 @@ from .store import materialize
 LENGTH, TOKEN = 100, 37
 #: Suffixes of a bucket, about; second-level suffixes, which carry text.
 BUCKET, TEXT_BUCKET = 400_000, 100_000
+#: Bytes of text hashed at once: the arrays made of them stay in a core's cache.
+CACHED_BYTES = 1 << 16
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 _DOC_BITS = 20  # of a text's hash, beside a start below 2^31, distinguish texts that share a doc_id
@@ -109,20 +111,34 @@ def _unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return place >> (_DOC_BITS + 12), place >> 12 & ((1 << _DOC_BITS) - 1), place >> 6 & 63, place & 63
 
 
+def _units(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([long_array(np.concatenate(c)) for c in zip(*parts)], ["token", "run", "doc", "place"])
+
+
 def suffixes(docs: DataFrame, length: int = LENGTH, token: int = TOKEN) -> DataFrame:
     """The suffixes at anchors: token, run, doc, place. ``docs`` has doc (never null) and text."""
     if not 8 <= token or length - token + 1 > 64:
         raise ValueError("a window may hold 64 tokens of 8 bytes or more")
 
+    def of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        data, ends = flat(batch.column("text"))
+        found = runs_of(data, ends, length, token)
+        ids = batch.column("doc").to_numpy(zero_copy_only=False)
+        tag = _tag([data[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])
+        doc, anchor = found["doc"], found["anchor"]
+        place = _place(anchor - ends[doc], tag[doc], anchor - found["last"], anchor - found["first"])
+        return [found["token"], found["run"], ids[doc], place]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            data, ends = flat(batch.column("text"))
-            found = runs_of(data, ends, length, token)
-            ids = batch.column("doc").to_numpy(zero_copy_only=False)
-            tag = _tag([data[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])
-            doc, anchor = found["doc"], found["anchor"]
-            place = _place(anchor - ends[doc], tag[doc], anchor - found["last"], anchor - found["first"])
-            yield pa.RecordBatch.from_arrays([long_array(found["token"]), long_array(found["run"]), long_array(ids[doc]), long_array(place)], ["token", "run", "doc", "place"])
+        held, rows = [], 0
+        for batch in pieces(batches, limit=CACHED_BYTES):
+            held.append(of(batch))
+            rows += len(held[-1][0])
+            if rows > 50_000:
+                yield _units(held)
+                held, rows = [], 0
+        if held:
+            yield _units(held)
 
     return docs.select("doc", "text").mapInArrow(run, _UNITS)
 
@@ -276,16 +292,14 @@ def _windows(table: pa.Table, cols: list[np.ndarray], rows: np.ndarray, group: n
     at = ends[own] + step
     w1 = Spans(mix(words))(at, at + length - 7)
     lo = start[own] - far[own] + step
-    if touching:
-        w2 = Spans(mix(words ^ ODD))(at, at + length - 7)
-        out = [doc[own], place[own], lo, lo + length, w1.view(np.int64), w2.view(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc", "place", "lo", "hi", "w1", "w2"])
     order = np.lexsort((lo, doc[own], w1, group[own]))
     g, w, d, s, o = group[own][order], w1[order], doc[own][order], lo[order], own[order]
     same = np.zeros(len(order), bool)
     same[1:] = (g[1:] == g[:-1]) & (w[1:] == w[:-1])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     hit = same & ((d != d[head]) | (s != s[head]))
+    open_ = order[~same] if touching else order[:0]  # only the first of each content here can be the first of all
+    w2 = Spans(mix(words ^ ODD))(at[open_], at[open_] + length - 7)
     o, s = o[hit], s[hit]
     order = np.lexsort((s, o))
     o, s = o[order], s[order]
@@ -294,7 +308,14 @@ def _windows(table: pa.Table, cols: list[np.ndarray], rows: np.ndarray, group: n
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(o))[: len(first)] - 1
     none = pa.nulls(len(first), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(doc[o[first]]), pa.array(place[o[first]]), pa.array(s[first]), pa.array(s[last] + length), none, none], ["doc", "place", "lo", "hi", "w1", "w2"])
+    join = lambda a, b: pa.array(np.concatenate((a, b)))
+    return pa.RecordBatch.from_arrays(
+        [
+            join(doc[o[first]], doc[own[open_]]), join(place[o[first]], place[own[open_]]), join(s[first], lo[open_]), join(s[last] + length, lo[open_] + length),
+            *[pa.concat_arrays([none, long_array(w)]) for w in (w1[open_], w2)],
+        ],
+        ["doc", "place", "lo", "hi", "w1", "w2"],
+    )
 
 
 def across_buckets(windows: DataFrame) -> DataFrame:
