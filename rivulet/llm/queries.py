@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, matroska, sharding, simhash, suffixes
+from . import bpe, chat, decontam, langid, matroska, sharding, simhash, suffixes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.flat_pairs(chat.preference_pairs(table(spark, sf_dir, "conversations")))
 
@@ -35,17 +39,43 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_digest(bpe.encode(docs, ranks, pattern), ranks, pattern)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, langid.fold_of(F.col("doc_id"), 4) != 2)
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (langid.fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    merged = warc.merge_runs(warc.read_archives(archives))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
     return matroska.digests(matroska.mux(docs))
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model | None:
+    """Labels are learned from the ids whose checksum modulo 5 is not 0, languages from the same documents."""
+    learn = langid.fold_of(F.col("doc_id"), 5) != 0
+    return toxicity.fit(docs, labels, learn, learn)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (langid.fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "lang_pred")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_preference, op4_simhash, op5_byte_bpe, op7_suffix_array, op9_matroska)}
+    own = (op1_sharding, op2_spaced_seeds, op3_preference, op4_simhash, op5_byte_bpe, op6_language_id, op7_suffix_array, op8_warc, op9_matroska, op10_toxicity)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
