@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import pieces
@@ -52,14 +52,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every whole text."""
+    """doc_id, mark (a hash of the text) and fp (the 64 bits as a signed long) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             fp = np.array([fingerprint((x or "").encode(), shingle) for x in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(fp.view(np.int64))], ["doc_id", "mark", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def masks(bits: int, most: int) -> list[list[int]]:
@@ -152,13 +153,37 @@ def bits_for(n: int) -> int:
     return next((b for b in range(6, 40) if n * (1 + b + b * (b - 1) // 2) / (1 << b) <= 60_000), 40)
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id: the smallest doc_id that links reach."""
+def rooted(docs: DataFrame, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and fp of each row; fp, low: its smallest doc_id, and root: the fingerprint that names its component)."""
     fps = materialize(fingerprints(docs, shingle), "simhash")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-classes")
     found = links(classes.select("fp"), radius, bits_for(classes.count()))
     roots = materialize(components(found, "simhash-links"), "simhash-roots")
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lows, "root").select(F.col("fp").alias("__fp"), "component_id")
+    return fps, classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id: the smallest doc_id that links reach."""
+    fps, named = rooted(docs, radius, shingle)
+    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = named.join(lows, "root").select(F.col("fp").alias("__fp"), "component_id")
     return fps.join(named, F.col("fp") == F.col("__fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id's (a null one only if the component has no other).
+
+    Rows that share that doc_id are told apart by a hash of their text; of rows that share both, the first by their
+    columns' JSON stays. Ids are grouped, not texts: the documents are joined once with the ids that stay.
+    """
+    fps, named = rooted(docs, radius, shingle)
+    rows = fps.groupBy("doc_id", "mark", "fp").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "mark", "n")
+    kept = rows.join(named.select(F.col("fp").alias("__fp"), "root"), F.col("fp") == F.col("__fp")).groupBy("root").agg(F.min(rank).alias("k"))
+    kept = kept.select(F.struct("k.*").alias("__kept"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    same = F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__kept.id")) & (F.xxhash64(F.col("__row.text").cast("string")) == F.col("__kept.mark"))
+    stay = own.join(kept, same)
+    order = Window.partitionBy("__kept.id", "__kept.mark").orderBy(F.to_json("__row"))
+    repeated = stay.filter("__kept.n > 1").withColumn("__no", F.row_number().over(order)).filter("__no = 1")
+    return stay.filter("__kept.n = 1").select("__row.*").unionByName(repeated.select("__row.*"))

@@ -84,3 +84,21 @@ def test_empty_and_clashing(spark, docs, no_docs):
     assert simhash.near_duplicates(no_docs).collect() == []
     odd = docs.withColumn("fp", F.lit("x")).withColumn("component_id", F.lit(1)).withColumn("root", F.lit(2))
     assert simhash.near_duplicates(odd).count() == docs.count()
+
+
+def test_keep_one(docs, docs_rows, no_docs):
+    """Of each component one row; two components may be named by one id, as an id may have two texts."""
+    from pyspark.sql import functions as F
+
+    fps = sorted({brute_fp(r[1]) for r in docs_rows})
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 4]
+    component = dict(zip(fps, classes(len(fps), near)))
+    low = {}
+    for i, text, *_ in docs_rows:
+        low.setdefault(component[brute_fp(text)], []).append((i is None, i or 0))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(component[brute_fp(r.text)], (r.doc_id is None, r.doc_id or 0)) for r in kept.collect()]
+    assert sorted(got) == sorted((c, min(ids)) for c, ids in low.items())
+    assert simhash.keep_one(no_docs).collect() == []
+    assert simhash.keep_one(docs.withColumn("fp", F.lit("x")).withColumn("mark", F.lit(1)).withColumn("k", F.lit(1))).count() == len(got)
