@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that the numpy code holds at once; a longer document makes a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 18
+#: Bytes of an Arrow batch between the JVM and Python, at most, if a query is left to choose.
+BATCH_BYTES = 4 << 20
+# The system's allocator gives memory back when a batch is done; pooling allocators keep it for as long as a worker lives.
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def bound_batches(spark) -> None:
+    """Keep Arrow batches of long texts small, so that a worker's memory does not follow the rows of a batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(min(BATCH_BYTES, int(re.sub(r"\D", "", spark.conf.get(name)) or BATCH_BYTES))))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

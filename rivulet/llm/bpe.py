@@ -90,24 +90,18 @@ def decode(encoded: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
     return src.mapInArrow(run, schema)
 
 
-def with_digest(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of :func:`encode`'s rows; ids are decoded from what was encoded."""
+def round_trip(docs: DataFrame, path: str, pattern: str, part: int = PART_CHARS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text: encoded, and decoded from the ids, in one pass of a worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
-        digest = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [x or [] for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([digest(",".join(map(str, x)).encode()) for x in ids]),
-                        pa.array([digest(enc.decode_bytes(x)) for x in ids]),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for batch in pieces(batches):
+            counts, ids_digests, decoded_digests = [], [], []
+            for text in batch.column("text").to_pylist():
+                ids = encode_text(enc, text or "", part)
+                counts.append(len(ids))
+                ids_digests.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                decoded_digests.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(decoded_digests, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

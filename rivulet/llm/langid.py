@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .batches import _TOKEN, flat, fold, pieces
 
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
-PER_LANG, SAMPLE_BYTES = 800, 100_000
+PER_LANG, SAMPLE_BYTES = 800, 20_000
 EPOCHS, BATCH, RATE, ERROR = 6, 32, 0.5, 0.01
 UND = "und"
 

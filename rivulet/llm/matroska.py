@@ -242,17 +242,38 @@ def packets(media: DataFrame, key: str = "doc_id") -> DataFrame:
     return src.mapInArrow(run, "doc_id long, packet int, track int, time_ms double, start long, end long, cluster int, lacing int, cued boolean")
 
 
+def digest(n_bytes: int, media: bytes) -> tuple:
+    """What a stored file holds, read back packet by packet."""
+    found = parse(media)
+    payload = b"".join([media[p.start : p.end] for p in found])
+    return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload, found)
+
+
+_DIGEST = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+_DIGEST_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+_DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _digests(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, *[pa.array([r[j] for r in rows], t) for j, t in enumerate(_DIGEST_KINDS)]], ["doc_id", *_DIGEST])
+
+
 def digests(media: DataFrame) -> DataFrame:
-    """What each stored file holds, read back packet by packet."""
+    """Digests of the files of a media column (doc_id, n_bytes, media)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "media"):
-            rows = []
-            for n, m in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist()):
-                found = parse(m)
-                payload = b"".join([m[p.start : p.end] for p in found])
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(payload, found)))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            yield _digests(batch.column("doc_id"), [digest(n, m) for n, m in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist())])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _DIGEST_SCHEMA)
+
+
+def round_trip(docs: DataFrame) -> DataFrame:
+    """The digests of :func:`mux`'s files, stored and read back in one pass of a worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            raw = [(x or "").encode() for x in batch.column("text").to_pylist()]
+            yield _digests(batch.column("doc_id"), [digest(len(x), mux_payload(pad(x))) for x in raw])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, _DIGEST_SCHEMA)

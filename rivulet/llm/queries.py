@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, langid, matroska, sharding, simhash, suffixes, toxicity, warc
+from .batches import bound_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,7 +38,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return bpe.with_digest(bpe.encode(docs, ranks, pattern), ranks, pattern)
+    return bpe.round_trip(docs, ranks, pattern)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +60,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return matroska.digests(matroska.mux(docs))
+    return matroska.round_trip(docs)
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model | None:

@@ -33,8 +33,11 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and outlives lost executors."""
+def materialize(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and outlives lost executors.
+
+    With ``files`` each task writes the rows of several partitions, one after another, for fewer and larger files.
+    """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -342,7 +342,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, token: int = TOKEN) -
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     expected = size * 2 // (length - token + 2)  # anchors, of ordinary text
-    found = materialize(sort_buckets(suffixes(own, length, token), max(1, -(-expected // BUCKET))), "suffix-buckets")
+    buckets = max(1, -(-expected // BUCKET))
+    found = materialize(sort_buckets(suffixes(own, length, token), buckets), "suffix-buckets", max(8, buckets // 4))
     edges = found.filter(F.col("kind") == _EDGE)
     n = edges.count()
     windows = materialize(sort_windows(with_text(edges, pack(own), length), max(1, -(-n // TEXT_BUCKET)), length), "suffix-windows")

@@ -29,7 +29,7 @@ def test_special_strings_are_text():
 
 
 def test_round_trip(docs, docs_rows):
-    rows = bpe.with_digest(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN).collect()
+    rows = bpe.round_trip(docs, RANKS, PATTERN).collect()
     want = []
     for i, text, *_ in docs_rows:
         ids = ENC.encode_ordinary(text or "")
@@ -45,7 +45,7 @@ def test_decode_and_keep(docs, docs_rows):
 def test_empty_and_clashing(docs, no_docs):
     from pyspark.sql import functions as F
 
-    assert bpe.with_digest(bpe.encode(no_docs, RANKS, PATTERN), RANKS, PATTERN).collect() == []
+    assert bpe.round_trip(no_docs, RANKS, PATTERN).collect() == []
     assert bpe.encode(docs.withColumn("ids", F.lit("x")), RANKS, PATTERN).count() == docs.count()
 
 

@@ -55,6 +55,7 @@ def test_query(docs, docs_rows):
         p = m.pad((t or "").encode())
         want.append((i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
     assert sorted((tuple(r)[:5] for r in rows), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, m.round_trip(docs).collect()), key=str) == sorted(map(tuple, rows), key=str)
     assert len({r.payload_sha256 for r in rows}) == len({(r.media_sha256, r.feature) for r in rows})
 
 
