@@ -207,11 +207,6 @@ def sort_buckets(units: DataFrame, buckets: int) -> DataFrame:
     return units.repartitionByRange(buckets, "token", "run", "doc", "place").mapInArrow(run, _FOUND)
 
 
-def _cut(place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    start, _, near, far = _unplace(place)
-    return start - far, start - near + length
-
-
 def boundary_repeats(found: DataFrame) -> DataFrame:
     """Rows that start a bucket and go on with the run that ended the bucket before: repeats as well. Two rows a bucket."""
     marks = found.filter(F.col("kind").isin(_FIRST, _LAST))
@@ -222,34 +217,56 @@ def boundary_repeats(found: DataFrame) -> DataFrame:
     return marks.filter((F.col("kind") == _FIRST) & (F.col("token") == F.col("p_token")) & (F.col("run") == F.col("p_run")) & other).select("doc", "place")
 
 
-def with_text(edges: DataFrame, packed: DataFrame, length: int) -> DataFrame:
-    """Step 2: edge suffixes with the bytes that their windows cover. ``packed`` has doc, tag and body (compressed)."""
+def bands(length: int, token: int) -> list[tuple[int, int]]:
+    """How far before its anchor a window starts, in three ranges (first, last)."""
+    count = length - token + 1
+    cuts = [0, count // 4, count * 5 // 8, count]
+    return [(a, b - 1) for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
+def with_text(edges: DataFrame, packed: DataFrame, length: int, token: int) -> DataFrame:
+    """Step 2: edge suffixes with the bytes that their windows cover. ``packed`` has doc, tag and body (compressed).
+
+    A run is cut where its windows start at most some bytes before the anchor: all windows of such a part hold the same
+    bytes around the anchor, far more than a token, and their hash becomes the part's leading token. So the suffixes of a
+    frequent token fall apart into groups that agree in most of a window, or have a group of their own.
+    """
     tag = F.shiftright("place", 12).bitwiseAND((1 << _DOC_BITS) - 1).cast("int")
-    wanted = edges.groupBy("doc", tag.alias("tag")).agg(F.collect_set(F.struct("token", "run", "place")).alias("wanted"))
-    joined = packed.select("doc", "tag", "body").join(wanted, ["doc", "tag"]).select("doc", "body", F.col("wanted.token").alias("token"), F.col("wanted.run").alias("run"), F.col("wanted.place").alias("place"))
+    wanted = edges.groupBy("doc", tag.alias("tag")).agg(F.collect_set("place").alias("place"))
+    joined = packed.select("doc", "tag", "body").join(wanted, ["doc", "tag"]).select("doc", "body", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in pieces(batches, "body", 1 << 19):
-            docs, cols, bodies = [], {c: [] for c in ("token", "run", "place")}, []
-            for k in range(batch.num_rows):
-                text = unpack(batch.column("body")[k].as_py())
-                own = {c: batch.column(c)[k].values.to_numpy() for c in cols}
-                lo, hi = _cut(own["place"], length)
-                bodies += [text[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
-                docs.append(np.full(len(lo), batch.column("doc")[k].as_py(), np.int64))
-                for c, v in own.items():
-                    cols[c].append(v)
-            yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(cols[c])) for c in ("token", "run")], pa.array(np.concatenate(docs)), pa.array(np.concatenate(cols["place"])), pa.array(bodies, pa.binary())], ["token", "run", "doc", "place", "body"])
-
-    return joined.mapInArrow(run, _UNITS + ", body binary")
+        for batch in pieces(batches, "body", 1 << 17):
+            texts = [unpack(x) for x in batch.column("body").to_pylist()]
+            base = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+            buffer = b"".join(texts)
+            spans = Spans(mix(_words(np.frombuffer(buffer, np.uint8))))
+            places = batch.column("place")
+            own = np.repeat(np.arange(len(texts)), np.diff(offsets_of(places)))
+            place = places.flatten().to_numpy()
+            start, tags, near, far = _unplace(place)
+            doc = batch.column("doc").to_numpy()[own]
+            for number, (first, last) in enumerate(bands(length, token)):
+                lo, hi = np.maximum(near, first), np.minimum(far, last)
+                some = np.flatnonzero(lo <= hi)
+                at = base[own[some]] + start[some]
+                key = mix(spans(at - first, at + length - last - 7) + np.uint64(number))
+                bodies = [buffer[a:b] for a, b in zip((at - hi[some]).tolist(), (at - lo[some] + length).tolist())]
+                yield pa.RecordBatch.from_arrays([long_array(key), long_array(doc[some]), long_array(_place(start[some], tags[some], lo[some], hi[some])), pa.array(bodies, pa.binary())], ["token", "doc", "place", "body"])
+
+    return joined.mapInArrow(run, "token long, doc long, place long, body binary")
+
+
+def offsets_of(lists: pa.Array) -> np.ndarray:
+    return lists.offsets.to_numpy().astype(np.int64)
 
 
 _WINDOWS = "doc long, place long, lo long, hi long, w1 long, w2 long"
 
 
 def sort_windows(edges: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
-    """Edge suffixes of one token compared window by window.
+    """Edge suffixes of one leading token compared window by window.
 
     Gives repeated ranges (w1 and w2 null), and the windows (lo: start, two hashes) of the groups that touch a bucket's boundary.
     """
@@ -259,7 +276,7 @@ def sort_windows(edges: DataFrame, buckets: int, length: int = LENGTH) -> DataFr
         if table is None:
             return
         table = table.combine_chunks()
-        cols = [table.column(c).to_numpy() for c in ("token", "run", "doc", "place")]
+        cols = [table.column(c).to_numpy() for c in ("token", "doc", "place")]
         order = multikey_order(cols)
         token = cols[0][order]
         fresh = np.ones(len(order), bool)
@@ -278,12 +295,12 @@ def sort_windows(edges: DataFrame, buckets: int, length: int = LENGTH) -> DataFr
                 yield _windows(table, cols, rows[done:to], groups[done:to], length, touching)
                 done = to
 
-    return edges.repartitionByRange(buckets, "token", "run", "doc", "place").mapInArrow(run, _WINDOWS)
+    return edges.repartitionByRange(buckets, "token", "doc", "place").mapInArrow(run, _WINDOWS)
 
 
 def _windows(table: pa.Table, cols: list[np.ndarray], rows: np.ndarray, group: np.ndarray, length: int, touching: bool) -> pa.RecordBatch:
     data, ends = flat(table.column("body").take(pa.array(rows)).combine_chunks() if table.column("body").num_chunks else pa.array([], pa.binary()))
-    doc, place = cols[2][rows], cols[3][rows]
+    doc, place = cols[1][rows], cols[2][rows]
     start, _, near, far = _unplace(place)
     sizes = far - near + 1
     own = np.repeat(np.arange(len(rows)), sizes)
@@ -343,10 +360,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, token: int = TOKEN) -
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     expected = size * 2 // (length - token + 2)  # anchors, of ordinary text
     buckets = max(1, -(-expected // BUCKET))
-    found = materialize(sort_buckets(suffixes(own, length, token), buckets), "suffix-buckets", max(8, buckets // 4))
+    found = materialize(sort_buckets(suffixes(own, length, token), buckets), "suffix-buckets", -(-buckets // 3))
     edges = found.filter(F.col("kind") == _EDGE)
     n = edges.count()
-    windows = materialize(sort_windows(with_text(edges, pack(own), length), max(1, -(-n // TEXT_BUCKET)), length), "suffix-windows")
+    windows = materialize(sort_windows(with_text(edges, pack(own), length, token), max(1, -(-n // TEXT_BUCKET)), length), "suffix-windows")
     whole = found.filter(F.col("kind") == _REPEAT).select("doc", "place").unionByName(boundary_repeats(found))
     start = F.shiftright("place", _DOC_BITS + 12)
     whole = whole.select("doc", "place", (start - F.col("place").bitwiseAND(63)).alias("lo"), (start - F.shiftright("place", 6).bitwiseAND(63) + length).alias("hi"))
