@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, matroska, sharding, simhash, suffixes, toxicity, warc
+from . import bpe, chat, decontam, langid, matroska, sharding, simhash, sql, suffixes, toxicity, warc
 from .batches import bound_batches
 
 
@@ -81,4 +81,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    own = {"op1_sharding": sql.SHARDING, "op3_preference": sql.PREFERENCE, "op7_suffix_array": sql.REPEATS, "op8_warc": sql.ARCHIVES}
+    return {name: text.strip() for name, text in own.items()}
