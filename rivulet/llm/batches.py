@@ -129,6 +129,23 @@ def fold(data: np.ndarray) -> np.ndarray:
     return _FOLD[data]
 
 
+def lower_bytes(text: str) -> bytes:
+    """UTF-8 of the text in lower case, byte for byte in place: a letter whose lower case has another length stays."""
+    out = text.lower().encode()
+    if len(out) == len(text.encode()) and len(text) == len(text.lower()):
+        return out
+    return "".join(low if len(low.encode()) == len(c.encode()) else c for c in text for low in (c.lower(),)).encode()
+
+
+def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`flat`, in lower case; offsets are those of the texts as they are."""
+    data, ends = flat(column)
+    if not len(data) or data.max() < 128:
+        return fold(data), ends
+    raw = [b"" if t is None else lower_bytes(t) for t in column.to_pylist()]
+    return np.frombuffer(b"".join(raw), np.uint8), ends
+
+
 def tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of runs of ASCII letters, digits and non-ASCII bytes; the rest separates tokens."""
     return runs(_TOKEN[data], ends)

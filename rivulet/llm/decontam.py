@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts are tokens: runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. A fixed mask selects some of
+Texts are tokens: runs of ASCII letters, digits and non-ASCII characters, in lower case. A fixed mask selects some of
 a span of tokens and ignores the others; tokens selected from benchmark items and from documents are hashed, and equal
 hashes are hits, so an overlap with substituted tokens is still hit by a mask that ignores them. Around each hit the
 two texts are compared token by token along the hit's diagonal: the best-scoring stretch (a match 1, a substitution
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import ODD, Spans, flat, fold, mix, pieces, tokens
+from .batches import ODD, Spans, lower_bytes, lowered, mix, pieces, tokens
 
 #: Fixed masks; 1 selects a token. All have six ones.
 MASKS = ("111111", "1101111", "11011011", "1100101101", "10110010011")
@@ -34,10 +34,9 @@ _SCHEMA = "doc_id long, item_id long, start long, end long, item_start long, ite
 
 
 def token_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end (bytes) of each token, and the first token of each text."""
-    lower = fold(data)
-    start, stop = tokens(lower, ends)
-    return Spans(mix(lower.astype(np.uint64) + ODD))(start, stop), start, stop, np.searchsorted(start, ends)
+    """Hash, start and end (bytes) of each token, and the first token of each text; ``data`` is in lower case."""
+    start, stop = tokens(data, ends)
+    return Spans(mix(data.astype(np.uint64) + ODD))(start, stop), start, stop, np.searchsorted(start, ends)
 
 
 def seeds(hashes: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +69,7 @@ class Index:
     @staticmethod
     def of(items: list[tuple[int, str]]) -> Index:
         items = [x for x in items if x[1]]
-        raw = [x[1].encode() for x in items]
+        raw = [lower_bytes(x[1]) for x in items]
         ends = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
         hashes, _, _, first = token_hashes(np.frombuffer(b"".join(raw), np.uint8), ends)
         tables = []
@@ -141,7 +140,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def best_overlaps(index: Index, texts: pa.Array) -> list[tuple]:
     """(row, item_id, start, end, item_start, item_end, matches, length): the best of each row and item."""
-    data, ends = flat(texts)
+    data, ends = lowered(texts)
     hashes, start, stop, first = token_hashes(data, ends)
     best: dict[tuple[int, int], tuple] = {}
     for text, item, diagonal in index.hits(hashes, first).tolist():

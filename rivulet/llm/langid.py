@@ -1,7 +1,7 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy.
 
-A text's vector is the mean of the embeddings of its hashed byte n-grams (2 to 4 bytes, ASCII lower-cased, all that is
-no letter or digit a blank). As the classifier is linear, prediction sums each n-gram's share of every class.
+A text's vector is the mean of the embeddings of its hashed byte n-grams (2 to 4 bytes of the text in lower case,
+all that is no letter or digit a blank). As the classifier is linear, prediction sums each n-gram's share of every class.
 
 The model is fitted on a bounded sample (``PER_LANG`` rows a language, chosen by a hash of their id and text, of texts up to
 ``SAMPLE_BYTES`` bytes); everything is predicted. A fifth of the sample calibrates the softmax's temperature and the
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import _TOKEN, flat, fold, pieces
+from .batches import _TOKEN, flat, lower_bytes, lowered, pieces
 
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
 PER_LANG, SAMPLE_BYTES = 800, 20_000
@@ -30,9 +30,9 @@ UND = "und"
 
 
 def grams(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each n-gram of each document, and where each document's begin; every document has some."""
+    """Bucket of each n-gram of each document, and where each document's begin; every document has some. ``data`` is in lower case."""
     gap = max(SIZES) - 1
-    folded = np.where(_TOKEN[data], fold(data), np.uint8(32))
+    folded = np.where(_TOKEN[data], data, np.uint8(32))
     sizes = np.diff(ends)
     starts = ends[:-1] + gap * np.arange(len(sizes))
     buffer = np.full(len(data) + gap * (len(sizes) + 1), 32, np.uint32)
@@ -75,7 +75,7 @@ def bags(texts: list[str]) -> np.ndarray:
     """Relative frequencies of the buckets, a row for each text."""
     out = np.zeros((len(texts), BUCKETS), np.float32)
     for i, t in enumerate(texts):
-        raw = np.frombuffer(t.encode(), np.uint8)
+        raw = np.frombuffer(lower_bytes(t), np.uint8)
         found, _ = grams(raw, np.array([0, len(raw)]))
         out[i] = np.bincount(found.ravel(), minlength=BUCKETS) / found.size
     return out
@@ -116,7 +116,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             steps += 1
     model = Model(names, embed @ weight, bias.astype(np.float64))
     if len(held):
-        raw = [np.frombuffer(texts[i].encode(), np.uint8) for i in held]
+        raw = [np.frombuffer(lower_bytes(texts[i]), np.uint8) for i in held]
         logits = np.concatenate([model.logits(r, np.array([0, len(r)])) for r in raw])
         loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
         model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
@@ -175,7 +175,7 @@ def predict_batch(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]
     known = has_letter(texts, data, ends)
     score, langs = np.zeros(len(texts)), [UND] * len(texts)
     if model.langs and known.any():
-        p = softmax(model.logits(data, ends))
+        p = softmax(model.logits(lowered(texts)[0], ends))
         best = p.argmax(1)
         score = np.where(known, p[np.arange(len(best)), best], 0.0)
         langs = [model.langs[b] if k else UND for b, k in zip(best, known)]

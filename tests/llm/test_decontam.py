@@ -11,9 +11,9 @@ BENCH = "item_id long, text string"
 
 def tokens(text):
     out, own = [], bytearray()
-    for b in (text or "").encode() + b" ":
-        if 48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128:
-            own.append(b + 32 if 65 <= b < 91 else b)
+    for b in (text or "").lower().encode() + b" ":
+        if 48 <= b < 58 or 97 <= b < 123 or b >= 128:
+            own.append(b)
         elif own:
             out.append(bytes(own))
             own = bytearray()
@@ -97,6 +97,16 @@ def test_ranges_blocks_and_long_text(spark, case, monkeypatch):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in docs if d not in bad)
 
 
+def test_case_of_any_letter():
+    import pyarrow as pa
+
+    item = "Élan vôtre ñandú über ΑΒΓ Жизнь ça coûte"
+    index = decontam.Index.of([(1, item)])
+    for text in (item.upper(), item.lower(), "İ " + item.upper()):
+        (row,) = decontam.best_overlaps(index, pa.array([text]))
+        assert text.encode()[row[2] : row[3]].decode() == text.removeprefix("İ ")
+
+
 def test_substitutions_up_to_a_fifth_are_found():
     rng = np.random.default_rng(4)
     item = [f"w{k}" for k in rng.integers(0, 5000, 40)]
