@@ -33,6 +33,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataF
     sized = within.alias("w").join(sizes.alias("s"), F.col("w.source").eqNullSafe(F.col("s.__group")))
     mixed = sized.select("doc_id", "source", "size", "text_crc32", "draw", ((2 * F.col("rank") + 1) / (2 * F.col("__size"))).alias("frac"))
     placed, total = ranked(mixed, ["frac", "source", "draw", "doc_id", "text_crc32"], None, "position", "shard-order")
-    cut = placed.crossJoin(total.select("__size")).withColumn("shard", F.expr(f"position * {shards} div __size"))  # total: one row
-    first = F.expr(f"(shard * __size + {shards - 1}) div {shards}")  # the smallest position of the shard
+    found = total.first()
+    n = F.lit(found["__size"] if found else 1)  # one number
+    cut = placed.withColumn("__n", n).withColumn("shard", F.expr(f"position * {shards} div __n"))
+    first = F.expr(f"(shard * __n + {shards - 1}) div {shards}")  # the smallest position of the shard
     return cut.select("doc_id", "source", "size", "text_crc32", "frac", "position", F.col("shard").cast("int").alias("shard"), (F.col("position") - first).cast("long").alias("slot"))

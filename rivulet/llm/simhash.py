@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import pieces
+from .batches import ODD, mix, pieces
 from .graph import components
 from .store import materialize
 
@@ -52,15 +52,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, mark (a hash of the text) and fp (the 64 bits as a signed long) of every whole text."""
+    """doc_id and fp (the 64 bits as a signed long) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             fp = np.array([fingerprint((x or "").encode(), shingle) for x in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(fp.view(np.int64))], ["doc_id", "mark", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, "doc_id long, mark long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def masks(bits: int, most: int) -> list[list[int]]:
@@ -68,19 +67,21 @@ def masks(bits: int, most: int) -> list[list[int]]:
     return [[sum(1 << i for i in c) for c in combinations(range(bits), k)] for k in range(most + 1)]
 
 
-def collisions(part: int, fps: np.ndarray, half: int, part_bits: int = PART_BITS) -> np.ndarray:
-    """Linked pairs (m, 2) of fingerprints that have a common variant in this part; a spanning forest of them.
+def collisions(part: int, fps: np.ndarray, half: int, part_bits: int = PART_BITS, window: int = 1, verify=None) -> np.ndarray:
+    """Linked pairs (m, 2) of places in ``fps`` that have a common variant in this part; a spanning forest of them.
 
+    Of those that list one variant each is paired with the ``window`` ones before it. Without ``verify`` (pairs to
+    booleans) all links are within 2 * half bits and one is enough: whatever lists a variant is then linked.
     The part's variants are listed in blocks by their next bits, so that memory stays bounded whatever the part holds.
     """
-    low = BITS - part_bits
+    low, n = BITS - part_bits, len(fps)
     spent = np.bitwise_count((fps >> np.uint64(low)) ^ np.uint64(part))
-    links: list[np.ndarray] = []
     block_bits = 0
-    while block_bits < 16 and len(fps) * sum(len(m) for m in masks(low, half)[: half + 1]) >> block_bits > LISTED:
+    while block_bits < 16 and n * sum(map(len, masks(low, half))) >> block_bits > LISTED:
         block_bits += 1
     rest = low - block_bits
     low_masks = [np.array(m, np.uint64) for m in masks(rest, half)]
+    links, waiting = np.zeros((0, 2), np.int64), []
     for block in range(1 << block_bits):
         head = np.uint64((part << block_bits) | block) << np.uint64(rest)
         used = spent + (np.bitwise_count(((fps >> np.uint64(rest)) ^ np.uint64(block)) & np.uint64((1 << block_bits) - 1)) if block_bits else 0)
@@ -97,13 +98,20 @@ def collisions(part: int, fps: np.ndarray, half: int, part_bits: int = PART_BITS
         order = np.argsort(value)
         value, owner = value[order], owner[order]
         same = np.flatnonzero(value[1:] == value[:-1])
-        if len(same):
-            links.append(np.unique(np.sort(np.stack([owner[same], owner[same + 1]], 1), 1), axis=0))
-    if not links:
-        return np.zeros((0, 2), np.uint64)
-    pairs = np.unique(np.concatenate(links), axis=0)
-    pairs = pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= 2 * half]
-    return fps[forest(len(fps), pairs)]
+        for k in range(1, window + 1):
+            if k > 1:
+                same = same[same + k < len(value)]
+                same = same[value[same + k] == value[same]]
+            if not len(same):
+                break
+            a, b = owner[same].astype(np.int64), owner[same + k].astype(np.int64)
+            key = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+            pairs = np.stack([key // n, key % n], 1)
+            pairs = pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= 2 * half]
+            waiting.append(pairs[verify(pairs)] if verify else pairs)
+        if sum(map(len, waiting)) > LISTED // 4:
+            links, waiting = forest(n, np.concatenate([links, *waiting])), []
+    return forest(n, np.concatenate([links, *waiting]))
 
 
 def forest(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -142,48 +150,104 @@ def links(distinct: DataFrame, radius: int = RADIUS, part_bits: int = PART_BITS)
         if not table.num_rows:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         fps = np.sort(table.column("fp").to_numpy().view(np.uint64))
-        found = collisions(table.column("part")[0].as_py(), fps, half, part_bits).view(np.int64)
+        found = fps[collisions(table.column("part")[0].as_py(), fps, half, part_bits)].view(np.int64)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return sent.groupBy("part").applyInArrow(run, "a long, b long")
 
 
 def bits_for(n: int) -> int:
-    """Leading bits so that a part holds some 60,000 fingerprints: each goes to 1 + b + b (b - 1) / 2 of 2^b parts."""
-    return next((b for b in range(6, 40) if n * (1 + b + b * (b - 1) // 2) / (1 << b) <= 60_000), 40)
+    """Leading bits so that a part holds some 120,000 fingerprints: each goes to 1 + b + b (b - 1) / 2 of 2^b parts."""
+    return next((b for b in range(6, 40) if n * (1 + b + b * (b - 1) // 2) / (1 << b) <= 120_000), 40)
 
 
-def rooted(docs: DataFrame, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id and fp of each row; fp, low: its smallest doc_id, and root: the fingerprint that names its component)."""
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id: the smallest doc_id that links reach."""
     fps = materialize(fingerprints(docs, shingle), "simhash")
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-classes")
-    found = links(classes.select("fp"), radius, bits_for(classes.count()))
-    roots = materialize(components(found, "simhash-links"), "simhash-roots")
-    return fps, classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = materialize(components(links(classes.select("fp"), radius, bits_for(classes.count())), "simhash-links"), "simhash-roots")
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = rooted.join(lows, "root").select(F.col("fp").alias("__fp"), "component_id")
+    return fps.join(named, F.col("fp") == F.col("__fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id: the smallest doc_id that links reach."""
-    fps, named = rooted(docs, radius, shingle)
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lows, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return fps.join(named, F.col("fp") == F.col("__fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+#: Near copies: fingerprints of the set of words, so many of them, propose; of 2 * 64 bits from five-word shingles
+#: so many may differ. At a similarity (Jaccard, of the shingles) of 0.8 some 20 of the 128 differ, at 0.4 some 40,
+#: between unrelated texts some 64.
+TABLES, COPY_SHINGLE, COPY_BITS, WINDOW = 5, 5, 36, 7
+
+
+def _majority(hashes: np.ndarray) -> np.uint64:
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def sketch(text: bytes, tables: int = TABLES) -> list[int]:
+    """``tables`` fingerprints of the set of words, and two of the five-word shingles; all zero without words."""
+    words = text.lower().split()
+    if not words:
+        return [0] * (tables + 2)
+    digest = xxhash.xxh64_intdigest
+    base = np.array([digest(w, SEED) for w in sorted(set(words))], np.uint64)
+    joined = [b" ".join(words[i : i + COPY_SHINGLE]) for i in range(max(1, len(words) - COPY_SHINGLE + 1))]
+    long = np.array([digest(x, SEED) for x in joined], np.uint64)
+    made = [mix(base + np.uint64(t * int(ODD) & 0xFFFFFFFFFFFFFFFF)) for t in range(tables)] + [long, mix(long + ODD)]
+    return [int(_majority(h)) for h in made]
+
+
+def sketches(docs: DataFrame, tables: int = TABLES) -> DataFrame:
+    """doc_id, mark (a hash of the text), f0 .. and c1, c2 of every whole text."""
+    names = [*[f"f{t}" for t in range(tables)], "c1", "c2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            rows = np.array([sketch((x or "").encode(), tables) for x in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *[pa.array(np.ascontiguousarray(rows[:, k])) for k in range(len(names))]], ["doc_id", "mark", *names])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    schema = ", ".join(f"{n} long" for n in ("doc_id", "mark", *names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, schema)
+
+
+def copy_links(nodes: DataFrame, tables: int = TABLES, radius: int = RADIUS, part_bits: int = PART_BITS) -> DataFrame:
+    """(a, b): marks of texts with a fingerprint within ``radius`` bits whose shingles' 128 bits differ in ``COPY_BITS`` at most."""
+    half = radius // 2
+    flips = F.array(*[F.lit(m).cast("long") for k in masks(part_bits, half) for m in k])
+    own = nodes.select("mark", "c1", "c2", F.posexplode(F.array(*[f"f{t}" for t in range(tables)])).alias("number", "fp"))
+    sent = own.select("number", F.explode(flips).alias("flip"), "mark", "fp", "c1", "c2").select("number", F.shiftrightunsigned("fp", BITS - part_bits).bitwiseXOR(F.col("flip")).alias("part"), "mark", "fp", "c1", "c2")
+
+    def run(table: pa.Table) -> pa.Table:
+        fp, c1, c2 = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "c1", "c2"))
+        mark = table.column("mark").to_numpy()
+        near = lambda p: np.bitwise_count(c1[p[:, 0]] ^ c1[p[:, 1]]).astype(np.int16) + np.bitwise_count(c2[p[:, 0]] ^ c2[p[:, 1]]) <= COPY_BITS
+        found = mark[collisions(table.column("part")[0].as_py(), fp, half, part_bits, WINDOW, near)] if table.num_rows else np.zeros((0, 2), np.int64)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return sent.groupBy("number", "part").applyInArrow(run, "a long, b long")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id's (a null one only if the component has no other).
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of copies: the smallest doc_id's (a null one only if the group has no other).
 
-    Rows that share that doc_id are told apart by a hash of their text; of rows that share both, the first by their
-    columns' JSON stays. Ids are grouped, not texts: the documents are joined once with the ids that stay.
+    Groups are the components of :func:`copy_links` between distinct texts; null and empty texts are one text. Rows that
+    share doc_id and text are told apart by their columns' JSON, of which the first stays. Ids are grouped, not texts:
+    the documents are joined once with the ids that stay.
     """
-    fps, named = rooted(docs, radius, shingle)
-    rows = fps.groupBy("doc_id", "mark", "fp").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "mark", "n")
-    kept = rows.join(named.select(F.col("fp").alias("__fp"), "root"), F.col("fp") == F.col("__fp")).groupBy("root").agg(F.min(rank).alias("k"))
-    kept = kept.select(F.struct("k.*").alias("__kept"))
+    made = materialize(sketches(docs), "copies")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "mark")
+    names = [c for c in made.columns if c[0] in "fc"]
+    nodes = materialize(made.groupBy("mark").agg(F.min(rank).alias("low"), *[F.first(c).alias(c) for c in names]), "copies-texts")
+    roots = materialize(components(copy_links(nodes, part_bits=bits_for(nodes.count())), "copies-links"), "copies-roots")
+    rooted = nodes.select("mark", "low").join(roots.select(F.col("node").alias("mark"), "root"), "mark", "left")
+    kept = rooted.groupBy(F.coalesce("root", "mark").alias("root")).agg(F.min("low").alias("k")).select(F.struct("k.*").alias("__kept"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    same = F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__kept.id")) & (F.xxhash64(F.col("__row.text").cast("string")) == F.col("__kept.mark"))
-    stay = own.join(kept, same)
+    mark = F.xxhash64(F.coalesce(F.col("__row.text").cast("string"), F.lit("")))
+    stay = own.join(kept, F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__kept.id")) & (mark == F.col("__kept.mark")))
+    many = made.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__i"), F.col("mark").alias("__m"), F.lit(True).alias("__twice"))
+    stay = stay.join(many, F.col("__kept.id").eqNullSafe(F.col("__i")) & (F.col("__kept.mark") == F.col("__m")), "left")
     order = Window.partitionBy("__kept.id", "__kept.mark").orderBy(F.to_json("__row"))
-    repeated = stay.filter("__kept.n > 1").withColumn("__no", F.row_number().over(order)).filter("__no = 1")
-    return stay.filter("__kept.n = 1").select("__row.*").unionByName(repeated.select("__row.*"))
+    repeated = stay.filter("__twice").withColumn("__no", F.row_number().over(order)).filter("__no = 1")
+    return stay.filter("__twice is null").select("__row.*").unionByName(repeated.select("__row.*"))

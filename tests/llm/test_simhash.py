@@ -86,19 +86,46 @@ def test_empty_and_clashing(spark, docs, no_docs):
     assert simhash.near_duplicates(odd).count() == docs.count()
 
 
+def jaccard(a, b):
+    shingles = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})((t or "").encode().lower().split())
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
 def test_keep_one(docs, docs_rows, no_docs):
-    """Of each component one row; two components may be named by one id, as an id may have two texts."""
+    """Of equal texts one row stays, the smallest id's; whatever goes has a relative of some similarity; each family of relatives keeps one."""
     from pyspark.sql import functions as F
 
-    fps = sorted({brute_fp(r[1]) for r in docs_rows})
-    near = [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 4]
-    component = dict(zip(fps, classes(len(fps), near)))
-    low = {}
-    for i, text, *_ in docs_rows:
-        low.setdefault(component[brute_fp(text)], []).append((i is None, i or 0))
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    got = [(component[brute_fp(r.text)], (r.doc_id is None, r.doc_id or 0)) for r in kept.collect()]
-    assert sorted(got) == sorted((c, min(ids)) for c, ids in low.items())
+    got = [((r.doc_id is None, r.doc_id or 0), r.text or "") for r in kept.collect()]
+    texts = sorted({r[1] or "" for r in docs_rows})
+    low = {t: min((r[0] is None, r[0] or 0) for r in docs_rows if (r[1] or "") == t) for t in texts}
+    assert len(set(got)) == len(got) and all(low[t] == i for i, t in got)
+    related = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.3]
+    family = dict(zip(texts, classes(len(texts), related)))
+    stay = {t for _, t in got}
+    assert {family[t] for t in stay} == set(family.values())
+    assert stay < set(texts)
     assert simhash.keep_one(no_docs).collect() == []
-    assert simhash.keep_one(docs.withColumn("fp", F.lit("x")).withColumn("mark", F.lit(1)).withColumn("k", F.lit(1))).count() == len(got)
+    assert simhash.keep_one(docs.withColumn("f0", F.lit("x")).withColumn("mark", F.lit(1)).withColumn("k", F.lit(1))).count() == len(got)
+
+
+def test_near_copies_are_found_and_others_kept(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(800)]
+    rows, expected = [], 0
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(100, 400))]
+        rows.append(" ".join(base))
+        expected += 1
+        for _ in range(rng.randint(0, 6)):
+            copy = list(base)
+            for k in rng.sample(range(len(copy)), len(copy) // 60):
+                copy[k] = rng.choice(words)
+            if jaccard(" ".join(base), " ".join(copy)) >= 0.8:
+                rows.append(" ".join(copy))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    kept = [r.doc_id for r in simhash.keep_one(frame).collect()]
+    firsts = [i for i, t in enumerate(rows) if not any(jaccard(t, u) > 0.5 for u in rows[max(0, i - 7) : i])]
+    assert set(firsts) <= set(kept) and len(kept) <= expected * 1.03
