@@ -22,11 +22,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id stays (of rows that share it, one).
-
-    Fingerprints are of five-word shingles here and must differ in 4 bits at most.
-    """
-    return simhash.keep_one(docs, shingle=5)
+    """Of each group of exact and near copies (similarity of five-word shingles of 0.8 or more) the smallest doc_id's row stays."""
+    return simhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
