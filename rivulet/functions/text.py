@@ -70,7 +70,7 @@ def squeezed(c: Column) -> Column:
 
 
 def line_trimmed(c: Column) -> Column:
-    return F.array_join(F.transform(F.split(c, "\n"), F.trim), "\n")
+    return F.array_join(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), "\n")
 
 
 def dedented(c: Column) -> Column:

@@ -33,8 +33,8 @@ def objects(spark: SparkSession, root: str, prefix: str = "", after: str | None
 
 def markdown_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of a Markdown table, by position, without its head and rule; cells as texts, with the row's number."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     rows = lines.filter(F.trim("line").startswith("|") & ~F.col("line").rlike(r"^[\s|:-]+$")).select("line_no", cells.alias("c"))
     head = rows.agg(F.min("line_no").alias("h"))
     return rows.crossJoin(F.broadcast(head)).filter("line_no > h").select("line_no", *[F.try_element_at("c", F.lit(i + 1)).alias(n) for i, n in enumerate(columns)])  # head: one row
