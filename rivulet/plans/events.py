@@ -63,12 +63,12 @@ FROM r GROUP BY GROUPING SETS ((week_key, tier, provider, model), (week_key, tie
 
 
 def all_tier_synthesis(spark, sf_dir):
-    rows = requests(spark, sf_dir).groupBy(dates.day_key(F.col("event_time")).alias("period_key"), "tier", "model").agg(F.count(F.lit(1)).alias("requests"), F.count_distinct("session").alias("sessions"), F.sum("tokens_total").alias("total_tokens"), numbers.half_up(F.avg("duration_ms"), 4).alias("avg_duration_ms"), numbers.half_up(F.percentile("duration_ms", 0.5), 4).alias("p50_duration_ms"))
+    rows = requests(spark, sf_dir).groupBy(dates.day_key(F.col("event_time")).alias("period_key"), "tier", "model").agg(F.count(F.lit(1)).alias("requests"), F.count_distinct("session").alias("sessions"), F.sum("tokens_total").alias("total_tokens"), numbers.half_up(F.avg("duration_ms"), 8).alias("avg_duration_ms"), numbers.half_up(F.percentile("duration_ms", 0.5), 8).alias("p50_duration_ms"))
     return rollup.with_all_tier(rows, ["period_key", "tier", "model"], added=("requests", "sessions", "total_tokens"), averaged=("avg_duration_ms",), percentiles=("p50_duration_ms",))
 
 
 ALL_TIER = f"""
-WITH {_REQUESTS}, a AS (SELECT day_key AS period_key, tier, model, count(*) AS requests, count(DISTINCT session) AS sessions, CAST(sum(k * 3) AS BIGINT) AS total_tokens, {_HALF('avg(duration_ms)', 4)} AS avg_duration_ms, {_HALF('quantile_cont(duration_ms, 0.5)', 4)} AS p50_duration_ms FROM r GROUP BY 1, 2, 3)
+WITH {_REQUESTS}, a AS (SELECT day_key AS period_key, tier, model, count(*) AS requests, count(DISTINCT session) AS sessions, CAST(sum(k * 3) AS BIGINT) AS total_tokens, {_HALF('avg(duration_ms)', 8)} AS avg_duration_ms, {_HALF('quantile_cont(duration_ms, 0.5)', 8)} AS p50_duration_ms FROM r GROUP BY 1, 2, 3)
 SELECT * FROM a UNION ALL SELECT period_key, 'all', model, CAST(sum(requests) AS BIGINT), CAST(sum(sessions) AS BIGINT), CAST(sum(total_tokens) AS BIGINT),
  CASE WHEN count(*) = 1 THEN max(avg_duration_ms) ELSE {_HALF('(sum(avg_duration_ms * requests) / sum(requests))', 2)} END, CASE WHEN count(*) = 1 THEN max(p50_duration_ms) END FROM a GROUP BY 1, 3
 """
