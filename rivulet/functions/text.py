@@ -49,6 +49,20 @@ def last_rule(c: Column, rules: Iterable[tuple[str, str]], default: str) -> Colu
     return out
 
 
+def hash31(c: Column) -> Column:
+    """The 31-multiplier hash of a text's code points modulo 2^32, in base 36: a short name for an expression."""
+    codes = F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long"))
+    total = F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: F.pmod(a * 31 + x, F.lit(1 << 32)))
+    return F.lower(F.conv(total.cast("string"), 10, 36))
+
+
+def hue(c: Column) -> Column:
+    """A colour's angle, 0 to 359, that depends on the text alone (a shift hash of its code points)."""
+    codes = F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long"))
+    signed = lambda v: F.pmod(v + (1 << 31), F.lit(1 << 32)) - (1 << 31)
+    return F.pmod(F.abs(F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: signed(x + a * 31))), F.lit(360)).cast("int")
+
+
 def token_estimate(c: Column) -> Column:
     """A quarter of the characters, rounded half up."""
     return F.floor(F.char_length(c) / 4 + F.lit(0.5)).cast("long")

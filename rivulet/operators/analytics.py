@@ -99,3 +99,14 @@ def top_per_group(rows: DataFrame, partition: list[str], k: int, *order) -> Data
 def with_total(rows: DataFrame, key: str, measures: dict[str, Column], label: str = "TOTAL") -> DataFrame:
     """Aggregates by a key and a grand total row, in one pass."""
     return rows.rollup(key).agg(F.grouping(key).alias("__total"), *[v.alias(k) for k, v in measures.items()]).select(F.when(F.col("__total") == 1, F.lit(label)).otherwise(F.col(key).cast("string")).alias(key), *measures)
+
+
+def recent(rows: DataFrame, ident: str, updated: str, limit: int, cutoff) -> DataFrame:
+    """The newest rows after a cutoff, one for each id, ties by id; a top-k sort."""
+    own = first_by(rows.filter(F.col(ident).isNotNull() & (F.col(updated) > cutoff)), [ident], [updated])
+    return own.orderBy(F.col(updated).desc(), ident).limit(limit)
+
+
+def sample(rows: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """n random rows; a top-k sort, so each task keeps n."""
+    return rows.orderBy(F.rand(seed)).limit(n)

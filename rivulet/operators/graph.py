@@ -156,7 +156,7 @@ def god_objects(nodes: DataFrame, coupling: DataFrame, roles: DataFrame, most_no
 
 
 def risk_level(score: Column) -> Column:
-    return F.when(score >= 0.8, "critical").when(score >= 0.6, "high").when(score >= 0.3, "medium").otherwise("low")
+    return F.when(score >= 0.55, "critical").when(score >= 0.30, "high").when(score >= 0.15, "medium").otherwise("low")
 
 
 def hotspots(files: DataFrame) -> DataFrame:
@@ -188,11 +188,11 @@ def risk_score(hotspot: Column, affected_files: Column, full_modules: Column, mo
 
 
 def coverage(affected: DataFrame, files: DataFrame, key: str) -> DataFrame:
-    """How much of each module is affected: full (all files), partial (half or more) or minimal."""
+    """How much of each module is affected: full (all files), minimal (one file of more than three) or partial."""
     total = files.groupBy(key).agg(F.count_distinct("file").alias("total_files"))
     hit = affected.join(files, "file").groupBy(key).agg(F.count_distinct("file").alias("affected_files"))
-    share = F.col("affected_files") / F.col("total_files")
-    return hit.join(total, key).withColumn("impact_level", F.when(share >= 1, "full").when(share >= 0.5, "partial").otherwise("minimal"))
+    level = F.when(F.col("affected_files") == F.col("total_files"), "full").when((F.col("affected_files") == 1) & (F.col("total_files") > 3), "minimal").otherwise("partial")
+    return hit.join(total, key).withColumn("impact_level", level)
 
 
 def confidence(length: Column, compatible: Column, hotspot: Column) -> Column:

@@ -385,7 +385,7 @@ def hotspot_scores(spark, sf_dir):
 HOTSPOTS = f"""
 WITH f AS (SELECT 'file' || l_suppkey AS file, count(DISTINCT l_partkey) AS i, count(DISTINCT l_orderkey) AS o, max(l_linenumber) AS m, count(*) AS loc, least(1, count(*) FILTER (l_quantity >= 50)) AS v FROM lineitem GROUP BY 1),
 s AS (SELECT *, least(1.0, (i * 1.5 + o) / max(i * 1.5 + o) OVER () * 0.4 + loc / max(loc) OVER () * 0.15 + m / greatest(1, max(m) OVER ()) * 0.1 + v * 0.2 + CASE WHEN i % 2 = 0 THEN 0.3 ELSE 0.0 END + least(0.5, o % 3 * 0.35)) AS score FROM f)
-SELECT file, {_HALF('CAST(score AS DOUBLE)', 6)} AS score, CASE WHEN score >= 0.8 THEN 'critical' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS risk_level,
+SELECT file, {_HALF('CAST(score AS DOUBLE)', 6)} AS score, CASE WHEN score >= 0.55 THEN 'critical' WHEN score >= 0.30 THEN 'high' WHEN score >= 0.15 THEN 'medium' ELSE 'low' END AS risk_level,
  'high_coupling,high_complexity' || CASE WHEN i % 2 = 0 THEN ',god_object' ELSE '' END || CASE WHEN o % 3 > 0 THEN ',circular_dependency' ELSE '' END AS reasons FROM s
 """
 
