@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings of every session; partition counts are left to the cluster and to AQE.
@@ -17,3 +21,17 @@ SETTINGS = {
 
 def build_session(app: str = "rivulet", **more: str) -> SparkSession:
     return SparkSession.builder.appName(app).config(map=SETTINGS | more).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once for each Spark context, so that their workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_rivulet_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="rivulet-code-")) / "rivulet.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    context.addPyFile(str(path))
+    context._rivulet_shipped = True

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a malformed line is skipped."""
@@ -53,6 +55,7 @@ def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
