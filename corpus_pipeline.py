@@ -12,22 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import bpe, decontam, simhash, store, suffixes
-from rivulet.llm.queries import table, toxicity_model
+from rivulet.llm.queries import prepare, table, toxicity_model
 from rivulet.llm.toxicity import reject
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on ``labels``, predicts toxic go."""
+    prepare(spark)
     return reject(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of exact and near copies (similarity of five-word shingles of 0.8 or more) the smallest doc_id's row stays."""
+    prepare(spark)
     return simhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of passages of 100 bytes or more that an earlier document has are cut; n_chars follows the text."""
+    prepare(spark)
     columns = docs.columns
     clean = suffixes.cleaned(suffixes.remove_repeats(docs), columns)
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else clean
@@ -35,11 +38,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark item go."""
+    prepare(spark)
     return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the number and digest of the ids, and the digest of the bytes decoded from them."""
+    prepare(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     return bpe.round_trip(docs, ranks, pattern)
