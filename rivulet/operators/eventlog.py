@@ -16,8 +16,7 @@ def read_after(log: DataFrame, aggregate: str, after: int = -1, limit: int | Non
     if limit is None:
         return own.orderBy("seq").withColumn("has_more", F.lit(False))
     more = own.orderBy("seq").limit(limit + 1)
-    n = more.agg((F.count(F.lit(1)) > limit).alias("has_more"))
-    return more.orderBy("seq").limit(limit).crossJoin(n).orderBy("seq")  # one row
+    return more.withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > limit).orderBy("seq").limit(limit)  # limit + 1 rows
 
 
 def incoming(log: DataFrame, batch: DataFrame, owners: DataFrame | None = None) -> DataFrame:

@@ -16,23 +16,17 @@ def left_where(left: DataFrame, right: DataFrame, on: Column, where: Column) ->
 def fallback(left: DataFrame, right: DataFrame, keys: list[Column], right_key: str, value: str, default: Column | None = None, name: str | None = None) -> DataFrame:
     """Look a value up by the first of several keys that has one. The lookup table must have one row a key.
 
-    All keys are looked up in one join: a row's keys are an array with their order, and the first hit wins.
+    A left join for each key: small lookup tables are broadcast by size, large ones shuffled, and no row ids are needed,
+    which would have to be the same when a lost task is run again.
     """
-    rid = "__rid"
-    rows = left.withColumn(rid, F.monotonically_increasing_id())
-    tries = rows.select(rid, F.posexplode(F.array(*[k.cast("string") for k in keys])).alias("__no", "__key")).filter("__key is not null")
-    hits = tries.join(right.select(F.col(right_key).cast("string").alias("__key"), F.col(value).alias("__value")), "__key").groupBy(rid).agg(F.min_by("__value", "__no").alias("__value"))
-    return rows.join(hits, rid, "left").withColumn(name or value, F.coalesce("__value", default) if default is not None else F.col("__value")).drop(rid, "__value")
-
-
-def fallback_chain(left: DataFrame, right: DataFrame, keys: list[Column], right_key: str, value: str, name: str) -> DataFrame:
-    """As :func:`fallback`, a left join for each key: for small lookup tables, which are then broadcast and need no row ids."""
     out, found = left, []
     for i, k in enumerate(keys):
-        look = right.select(F.col(right_key).alias(f"__k{i}"), F.col(value).alias(f"__v{i}"))
-        out = out.join(look, k == F.col(f"__k{i}"), "left")
+        look = right.select(F.col(right_key).cast("string").alias(f"__k{i}"), F.col(value).alias(f"__v{i}"))
+        out = out.join(look, k.cast("string") == F.col(f"__k{i}"), "left")
         found.append(F.col(f"__v{i}"))
-    return out.withColumn(name, F.coalesce(*found)).drop(*[f"__{x}{i}" for i in range(len(keys)) for x in "kv"])
+    if default is not None:
+        found.append(default)
+    return out.withColumn(name or value, F.coalesce(*found)).drop(*[f"__{x}{i}" for i in range(len(keys)) for x in "kv"])
 
 
 def calendar(days: DataFrame, start: Column, end: Column, name: str = "day") -> DataFrame:

@@ -6,7 +6,7 @@ import base64
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,8 +31,8 @@ def page(rows: DataFrame, keys: list[tuple[str, bool]], limit: int, cursor: list
     """
     found = rows.filter(after(keys, cursor, back)) if cursor else rows
     more = ordered(found, keys, back).limit(limit + 1)
-    first = ordered(more, keys, back).limit(limit)
-    return ordered(first.crossJoin(more.agg((F.count(F.lit(1)) > limit).alias("has_more"))), keys)  # one row
+    counted = more.withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy()) > limit)  # limit + 1 rows
+    return ordered(ordered(counted, keys, back).limit(limit), keys)
 
 
 def encode_cursor(**fields) -> str:
