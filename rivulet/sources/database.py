@@ -1,0 +1,145 @@
+"""A small database of Parquet tables: select, insert, update, delete, conflicts, counts, raw SQL, transactions, migrations.
+
+Tables are folders; a manifest names the current folder of each. A transaction writes new folders and then replaces the
+manifest by one rename, so readers see all of it or nothing. There is one writer at a time. Tables are rewritten whole:
+for large ones write by period (``sinks.upsert``).
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators import joins
+from . import sinks
+
+
+class Database:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._open: dict[str, DataFrame] | None = None
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def manifest(self) -> dict[str, dict]:
+        """Table to its folder and schema; and the migrations applied."""
+        at = self._path("manifest.json")
+        if not self._fs.exists(at):
+            return {}
+        stream = self._fs.open(at)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def tables(self) -> list[str]:
+        return sorted({k for k in self.manifest() if not k.startswith("__")} | set(self._open or ()))
+
+    def table(self, name: str) -> DataFrame:
+        """The table as it is, inside a transaction as that has made it."""
+        if self._open is not None and name in self._open:
+            return self._open[name]
+        found = self.manifest().get(name)
+        if found is None:
+            raise KeyError(f"no table {name}")
+        return self.spark.read.schema(T.StructType.fromJson(found["schema"])).parquet(f"{self.root}/{found['folder']}")
+
+    select = table
+
+    def count(self, name: str, where: Column | None = None) -> int:
+        return (self.table(name).filter(where) if where is not None else self.table(name)).count()
+
+    def sql(self, query: str) -> DataFrame:
+        """SQL, common table expressions included, over the tables by name."""
+        for name in self.tables():
+            self.table(name).createOrReplaceTempView(name)
+        return self.spark.sql(query)
+
+    @contextmanager
+    def transaction(self):
+        """Changes within are seen by later statements within, and by others once all are done; an error drops them."""
+        if self._open is not None:
+            yield self  # a nested one joins the outer
+            return
+        self._open = {}
+        try:
+            yield self
+            self._commit(self._open)
+        finally:
+            self._open = None
+
+    def _commit(self, changed: dict[str, DataFrame], **more) -> None:
+        now = self.manifest() | more
+        for name, df in changed.items():
+            folder = f"{name}-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.root}/{folder}")
+            now[name] = {"folder": folder, "schema": df.schema.jsonValue()}
+        staged = self._path(f"manifest-{uuid.uuid4().hex}")
+        out = self._fs.create(staged)
+        out.write(bytearray(json.dumps(now).encode()))
+        out.close()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        over = self.spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        hadoop.FileContext.getFileContext(staged.toUri(), self.spark._jsc.hadoopConfiguration()).rename(staged, self._path("manifest.json"), over)
+
+    def _put(self, name: str, df: DataFrame) -> None:
+        if self._open is not None:
+            self._open[name] = df
+        else:
+            self._commit({name: df})
+
+    def create(self, name: str, df: DataFrame) -> None:
+        self._put(name, df)
+
+    def insert(self, name: str, rows: DataFrame, keys: list[str] | None = None, conflict: str = "error") -> DataFrame:
+        """Insert rows (values or a query); on a conflict of keys "ignore" them, "update" the old row, or raise. Gives the rows that are new or changed."""
+        old = self.table(name)
+        rows = rows.select(*old.columns)
+        if keys is None:
+            self._put(name, old.unionByName(rows))
+            return rows
+        if conflict == "update":
+            self._put(name, sinks.merged(old, rows, keys))
+            return rows
+        fresh = sinks.insert_ignore(old, rows, keys)
+        if conflict == "error" and fresh.count() != rows.count():
+            raise ValueError(f"a key of {name} exists already")
+        self._put(name, old.unionByName(fresh.select(*old.columns)))
+        return fresh
+
+    def update(self, name: str, values: dict[str, Column], where: Column | None = None) -> None:
+        old = self.table(name)
+        hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
+        kinds = {f.name: f.dataType for f in old.schema.fields}
+        self._put(name, old.select(*[F.when(hit, values[c]).otherwise(F.col(c)).cast(kinds[c]).alias(c) if c in values else F.col(c) for c in old.columns]))
+
+    def update_from(self, name: str, source: DataFrame, keys: list[str], columns: list[str]) -> None:
+        self._put(name, joins.update_from(self.table(name), source, keys, columns))
+
+    def delete(self, name: str, where: Column) -> None:
+        self._put(name, self.table(name).filter(~F.coalesce(where, F.lit(False))))
+
+    def migrate(self, steps: dict[str, Callable[[Database], None]]) -> list[str]:
+        """Apply each named step once, in order, each in a transaction; gives the names applied now."""
+        done = []
+        for name, step in steps.items():
+            applied = self.manifest().get("__migrations", [])
+            if name in applied:
+                continue
+            self._open = {}
+            try:
+                step(self)
+                self._commit(self._open, __migrations=[*applied, name])
+            finally:
+                self._open = None
+            done.append(name)
+        return done

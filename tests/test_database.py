@@ -1,0 +1,46 @@
+import pytest
+from pyspark.sql import functions as F
+
+from rivulet.sources.database import Database
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_statements(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    db.create("users", spark.createDataFrame([(1, "ann", 10), (2, "bob", 20)], "id int, name string, n int"))
+    new = spark.createDataFrame([(2, "bobby", 21), (3, "cy", None)], "id int, name string, n int")
+    with pytest.raises(ValueError):
+        db.insert("users", new, ["id"])
+    assert rows(db.insert("users", new, ["id"], "ignore")) == [(3, "cy", None)]
+    db.insert("users", new, ["id"], "update")
+    assert rows(db.select("users")) == [(1, "ann", 10), (2, "bobby", 21), (3, "cy", None)]
+    db.update("users", {"n": F.col("n") + 1}, F.col("n") > 15)
+    db.delete("users", F.col("n") < 15)
+    assert rows(db.table("users")) == [(2, "bobby", 22), (3, "cy", None)]  # an unknown comparison deletes nothing
+    db.update_from("users", spark.createDataFrame([(3, 7)], "id int, n int"), ["id"], ["n"])
+    assert db.count("users", F.col("n") == 7) == 1
+    assert rows(db.sql("WITH b AS (SELECT * FROM users WHERE n > 10) SELECT count(*), max(name) FROM b")) == [(1, "bobby")]
+
+
+def test_transactions_and_migrations(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    one = spark.createDataFrame([(1,)], "id int")
+    with db.transaction():
+        db.create("a", one)
+        db.create("b", one)
+        db.insert("a", db.table("b"))
+    assert db.tables() == ["a", "b"] and db.count("a") == 2
+    with pytest.raises(RuntimeError), db.transaction():
+        db.delete("a", F.lit(True))
+        assert db.count("a") == 0
+        raise RuntimeError
+    assert db.count("a") == 2
+    calls = []
+    steps = {"001": lambda d: (calls.append(1), d.create("c", d.table("a").withColumn("x", F.lit(0)))), "002": lambda d: calls.append(2)}
+    assert db.migrate(steps) == ["001", "002"] and db.migrate(steps) == [] and calls == [1, 2]
+    assert Database(spark, f"file://{tmp_path}/db").table("c").columns == ["id", "x"]
+    with pytest.raises(KeyError):
+        db.table("none")
