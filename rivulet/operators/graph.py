@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Confidence that a change reaches a file, by its distance in steps (1 to 5).
 DEPTH_CONFIDENCE = (1.0, 0.9, 0.75, 0.6, 0.45)
 
@@ -23,17 +25,13 @@ def adjacency(edges: DataFrame, kinds: list[str] | None = None, reverse: bool =
     return own.select(F.col(f"`{a}`").alias("src"), F.col(f"`{b}`").alias("dst")).distinct()
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
-
-
 def reach(adj: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(origin, node, depth): the least number of steps, 1 to ``depth``, from each origin (column ``origin``) to the nodes that it reaches."""
     seen = starts.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth"))
     frontier = seen
     for d in range(1, depth + 1):
         step = frontier.select("origin", F.col("node").alias("src")).join(adj, "src").select("origin", F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        frontier = cut(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen.filter("depth > 0")
 
@@ -45,7 +43,7 @@ def shortest_paths(adj: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     for _ in range(depth):
         step = frontier.select("origin", F.col("node").alias("src"), "path").join(adj, "src").select("origin", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
         new = step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").groupBy("origin", "node").agg(F.min("path").alias("path"))
-        frontier = _cut(new)
+        frontier = cut(new)
         seen = seen.unionByName(frontier)
     return seen.select("origin", "node", (F.size("path") - 1).alias("length"), "path")
 
@@ -86,7 +84,7 @@ def on_cycles(adj: DataFrame, depth: int) -> DataFrame:
     seen = frontier = first
     for d in range(2, depth + 1):
         step = frontier.select("origin", F.col("node").alias("src")).join(adj, "src").select("origin", F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        frontier = cut(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen.filter("origin = node").select(F.col("origin").alias("node"), "depth")
 

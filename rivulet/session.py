@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings of every session; partition counts are left to the cluster and to AQE.
 SETTINGS = {
@@ -35,3 +35,13 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(home.parent))
     context.addPyFile(str(path))
     context._rivulet_shipped = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iteration by a reliable checkpoint, where the session names a folder for them."""
+    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
