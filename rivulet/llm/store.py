@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one of this context."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_rivulet_dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='rivulet-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = spark.sparkContext._rivulet_dir = f"file://{tempfile.mkdtemp(prefix='rivulet-')}"
     return folder.rstrip("/")
 
 
