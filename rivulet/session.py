@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -29,7 +31,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_rivulet_shipped", False):
         return
     home = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="rivulet-code-")) / "rivulet.zip"
+    folder = tempfile.mkdtemp(prefix="rivulet-code-")  # on the driver, which serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "rivulet.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(home.rglob("*.py")):
             z.write(f, f.relative_to(home.parent))
