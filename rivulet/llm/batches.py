@@ -94,7 +94,7 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
         out = np.full(max(n + 1, 1 << 16), base, np.uint64)
         out[0] = 1
         held = np.multiply.accumulate(out)
-        if n < 1 << 22:
+        if n < 1 << 18:
             _POWERS[base] = held
     return held[: n + 1]
 

@@ -285,7 +285,7 @@ def sort_windows(edges: DataFrame, buckets: int, length: int = LENGTH) -> DataFr
         outer = (group == 0) | (group == group[-1])
         sizes = np.bincount(group)
         for touching, rows in ((True, order[outer]), (False, order[~outer & (sizes[group] > 1)])):
-            step = 20_000
+            step = 4_000
             done = 0
             groups = np.cumsum(np.diff(cols[0][rows], prepend=cols[0][rows][:1]) != 0)
             while done < len(rows):
