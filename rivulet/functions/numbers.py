@@ -61,5 +61,5 @@ def processing_fee(cents: Column, percent: float, fixed_cents: int) -> Column:
 
 
 def weighted_mean(value: Column, weight: Column, places: int = 2) -> Column:
-    """Aggregate: mean weighted over the rows that have a value, rounded once."""
-    return half_up(F.sum(value * weight) / F.nullif(F.sum(F.when(value.isNotNull(), weight)), F.lit(0)), places)
+    """Aggregate: mean weighted over the rows that have a value, rounded once. The sum is a decimal's, so that it does not depend on the order of rows."""
+    return half_up(F.sum((value * weight).cast("decimal(28,8)")).cast("double") / F.nullif(F.sum(F.when(value.isNotNull(), weight)), F.lit(0)), places)

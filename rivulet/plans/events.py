@@ -70,7 +70,7 @@ def all_tier_synthesis(spark, sf_dir):
 ALL_TIER = f"""
 WITH {_REQUESTS}, a AS (SELECT day_key AS period_key, tier, model, count(*) AS requests, count(DISTINCT session) AS sessions, CAST(sum(k * 3) AS BIGINT) AS total_tokens, {_HALF('avg(duration_ms)', 8)} AS avg_duration_ms, {_HALF('quantile_cont(duration_ms, 0.5)', 8)} AS p50_duration_ms FROM r GROUP BY 1, 2, 3)
 SELECT * FROM a UNION ALL SELECT period_key, 'all', model, CAST(sum(requests) AS BIGINT), CAST(sum(sessions) AS BIGINT), CAST(sum(total_tokens) AS BIGINT),
- CASE WHEN count(*) = 1 THEN max(avg_duration_ms) ELSE {_HALF('(sum(avg_duration_ms * requests) / sum(requests))', 2)} END, CASE WHEN count(*) = 1 THEN max(p50_duration_ms) END FROM a GROUP BY 1, 3
+ CASE WHEN count(*) = 1 THEN max(avg_duration_ms) ELSE {_HALF('(CAST(sum(CAST(avg_duration_ms * requests AS DECIMAL(28,8))) AS DOUBLE) / sum(requests))', 2)} END, CASE WHEN count(*) = 1 THEN max(p50_duration_ms) END FROM a GROUP BY 1, 3
 """
 
 

@@ -26,7 +26,7 @@ def weighted_average_merge(spark, sf_dir):
     return rollup.merged(lines, ["l_returnflag", "l_linestatus"], added=("requests",), averaged=("avg_quantity",), percentiles=())
 
 
-WEIGHTED = f"WITH a AS (SELECT l_returnflag, l_linestatus, l_suppkey, count(*) AS requests, {_HALF('avg(l_quantity)', 2)} AS avg_quantity FROM lineitem GROUP BY 1, 2, 3) SELECT l_returnflag, l_linestatus, CAST(sum(requests) AS BIGINT) AS requests, {_HALF('(sum(avg_quantity * requests) / sum(requests))', 2)} AS avg_quantity FROM a GROUP BY 1, 2"
+WEIGHTED = f"WITH a AS (SELECT l_returnflag, l_linestatus, l_suppkey, count(*) AS requests, {_HALF('avg(l_quantity)', 2)} AS avg_quantity FROM lineitem GROUP BY 1, 2, 3) SELECT l_returnflag, l_linestatus, CAST(sum(requests) AS BIGINT) AS requests, {_HALF('(CAST(sum(CAST(avg_quantity * requests AS DECIMAL(28,8))) AS DOUBLE) / sum(requests))', 2)} AS avg_quantity FROM a GROUP BY 1, 2"
 
 
 def rank_market_share(spark, sf_dir):
