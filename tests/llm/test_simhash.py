@@ -129,3 +129,41 @@ def test_near_copies_are_found_and_others_kept(spark):
     kept = [r.doc_id for r in simhash.keep_one(frame).collect()]
     firsts = [i for i, t in enumerate(rows) if not any(jaccard(t, u) > 0.5 for u in rows[max(0, i - 7) : i])]
     assert set(firsts) <= set(kept) and len(kept) <= expected * 1.03
+
+
+def edited(rng, words, base, kind, share):
+    """A copy of ``base`` that is cut, appended to, or has words inserted: ``share`` of its words."""
+    k, new = int(len(base) * share), [rng.choice(words) + "q" for _ in range(int(len(base) * share))]
+    if kind == "cut":
+        return base[: len(base) - k]
+    if kind == "append":
+        return base + new
+    at = rng.randint(0, len(base))
+    return base[:at] + new + base[at:]
+
+
+def held_against_brute(spark, texts):
+    """Links are of similarity 0.8 or more, and connect all such pairs; equal texts are one."""
+    texts = list(dict.fromkeys(texts))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    nodes = simhash.prefixes(frame, *simhash.frequent_shingles(frame)).select("mark", "keys").dropDuplicates(["mark"])
+    place = {r.mark: r.doc_id for r in simhash.prefixes(frame, np.zeros(0, np.uint64), np.zeros(0, np.int64)).collect()}
+    got = [(place[r.a], place[r.b]) for r in simhash.copy_links(frame, nodes).collect()]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in got)
+    assert classes(len(texts), got) == classes(len(texts), near)
+    kept = sorted(r.doc_id for r in simhash.keep_one(frame).collect())
+    assert kept == sorted(set(classes(len(texts), near)))
+    return near
+
+
+def test_cut_appended_and_inserted_copies_are_all_found(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(600)]
+    texts = []
+    for g in range(40):
+        base = [rng.choice(words) for _ in range(rng.choice((12, 40, 150, 400)))]
+        texts.append(" ".join(base))
+        for kind in ("cut", "append", "insert"):
+            texts.append(" ".join(edited(rng, words, base, kind, rng.uniform(0.02, 0.24))))
+    assert len(held_against_brute(spark, texts)) > 80
