@@ -167,3 +167,19 @@ def test_cut_appended_and_inserted_copies_are_all_found(spark):
         for kind in ("cut", "append", "insert"):
             texts.append(" ".join(edited(rng, words, base, kind, rng.uniform(0.02, 0.24))))
     assert len(held_against_brute(spark, texts)) > 80
+
+
+def test_less_similar_texts_stay(spark):
+    """Texts of similarity 0.4 to 0.79 are not copies, and chains of them delete nothing."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(600)]
+    texts = []
+    for g in range(30):
+        base = [rng.choice(words) for _ in range(300)]
+        texts.append(" ".join(base))
+        for share in (0.27, 0.35, 0.5, 0.8):
+            texts.append(" ".join(edited(rng, words, base, "append", share)))
+    assert all(0.4 < jaccard(texts[i], texts[0]) < 0.8 for i in (1, 2, 3, 4))
+    near = held_against_brute(spark, texts)
+    frame = spark.createDataFrame([(5 * g + k, texts[5 * g + k]) for g in range(30) for k in (0, 1)], "doc_id long, text string")
+    assert not any(j % 5 == 0 for _, j in near) and simhash.keep_one(frame).count() == 60
