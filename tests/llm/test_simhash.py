@@ -183,3 +183,18 @@ def test_less_similar_texts_stay(spark):
     near = held_against_brute(spark, texts)
     frame = spark.createDataFrame([(5 * g + k, texts[5 * g + k]) for g in range(30) for k in (0, 1)], "doc_id long, text string")
     assert not any(j % 5 == 0 for _, j in near) and simhash.keep_one(frame).count() == 60
+
+
+def test_crowds_of_one_vocabulary_lose_no_pair(spark, monkeypatch):
+    """400 texts of one set of words, each with a near copy: whichever texts stand between the two, they are linked."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    opening = [rng.choice(words) for _ in range(12)]
+    texts = []
+    for _ in range(400):
+        own = rng.sample(words, 60)
+        texts += [" ".join(opening + own), " ".join(opening + own[1:] + own[:1])]
+    near = held_against_brute(spark, texts)
+    assert {(2 * k + 1, 2 * k) for k in range(400)} <= set(near)
+    monkeypatch.setattr(simhash.copy_links, "__defaults__", (3, 2))
+    assert held_against_brute(spark, texts[:60]) == [p for p in near if p[0] < 60]
