@@ -39,7 +39,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark item go."""
     prepare(spark)
-    return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"), True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

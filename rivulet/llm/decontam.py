@@ -3,8 +3,10 @@
 Texts are tokens: runs of ASCII letters, digits and non-ASCII characters, in lower case. A fixed mask selects some of
 a span of tokens and ignores the others; tokens selected from benchmark items and from documents are hashed, and equal
 hashes are hits, so an overlap with substituted tokens is still hit by a mask that ignores them. Around each hit the
-two texts are compared token by token along the hit's diagonal: the best-scoring stretch (a match 1, a substitution
--``PENALTY``) is an overlap if it has ``LEAST`` tokens (or the whole of a shorter item) and enough matches.
+two texts are compared token by token along the hit's diagonal. The ``whole`` rule, which the query and the pipeline use:
+any window of ``LEAST`` tokens or more (or the whole of a shorter item) with a share of ``IDENTITY`` of matches is an
+overlap, and none is missed. Without ``whole`` only the best-scoring stretch (a match 1, a substitution -``PENALTY``) of
+a diagonal is tested, and only if one of ``MASKS`` hits it.
 
 The benchmark is a stated query set: it is read in blocks of ``BLOCK_BYTES``, each sent to all tasks, whatever its
 size; documents are never shuffled to find hits.
@@ -28,6 +30,9 @@ from .batches import ODD, Spans, lower_bytes, lowered, mix, pieces, tokens
 #: Fixed masks; 1 selects a token. All have six ones.
 MASKS = ("111111", "1101111", "11011011", "1100101101", "10110010011")
 LEAST, FEWEST, IDENTITY, PENALTY = 13, 6, 0.75, 2
+#: Three tokens in a row, which with ``MASKS`` hits every window that meets the rule: m matches and at most m / 3
+#: substitutions leave a run of three, but for eight tokens of the pattern 11011011, which is a mask.
+RUN = "111"
 BLOCK_BYTES = 16 << 20
 _FILTER_BITS = 22
 _SCHEMA = "doc_id long, item_id long, start long, end long, item_start long, item_end long, matches long, length long, identity double"
@@ -65,26 +70,27 @@ class Index:
     hashes: np.ndarray
     first: np.ndarray
     tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    whole: bool = False
 
     @staticmethod
-    def of(items: list[tuple[int, str]]) -> Index:
+    def of(items: list[tuple[int, str]], whole: bool = False) -> Index:
         items = [x for x in items if x[1]]
         raw = [lower_bytes(x[1]) for x in items]
         ends = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
         hashes, _, _, first = token_hashes(np.frombuffer(b"".join(raw), np.uint8), ends)
         tables = []
-        for mask in MASKS:
+        for mask in (*MASKS, RUN) if whole else MASKS:
             h, at = seeds(hashes, first, mask)
             order = np.argsort(h, kind="stable")
             sieve = np.zeros(1 << _FILTER_BITS, bool)
             sieve[h >> np.uint64(64 - _FILTER_BITS)] = True
             tables.append((h[order], at[order], sieve))
-        return Index(np.array([x[0] for x in items], np.int64), hashes, first, tables)
+        return Index(np.array([x[0] for x in items], np.int64), hashes, first, tables, whole)
 
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """(text, item, diagonal) of all hits, each once. The diagonal is the item's place less the text's, in tokens."""
         found = []
-        for mask, (own, places, sieve) in zip(MASKS, self.tables):
+        for mask, (own, places, sieve) in zip((*MASKS, RUN), self.tables):
             h, at = seeds(hashes, first, mask)
             passed = np.flatnonzero(sieve[h >> np.uint64(64 - _FILTER_BITS)])
             lo, hi = np.searchsorted(own, h[passed], "left"), np.searchsorted(own, h[passed], "right")
@@ -93,10 +99,54 @@ class Index:
             place = places[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
             text = np.searchsorted(first, mine, "right") - 1
             item = np.searchsorted(self.first, place, "right") - 1
+            if self.whole:
+                near = self.near(hashes, first, mine, text, place, item)
+                mine, place, text, item = mine[near], place[near], text[near], item[near]
             found.append(np.stack([text, item, (place - self.first[item]) - (mine - first[text])], 1))
         return np.unique(np.concatenate(found), axis=0)
 
 
+    def near(self, hashes: np.ndarray, first: np.ndarray, mine: np.ndarray, text: np.ndarray, place: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether some window around a hit meets the rule. One of 2 * LEAST tokens or more has a half that meets it, so shorter ones tell."""
+        out = np.zeros(len(mine), bool)
+        reach = np.arange(2 - 2 * LEAST, 2 * LEAST - 1)
+        own = self.first[item + 1] - self.first[item]
+        least = np.minimum(LEAST, own)
+        for at in range(0, len(mine), 1 << 14):
+            cut = slice(at, at + (1 << 14))
+            a, b = mine[cut, None] + reach, place[cut, None] + reach
+            inside = (a >= first[text[cut], None]) & (a < first[text[cut] + 1, None]) & (b >= self.first[item[cut], None]) & (b < self.first[item[cut] + 1, None])
+            same = inside & (hashes[np.clip(a, 0, len(hashes) - 1)] == self.hashes[np.clip(b, 0, len(self.hashes) - 1)])
+            # Beyond a text's end nothing counts: more is lost there than all matches make good.
+            total = np.pad(np.cumsum(np.where(same, 1, np.where(inside, -3, -200)), axis=1), ((0, 0), (1, 0)))
+            low = np.minimum.accumulate(total, axis=1)
+            for n in np.unique(least[cut]):
+                out[cut] |= (least[cut] == n) & (own[cut] >= FEWEST) & (total[:, n:] >= low[:, :-n]).any(axis=1)
+        return out
+
+
+def window(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
+    """(first token of the document, tokens, matches) of the window of a diagonal that meets the rule with the most matches, or None."""
+    lo, hi = max(0, -diagonal), min(len(doc), len(item) - diagonal)
+    least = min(LEAST, len(item))
+    if hi - lo < least or len(item) < FEWEST:
+        return None
+    same = doc[lo:hi] == item[lo + diagonal : hi + diagonal]
+    # Three of four match if and only if the sum of 1 for a match and -3 for a substitution is not negative.
+    total = np.concatenate(([0], np.cumsum(np.where(same, 1, -3))))
+    count = np.concatenate(([0], np.cumsum(same)))
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")  # for each end the first start that will do
+    end = np.arange(len(total))
+    fits = np.flatnonzero(end - start >= least)
+    if not len(fits):
+        return None
+    to = int(fits[np.argmax(count[fits] - count[start[fits]])])
+    at = int(start[to])
+    while not same[at] and to - at > least:
+        at += 1
+    return lo + at, to - at, int(count[to] - count[at])
+
+
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
     """(first token of the document, tokens, matches) of the accepted stretch of a diagonal, or None."""
     lo, hi = max(0, -diagonal), min(len(doc), len(item) - diagonal)
@@ -126,10 +176,10 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tupl
         yield own
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
     """The best overlap of each document with each item: byte range in the document, token range in the item, matches, length."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [_search(own, Index.of(items)) for items in blocks(benchmark)]
+    parts = [_search(own, Index.of(items, whole)) for items in blocks(benchmark)]
     if not parts:
         return own.sparkSession.createDataFrame([], _SCHEMA)
     out = parts[0]
@@ -144,7 +194,7 @@ def best_overlaps(index: Index, texts: pa.Array) -> list[tuple]:
     hashes, start, stop, first = token_hashes(data, ends)
     best: dict[tuple[int, int], tuple] = {}
     for text, item, diagonal in index.hits(hashes, first).tolist():
-        found = overlap(hashes[first[text] : first[text + 1]], index.hashes[index.first[item] : index.first[item + 1]], diagonal)
+        found = (window if index.whole else overlap)(hashes[first[text] : first[text + 1]], index.hashes[index.first[item] : index.first[item + 1]], diagonal)
         if found and found[2] > best.get((text, item), (0,) * 7)[5]:
             at, length, matches = found
             base = first[text] + at
@@ -166,11 +216,11 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
     return docs.mapInArrow(run, _SCHEMA)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
     """``docs`` without the rows that overlap with an item; columns and types stay. One pass for each block."""
     out = docs
     for items in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Index.of(items))
+        shared = docs.sparkSession.sparkContext.broadcast(Index.of(items, whole))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches):

@@ -29,7 +29,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), True)
 
 
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,3 +129,42 @@ def test_empty_and_clashing(spark, docs, no_docs, case):
     assert decontam.remove_contaminated(docs, bench.limit(0)).count() == docs.count()
     odd = docs.withColumn("item_id", F.lit("x")).withColumn("start", F.lit(None).cast("int"))
     assert decontam.remove_contaminated(odd, bench.withColumn("doc_id", F.lit(1))).columns == odd.columns
+
+
+def by_rule(doc, item):
+    """Written from the rule: any window of 13 tokens or more (or a whole shorter item) of which 3 of 4 match."""
+    least = min(13, len(item))
+    for diagonal in range(-len(doc), len(item)):
+        lo, hi = max(0, -diagonal), min(len(doc), len(item) - diagonal)
+        same = [doc[k] == item[k + diagonal] for k in range(lo, hi)]
+        if any(4 * sum(same[s:e]) >= 3 * (e - s) for s in range(len(same)) for e in range(s + least, len(same) + 1)):
+            return len(item) >= 6
+    return False
+
+
+def test_whole_rule_misses_nothing(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(40)]
+    items, docs = [], []
+    for n in (6, 7, 8, 9, 11, 12, 13, 13, 15, 16, 18, 20, 26, 40, 5):
+        items.append([rng.choice(words) for _ in range(n)])
+        for _ in range(12):
+            own = list(items[-1])
+            for k in rng.sample(range(n), min(n, round(n * rng.choice((0.08, 0.15, 0.2, 0.25, 0.3))))):
+                own[k] = "x"
+            docs.append([rng.choice(words) for _ in range(rng.randint(0, 9))] + own + [rng.choice(words) for _ in range(rng.randint(0, 9))])
+    long = [f"v{k}" for k in range(89)]
+    items += [long]
+    docs += [["x" if k % 4 == 3 else w for k, w in enumerate(long)], ["x" if k % 4 == 0 else w for k, w in enumerate(long[:16])]]
+    docs += [["x" if k % 19 > 12 else w for k, w in enumerate(long)], ["x" if k % 3 == 2 else w for k, w in enumerate(items[2])]]
+    expected = {(d, i) for d, a in enumerate(docs) for i, b in enumerate(items) if by_rule(a, b)}
+    text = lambda rows: [(k, " ".join(r)) for k, r in enumerate(rows)]
+    frame, bench = spark.createDataFrame(text(docs), "doc_id long, text string").repartition(3), spark.createDataFrame(text(items), BENCH)
+    rows = decontam.overlaps(frame, bench, True).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == expected
+    for r in rows:
+        assert r.length >= min(13, len(items[r.item_id])) and 4 * r.matches >= 3 * r.length
+        part = " ".join(docs[r.doc_id]).encode()[r.start : r.end].decode().split()
+        assert r.matches == sum(a == b for a, b in zip(part, items[r.item_id][r.item_start : r.item_end], strict=True))
+    assert {r.doc_id for r in decontam.remove_contaminated(frame, bench, True).collect()} == set(range(len(docs))) - {d for d, _ in expected}
+    assert {(r.doc_id, r.item_id) for r in decontam.overlaps(frame, bench).collect()} < expected
