@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import pieces
@@ -29,6 +29,8 @@ from .store import materialize
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Leading bits that name a part of the variant space; variants listed at once in a task.
 PART_BITS, LISTED = 8, 1 << 21
+#: Fingerprints of a part beyond which it is split.
+CROWD = 500_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -127,27 +129,48 @@ def forest(n: int, pairs: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, part_bits: int = PART_BITS) -> DataFrame:
+def extended(sent: DataFrame, bits: int, more: int, half: int) -> DataFrame:
+    """(part, fp, spent) of parts of ``bits`` leading bits, sent on to parts of ``more`` bits more that the ball reaches."""
+    flips = F.array(*[F.lit(m).cast("long") for k in masks(more, half) for m in k])
+    own = F.shiftrightunsigned("fp", BITS - bits - more).bitwiseAND(F.lit((1 << more) - 1))
+    reached = F.explode(F.filter(flips, lambda m: F.bit_count(m) + F.col("spent") <= half)).alias("flip")
+    moved = sent.select("part", "fp", "spent", reached)
+    return moved.select(F.shiftleft("part", more).bitwiseOR(own.bitwiseXOR(F.col("flip"))).alias("part"), "fp", (F.col("spent") + F.bit_count("flip")).alias("spent"))
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, part_bits: int = PART_BITS, crowd: int = CROWD, step: int = 4) -> DataFrame:
     """(a, b): verified links between distinct fingerprints (column fp) that connect all within ``radius`` bits.
 
-    A part of the variant space that holds many fingerprints is one task's, so parts are split further by more leading
-    bits as the table grows: ``part_bits`` should be chosen for a few 100,000 fingerprints in a part (see ``bits_for``).
+    ``part_bits`` should be chosen for a few 100,000 fingerprints in a part (see ``bits_for``). A part that holds more
+    than ``crowd``, as a dense region of the fingerprints does, is split by ``step`` further leading bits, and again,
+    until none does: no region is one task's.
     """
     half = radius // 2
     if radius % 2:
         raise ValueError("the radius must be even")
-    flips = [m for k in masks(part_bits, half) for m in k]
-    head = F.shiftrightunsigned("fp", BITS - part_bits)
-    sent = distinct.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in flips])).alias("flip")).select(head.bitwiseXOR(F.col("flip")).alias("part"), "fp")
 
-    def run(table: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        fps = np.sort(table.column("fp").to_numpy().view(np.uint64))
-        found = fps[collisions(table.column("part")[0].as_py(), fps, half, part_bits)].view(np.int64)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
-
-    return sent.groupBy("part").applyInArrow(run, "a long, b long")
+    def listed(bits: int):
+        def run(table: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            fps = np.sort(table.column("fp").to_numpy().view(np.uint64))
+            found = fps[collisions(table.column("part")[0].as_py(), fps, half, bits)].view(np.int64)
+            return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+        return run
+
+    sent = extended(distinct.select(F.lit(0).cast("long").alias("part"), "fp", F.lit(0).alias("spent")), 0, part_bits, half)
+    bits, out = part_bits, None
+    while True:
+        dense = sent.groupBy("part").count().filter(F.col("count") > crowd).select("part")
+        last = bits + step > BITS - step or dense.isEmpty()
+        ready = sent if last else sent.join(dense, "part", "left_anti")
+        found = ready.select("part", "fp").groupBy("part").applyInArrow(listed(bits), "a long, b long")
+        out = found if out is None else out.unionByName(found)
+        if last:
+            return out
+        sent = materialize(extended(sent.join(dense, "part", "left_semi"), bits, step, half), "simhash-dense")
+        bits += step
 
 
 def bits_for(n: int) -> int:
@@ -164,190 +187,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lows, "root").select(F.col("fp").alias("__fp"), "component_id")
     return fps.join(named, F.col("fp") == F.col("__fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-#: Near copies are texts whose sets of five-word shingles have a similarity (Jaccard) of 0.8 or more. Texts of a sample
-#: that tell frequent shingles, frequent shingles told apart at most, texts of a block, and texts of a key whose pairs are rows.
-COPY_SHINGLE, SAMPLED, FREQUENT, BLOCK, FEW = 5, 40_000, 200_000, 64, 32
-
-
-def shingle_set(text: bytes) -> np.ndarray:
-    """Sorted distinct XXH64 of the five-word shingles (of all words, if fewer) of the ASCII-lower-cased text."""
-    words = text.lower().split()
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - COPY_SHINGLE + 1)
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + COPY_SHINGLE]), SEED) for i in range(n)), np.uint64, n))
-
-
-def similar(common, a, b):
-    """Whether sets of ``a`` and ``b`` members with ``common`` of them in both have a Jaccard similarity of 0.8 or more."""
-    return 9 * common >= 4 * (a + b)
-
-
-def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first fifth, and one, of a set in the order of (rank, hash): two sets of similarity 0.8 have a member in both prefixes.
-
-    They have 4/5 of either set in common. If the prefixes had nothing in common, the one that ends first would have
-    n // 5 + 1 members that the other set lacks. This holds in any order; ``rank`` of the ``frequent`` (sorted) hashes
-    puts them last, so that few unrelated texts meet.
-    """
-    late = np.zeros(len(own), np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-        late = np.where(frequent[at] == own, rank[at], 0)
-    return own[np.lexsort((own, late))[: len(own) // 5 + 1]]
-
-
-def _texts(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-
-
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of three or more texts of a sample, sorted, and their numbers: only an order, nothing is left out by it."""
-    own = _texts(docs)
-    every = max(1, own.count() // SAMPLED)
-    # By a second hash: texts of one mark are in or out together and count once.
-    sample = own.filter(F.pmod(F.xxhash64("mark"), F.lit(every)) == 0).dropDuplicates(["mark"]).select("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            sets = [shingle_set(x.encode()) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
-
-    counts = sample.mapInArrow(run, "h long").groupBy("h").count().filter("count >= 3").orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
-    hashes = counts.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], counts.column("count").to_numpy()[order]
-
-
-def prefixes(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """doc_id, mark (a hash of the text) and keys (the prefix of its shingle set) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, rank))  # FREQUENT members at most
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            keys = [prefix(shingle_set(x.encode()), *shared.value).view(np.int64) for x in batch.column("text").to_pylist()]
-            ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["doc_id", "mark", "keys"])
-
-    return _texts(docs).mapInArrow(run, "doc_id long, mark long, keys array<long>")
-
-
-def shingle_sets(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """(mark, own): the shingle set, 8 bytes a member, of each text that ``marks`` has; one row a text."""
-    texts = _texts(docs).join(marks, "mark", "left_semi").select("mark", "text").dropDuplicates(["mark"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array([shingle_set(x.encode()).tobytes() for x in batch.column("text").to_pylist()], pa.binary())], ["mark", "own"])
-
-    return texts.mapInArrow(run, "mark long, own binary")
-
-
-def linked(sets: list[np.ndarray], keys: list[np.ndarray], side: np.ndarray) -> np.ndarray:
-    """Pairs (m, 2) of places whose sets are similar: a forest that connects all such pairs that have a key in common.
-
-    ``side`` 1 and 2 are the two blocks of a comparison between them, 0 is a block with itself. Only pairs that earlier
-    links already connect are passed over.
-    """
-    n, size = len(sets), np.array([len(x) for x in sets])
-    where = np.concatenate([np.full(len(k), i) for i, k in enumerate(keys)])
-    flat = np.concatenate(keys)
-    order = np.argsort(flat, kind="stable")
-    flat, where = flat[order], where[order]
-    group = np.arange(n)
-    out = []
-    for i in range(n):
-        lo, hi = np.searchsorted(flat, keys[i], "left"), np.searchsorted(flat, keys[i], "right")
-        near = np.unique(np.concatenate([where[x:y] for x, y in zip(lo, hi)]))
-        near = near[(near > i) & (group[near] != group[i]) & similar(np.minimum(size[near], size[i]), size[near], size[i])]
-        near = near[(side[near] == 0) | (side[near] != side[i])]
-        if not len(near):
-            continue
-        other = np.concatenate([sets[j] for j in near])
-        at = np.minimum(np.searchsorted(sets[i], other), size[i] - 1)
-        common = np.add.reduceat((sets[i][at] == other).astype(np.int64), np.concatenate(([0], np.cumsum(size[near])[:-1])))
-        for j in near[similar(common, size[near], size[i])]:
-            if group[j] != group[i]:
-                group[group == group[j]] = group[i]
-                out.append((i, j))
-    return np.array(out, np.int64).reshape(-1, 2)
-
-
-def copy_pairs(few: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): the similar ones of the pairs (a, b) of texts, by their whole sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            read = lambda name: [np.frombuffer(x, np.uint64) for x in batch.column(name).to_pylist()]
-            good = [bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))) for x, y in zip(read("x"), read("y"))]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    first, second = (sets.select(F.col("mark").alias(k), F.col("own").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return few.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
-
-
-def copy_links(docs: DataFrame, nodes: DataFrame, block: int = BLOCK, few: int = FEW) -> DataFrame:
-    """(a, b): links between marks of texts of similarity 0.8 or more that connect all such pairs; ``nodes`` has mark and keys.
-
-    Pairs that share a key of at most ``few`` texts, of sizes that allow the similarity, are compared each. Texts that
-    share a key of more meet in the key's bucket: the least such key of any text that has the key. So texts with many
-    keys in common meet a few times, not once a key. A bucket is cut into blocks by mark and each two blocks are
-    compared in a task of their own, so a large family is spread over tasks and no pair is left out.
-    """
-    own = nodes.select("mark", F.size("keys").alias("n"), F.explode("keys").alias("key"))
-    many = own.groupBy("key").agg(F.min("mark").alias("x"), F.max("mark").alias("y")).filter("x <> y").select("key")
-    own = materialize(own.join(many, "key").distinct(), "copies-keys")
-    texts = own.groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
-    own = materialize(own.join(texts, "key"), "copies-shared")
-    cold, own = own.filter(F.col("texts") <= few), own.filter(F.col("texts") > few)
-    # A prefix has n // 5 + 1 of n members: of sizes with min / max >= 4 / 5 the prefixes p, q have 5 q >= 4 (p - 1).
-    fits = (5 * F.least("n", "m") >= 4 * (F.greatest("n", "m") - 1)) & (F.col("a") < F.col("b"))
-    pairs = cold.select("key", F.col("mark").alias("a"), "n").join(cold.select("key", F.col("mark").alias("b"), F.col("n").alias("m")), "key").filter(fits)
-    pairs = materialize(pairs.select("a", "b").distinct(), "copies-pairs")
-    least = own.groupBy("mark").agg(F.min("key").alias("least"))
-    buckets = own.join(least, "mark").groupBy("key").agg(F.min("least").alias("bucket"))
-    met = materialize(own.join(buckets, "key").groupBy("bucket", "mark").agg(F.collect_list("key").alias("keys")), "copies-met")
-    wanted = pairs.select(F.col("a").alias("mark")).unionByName(pairs.select(F.col("b").alias("mark"))).unionByName(met.select("mark")).distinct()
-    sets = materialize(shingle_sets(docs, wanted), "copies-sets")
-    sizes = met.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
-    met = met.join(sizes, "bucket").withColumn("i", F.pmod(F.xxhash64("mark"), "blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j")
-    side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side")
-    sent = met.join(sets, "mark").select("bucket", "mark", "keys", "own", "i", other).select("bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), side, "mark", "keys", "own")
-
-    def run(table: pa.Table) -> pa.Table:
-        found = np.zeros((0, 2), np.int64)
-        if table.num_rows > 1:
-            table = table.sort_by("mark")
-            mark = table.column("mark").to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in table.column("own").to_pylist()]
-            keys = [np.array(k, np.int64) for k in table.column("keys").to_pylist()]
-            found = mark[linked(sets, keys, table.column("side").to_numpy())]
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
-
-    return copy_pairs(pairs, sets).unionByName(sent.groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of copies: the smallest doc_id's (a null one only if the group has no other).
-
-    Groups are the components of :func:`copy_links` between distinct texts; null and empty texts are one text. Rows that
-    share doc_id and text are told apart by their columns' JSON, of which the first stays. Ids are grouped, not texts:
-    the documents are joined once with the ids that stay.
-    """
-    made = materialize(prefixes(docs, *frequent_shingles(docs)), "copies")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "mark")
-    nodes = made.groupBy("mark").agg(F.min(rank).alias("low"))
-    roots = materialize(components(copy_links(docs, made), "copies-links"), "copies-roots")
-    rooted = nodes.join(roots.select(F.col("node").alias("mark"), "root"), "mark", "left")
-    kept = rooted.groupBy(F.coalesce("root", "mark").alias("root")).agg(F.min("low").alias("k")).select(F.struct("k.*").alias("__kept"))
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    mark = F.xxhash64(F.coalesce(F.col("__row.text").cast("string"), F.lit("")))
-    stay = own.join(kept, F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__kept.id")) & (mark == F.col("__kept.mark")))
-    many = made.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__i"), F.col("mark").alias("__m"), F.lit(True).alias("__twice"))
-    stay = stay.join(many, F.col("__kept.id").eqNullSafe(F.col("__i")) & (F.col("__kept.mark") == F.col("__m")), "left")
-    order = Window.partitionBy("__kept.id", "__kept.mark").orderBy(F.to_json("__row"))
-    repeated = stay.filter("__twice").withColumn("__no", F.row_number().over(order)).filter("__no = 1")
-    return stay.filter("__twice is null").select("__row.*").unionByName(repeated.select("__row.*"))
