@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import bpe, decontam, simhash, store, suffixes
+from rivulet.llm import bpe, copies, decontam, store, suffixes
 from rivulet.llm.queries import prepare, table, toxicity_model
 from rivulet.llm.toxicity import reject
 
@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of exact and near copies (similarity of five-word shingles of 0.8 or more) the smallest doc_id's row stays."""
     prepare(spark)
-    return simhash.keep_one(docs)
+    return copies.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
