@@ -1,7 +1,10 @@
 """Byte-level BPE encoding and decoding with tiktoken and a local rank file.
 
 A text is cut at safe boundaries before it is encoded: places that no match of the tokenizer's pattern can span,
-so the ids of the parts, end to end, are those of the whole text. Long texts never reach the regular expression whole.
+so the ids of the parts, end to end, are those of the whole text. A long run of white space is one match by the pattern's
+last two alternatives (less its last character, if more follows) and is encoded as one, outside the regular expression,
+whose backtracking could not hold it. A long run of letters, numbers or marks alone has no boundary; it reaches the
+expression whole, which matches it without backtracking.
 
 Defined results: a null text counts as empty (no ids); repeated rows are encoded each; other columns, null or
 clashing with the results' names, are ignored by :func:`encode` apart from those named in ``keep``.
@@ -23,6 +26,9 @@ from .batches import pieces
 
 #: Characters of a part at least, before the next safe boundary ends it.
 PART_CHARS = 1 << 16
+#: Characters of white space from which on a run is encoded by itself.
+LONG_RUN = 4096
+_BLANKS = regex.compile(rf"\s{{{LONG_RUN},}}")
 #: Before white space that follows something else, or between a letter and a number: no match spans these.
 _SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
 
@@ -51,6 +57,16 @@ def split_safe(text: str, part: int = PART_CHARS) -> list[str]:
 
 
 def encode_text(enc, text: str, part: int = PART_CHARS) -> list[int]:
+    out, at = [], 0
+    for run in _BLANKS.finditer(text) if len(text) >= LONG_RUN else ():
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += _encode_parts(enc, text[at : run.start()], part)
+        out += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + _encode_parts(enc, text[at:], part)
+
+
+def _encode_parts(enc, text: str, part: int) -> list[int]:
     if len(text) <= part:
         return enc.encode_ordinary(text)
     return [i for x in split_safe(text, part) for i in enc.encode_ordinary(x)]

@@ -52,3 +52,26 @@ def test_empty_and_clashing(docs, no_docs):
 def test_missing_rank_file():
     with pytest.raises(FileNotFoundError):
         bpe.encoding("/nowhere.tiktoken", PATTERN)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(" \n\t\u2003xé1!"), st.integers(1, 9)), max_size=8), st.integers(2, 5))
+def test_runs_of_white_space_give_the_same_ids(parts, least):
+    text = "".join(c * n for c, n in parts)
+    kept, long = bpe._BLANKS, bpe.LONG_RUN
+    bpe._BLANKS, bpe.LONG_RUN = bpe.regex.compile(rf"\s{{{least},}}"), least
+    try:
+        assert bpe.encode_text(ENC, text, 3) == ENC.encode_ordinary(text)
+    finally:
+        bpe._BLANKS, bpe.LONG_RUN = kept, long
+
+
+def test_very_long_runs():
+    for n in (1_000_000, 10_000_000):
+        for c in (" ", "\n", "x", "!"):
+            for text in (c * n, c * n + "y", "a" + c * n + " b"):
+                ids = bpe.encode_text(ENC, text)
+                assert ENC.decode_bytes(ids) == text.encode()
+    for c in (" ", "\n", "\t ", "x", "!"):  # the longest that the library bears whole
+        for text in (c * 70_000, c * 70_000 + "y"):
+            assert bpe.encode_text(ENC, text) == ENC.encode_ordinary(text)
