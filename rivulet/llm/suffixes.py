@@ -16,14 +16,13 @@ the whole run's content (a second hash, so 128 bits), then by its place in the c
    bucket's boundary are compared across buckets by an aggregation over their windows.
 3. The repeated windows, merged, are cut from the documents.
 
-Defined results: a null text counts as empty; a null doc_id comes before all others; rows that share a doc_id but not
-their text are compared by start, and equal starts are not earlier; exact repeats of a row (doc_id and text) are one
-document, answered each. Other columns pass through :func:`remove_repeats` unread.
+Defined results: a null text counts as empty; a null doc_id counts as the smallest; rows that share a doc_id but not
+their text (told apart by 64 bits of it) are compared by start, and equal starts are not earlier; exact repeats of a row
+(doc_id and text) are one document, answered each. Other columns pass through :func:`remove_repeats` unread.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +43,7 @@ BUCKET, TEXT_BUCKET = 400_000, 100_000
 CACHED_BYTES = 1 << 16
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
-_DOC_BITS = 20  # of a text's hash, beside a start below 2^31, distinguish texts that share a doc_id
-_UNITS = "token long, run long, doc long, place long"
+_UNITS = "token long, run long, doc long, tag long, place long"
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -98,36 +96,38 @@ def runs_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, token: int
     return {"doc": doc[start], "anchor": anchor[start], "first": first, "last": last, "token": value[anchor[start]], "run": spans(first, last + length - 7)}
 
 
-def _tag(texts: list[bytes]) -> np.ndarray:
-    return np.array([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "little") & ((1 << _DOC_BITS) - 1) for x in texts], np.int64)
+def _place(start: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """An anchor's start (below 2^31), and how far before it the run's last and first windows start; ordered by start."""
+    return (start << 6 | near) << 6 | far
 
 
-def _place(start: np.ndarray, tag: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """An anchor's start, its text's tag, and how far before it the run's last and first windows start; ordered by start."""
-    return ((start << _DOC_BITS | tag) << 6 | near) << 6 | far
+def _unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 12, place >> 6 & 63, place & 63
 
 
-def _unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return place >> (_DOC_BITS + 12), place >> 12 & ((1 << _DOC_BITS) - 1), place >> 6 & 63, place & 63
+def _owned(docs: DataFrame) -> list:
+    """doc, tag and text of a row: ``tag``, a 64-bit hash of the text and of whether the id is null, tells apart texts that share a doc."""
+    none = F.col("doc_id").isNull()
+    text = F.col("text").cast("string")
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(text, F.lit("")), none).alias("tag"), text.alias("text")]
 
 
 def _units(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([long_array(np.concatenate(c)) for c in zip(*parts)], ["token", "run", "doc", "place"])
+    return pa.RecordBatch.from_arrays([long_array(np.concatenate(c)) for c in zip(*parts)], ["token", "run", "doc", "tag", "place"])
 
 
 def suffixes(docs: DataFrame, length: int = LENGTH, token: int = TOKEN) -> DataFrame:
-    """The suffixes at anchors: token, run, doc, place. ``docs`` has doc (never null) and text."""
+    """The suffixes at anchors: token, run, doc, tag, place. ``docs`` has doc and tag (never null) and text."""
     if not 8 <= token or length - token + 1 > 64:
         raise ValueError("a window may hold 64 tokens of 8 bytes or more")
 
     def of(batch: pa.RecordBatch) -> list[np.ndarray]:
         data, ends = flat(batch.column("text"))
         found = runs_of(data, ends, length, token)
-        ids = batch.column("doc").to_numpy(zero_copy_only=False)
-        tag = _tag([data[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])
+        ids, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag"))
         doc, anchor = found["doc"], found["anchor"]
-        place = _place(anchor - ends[doc], tag[doc], anchor - found["last"], anchor - found["first"])
-        return [found["token"], found["run"], ids[doc], place]
+        place = _place(anchor - ends[doc], anchor - found["last"], anchor - found["first"])
+        return [found["token"], found["run"], ids[doc], tag[doc], place]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -140,7 +140,7 @@ def suffixes(docs: DataFrame, length: int = LENGTH, token: int = TOKEN) -> DataF
         if held:
             yield _units(held)
 
-    return docs.select("doc", "text").mapInArrow(run, _UNITS)
+    return docs.select("doc", "tag", "text").mapInArrow(run, _UNITS)
 
 
 def multikey_order(words: list[np.ndarray]) -> np.ndarray:
@@ -171,7 +171,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
 #: Kinds of rows that a bucket gives: a repeated range (lo, hi); the first suffix of a run whose token has other runs;
 #: the bucket's first and last suffix.
 _REPEAT, _EDGE, _FIRST, _LAST = 0, 1, 2, 3
-_FOUND = "kind int, bucket int, token long, run long, doc long, place long"
+_FOUND = "kind int, bucket int, token long, run long, doc long, tag long, place long"
 
 
 def sort_buckets(units: DataFrame, buckets: int) -> DataFrame:
@@ -184,6 +184,7 @@ def sort_buckets(units: DataFrame, buckets: int) -> DataFrame:
         cols = [table.column(c).to_numpy() for c in ("token", "run", "doc", "place")]
         order = multikey_order(cols)
         token, content, doc, place = (c[order] for c in cols)
+        tag = table.column("tag").to_numpy()[order]
         n = len(order)
         same_token = np.zeros(n, bool)
         same_token[1:] = token[1:] == token[:-1]
@@ -191,7 +192,7 @@ def sort_buckets(units: DataFrame, buckets: int) -> DataFrame:
         same_run[1:] = same_token[1:] & (content[1:] == content[:-1])
         # An exact repeat of a row stands beside it at the same place: it is no earlier string.
         head = np.maximum.accumulate(np.where(same_run, 0, np.arange(n)))
-        repeat = same_run & ((doc != doc[head]) | (place >> (_DOC_BITS + 12) != place[head] >> (_DOC_BITS + 12)))
+        repeat = same_run & ((doc != doc[head]) | (place >> 12 != place[head] >> 12))
         group = np.cumsum(~same_token) - 1
         kinds = np.bincount(group, ~same_run)
         edge_group = kinds > 1
@@ -200,8 +201,8 @@ def sort_buckets(units: DataFrame, buckets: int) -> DataFrame:
         here = TaskContext.get().partitionId()
         for kind, rows in ((_REPEAT, np.flatnonzero(repeat)), (_EDGE, np.flatnonzero(edge)), (_FIRST, np.array([0])), (_LAST, np.array([n - 1]))):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(rows), kind, np.int32)), pa.array(np.full(len(rows), here, np.int32)), *[long_array(c[rows]) for c in (token, content, doc, place)]],
-                ["kind", "bucket", "token", "run", "doc", "place"],
+                [pa.array(np.full(len(rows), kind, np.int32)), pa.array(np.full(len(rows), here, np.int32)), *[long_array(c[rows]) for c in (token, content, doc, tag, place)]],
+                ["kind", "bucket", "token", "run", "doc", "tag", "place"],
             )
 
     return units.repartitionByRange(buckets, "token", "run", "doc", "place").mapInArrow(run, _FOUND)
@@ -212,9 +213,9 @@ def boundary_repeats(found: DataFrame) -> DataFrame:
     marks = found.filter(F.col("kind").isin(_FIRST, _LAST))
     before = Window.orderBy("bucket", "kind")
     marks = marks.select("*", *[F.lag(c).over(before).alias(f"p_{c}") for c in ("token", "run", "doc", "place")])
-    start = lambda c: F.shiftright(c, _DOC_BITS + 12)
+    start = lambda c: F.shiftright(c, 12)
     other = (F.col("doc") != F.col("p_doc")) | (start("place") != start("p_place"))
-    return marks.filter((F.col("kind") == _FIRST) & (F.col("token") == F.col("p_token")) & (F.col("run") == F.col("p_run")) & other).select("doc", "place")
+    return marks.filter((F.col("kind") == _FIRST) & (F.col("token") == F.col("p_token")) & (F.col("run") == F.col("p_run")) & other).select("doc", "tag", "place")
 
 
 def bands(length: int, token: int) -> list[tuple[int, int]]:
@@ -231,9 +232,8 @@ def with_text(edges: DataFrame, packed: DataFrame, length: int, token: int) -> D
     bytes around the anchor, far more than a token, and their hash becomes the part's leading token. So the suffixes of a
     frequent token fall apart into groups that agree in most of a window, or have a group of their own.
     """
-    tag = F.shiftright("place", 12).bitwiseAND((1 << _DOC_BITS) - 1).cast("int")
-    wanted = edges.groupBy("doc", tag.alias("tag")).agg(F.collect_set("place").alias("place"))
-    joined = packed.select("doc", "tag", "body").join(wanted, ["doc", "tag"]).select("doc", "body", "place")
+    wanted = edges.groupBy("doc", "tag").agg(F.collect_set("place").alias("place"))
+    joined = packed.select("doc", "tag", "body").join(wanted, ["doc", "tag"]).select("doc", "tag", "body", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -245,24 +245,24 @@ def with_text(edges: DataFrame, packed: DataFrame, length: int, token: int) -> D
             places = batch.column("place")
             own = np.repeat(np.arange(len(texts)), np.diff(offsets_of(places)))
             place = places.flatten().to_numpy()
-            start, tags, near, far = _unplace(place)
-            doc = batch.column("doc").to_numpy()[own]
+            start, near, far = _unplace(place)
+            doc, tag = (batch.column(c).to_numpy()[own] for c in ("doc", "tag"))
             for number, (first, last) in enumerate(bands(length, token)):
                 lo, hi = np.maximum(near, first), np.minimum(far, last)
                 some = np.flatnonzero(lo <= hi)
                 at = base[own[some]] + start[some]
                 key = mix(spans(at - first, at + length - last - 7) + np.uint64(number))
                 bodies = [buffer[a:b] for a, b in zip((at - hi[some]).tolist(), (at - lo[some] + length).tolist())]
-                yield pa.RecordBatch.from_arrays([long_array(key), long_array(doc[some]), long_array(_place(start[some], tags[some], lo[some], hi[some])), pa.array(bodies, pa.binary())], ["token", "doc", "place", "body"])
+                yield pa.RecordBatch.from_arrays([long_array(key), long_array(doc[some]), long_array(tag[some]), long_array(_place(start[some], lo[some], hi[some])), pa.array(bodies, pa.binary())], ["token", "doc", "tag", "place", "body"])
 
-    return joined.mapInArrow(run, "token long, doc long, place long, body binary")
+    return joined.mapInArrow(run, "token long, doc long, tag long, place long, body binary")
 
 
 def offsets_of(lists: pa.Array) -> np.ndarray:
     return lists.offsets.to_numpy().astype(np.int64)
 
 
-_WINDOWS = "doc long, place long, lo long, hi long, w1 long, w2 long"
+_WINDOWS = "doc long, tag long, lo long, hi long, w1 long, w2 long"
 
 
 def sort_windows(edges: DataFrame, buckets: int, length: int = LENGTH) -> DataFrame:
@@ -300,8 +300,8 @@ def sort_windows(edges: DataFrame, buckets: int, length: int = LENGTH) -> DataFr
 
 def _windows(table: pa.Table, cols: list[np.ndarray], rows: np.ndarray, group: np.ndarray, length: int, touching: bool) -> pa.RecordBatch:
     data, ends = flat(table.column("body").take(pa.array(rows)).combine_chunks() if table.column("body").num_chunks else pa.array([], pa.binary()))
-    doc, place = cols[1][rows], cols[2][rows]
-    start, _, near, far = _unplace(place)
+    doc, place, tag = cols[1][rows], cols[2][rows], table.column("tag").to_numpy()[rows]
+    start, near, far = _unplace(place)
     sizes = far - near + 1
     own = np.repeat(np.arange(len(rows)), sizes)
     step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -328,10 +328,10 @@ def _windows(table: pa.Table, cols: list[np.ndarray], rows: np.ndarray, group: n
     join = lambda a, b: pa.array(np.concatenate((a, b)))
     return pa.RecordBatch.from_arrays(
         [
-            join(doc[o[first]], doc[own[open_]]), join(place[o[first]], place[own[open_]]), join(s[first], lo[open_]), join(s[last] + length, lo[open_] + length),
+            join(doc[o[first]], doc[own[open_]]), join(tag[o[first]], tag[own[open_]]), join(s[first], lo[open_]), join(s[last] + length, lo[open_] + length),
             *[pa.concat_arrays([none, long_array(w)]) for w in (w1[open_], w2)],
         ],
-        ["doc", "place", "lo", "hi", "w1", "w2"],
+        ["doc", "tag", "lo", "hi", "w1", "w2"],
     )
 
 
@@ -339,7 +339,7 @@ def across_buckets(windows: DataFrame) -> DataFrame:
     """Windows of groups that touch boundaries: all but the earliest of each content are repeats."""
     open_ = windows.filter(F.col("w1").isNotNull())
     first = open_.groupBy("w1", "w2").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return open_.join(first, ["w1", "w2"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("lo") != F.col("first.lo"))).select("doc", "place", "lo", "hi")
+    return open_.join(first, ["w1", "w2"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("lo") != F.col("first.lo"))).select("doc", "tag", "lo", "hi")
 
 
 def pack(docs: DataFrame) -> DataFrame:
@@ -348,15 +348,15 @@ def pack(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3).compress
         for batch in pieces(batches):
-            raw = [(x or "").encode() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(_tag(raw).astype(np.int32)), pa.array([press(x) for x in raw], pa.binary())], ["doc", "tag", "body"])
+            body = pa.array([press((x or "").encode()) for x in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("tag"), body], ["doc", "tag", "body"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, tag int, body binary")
+    return docs.select("doc", "tag", "text").mapInArrow(run, "doc long, tag long, body binary")
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, token: int = TOKEN) -> DataFrame:
     """doc, tag and the repeated byte ranges (lo, hi) of each text that has any; ranges of a text may overlap."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = docs.select(*_owned(docs)).fillna("", "text")
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     expected = size * 2 // (length - token + 2)  # anchors, of ordinary text
     buckets = max(1, -(-expected // BUCKET))
@@ -364,11 +364,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, token: int = TOKEN) -
     edges = found.filter(F.col("kind") == _EDGE)
     n = edges.count()
     windows = materialize(sort_windows(with_text(edges, pack(own), length, token), max(1, -(-n // TEXT_BUCKET)), length), "suffix-windows")
-    whole = found.filter(F.col("kind") == _REPEAT).select("doc", "place").unionByName(boundary_repeats(found))
-    start = F.shiftright("place", _DOC_BITS + 12)
-    whole = whole.select("doc", "place", (start - F.col("place").bitwiseAND(63)).alias("lo"), (start - F.shiftright("place", 6).bitwiseAND(63) + length).alias("hi"))
-    ranges = whole.unionByName(windows.filter(F.col("w1").isNull()).select("doc", "place", "lo", "hi")).unionByName(across_buckets(windows))
-    return ranges.select("doc", F.shiftright("place", 12).bitwiseAND((1 << _DOC_BITS) - 1).cast("int").alias("tag"), F.shiftleft("lo", 31).bitwiseOR(F.col("hi")).alias("range"))
+    whole = found.filter(F.col("kind") == _REPEAT).select("doc", "tag", "place").unionByName(boundary_repeats(found))
+    start = F.shiftright("place", 12)
+    whole = whole.select("doc", "tag", (start - F.col("place").bitwiseAND(63)).alias("lo"), (start - F.shiftright("place", 6).bitwiseAND(63) + length).alias("hi"))
+    ranges = whole.unionByName(windows.filter(F.col("w1").isNull()).select("doc", "tag", "lo", "hi")).unionByName(across_buckets(windows))
+    return ranges.select("doc", "tag", F.shiftleft("lo", 31).bitwiseOR(F.col("hi")).alias("range"))
 
 
 def merged(ranges: np.ndarray) -> list[tuple[int, int]]:
@@ -385,18 +385,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, token: int = TOKEN) ->
     """All columns of ``docs`` and a struct ``repeats``: n_bytes, removed (ranges) and kept (the bytes that stay)."""
     ranges = repeated_ranges(docs, length, token).groupBy("doc", "tag").agg(F.collect_list("range").alias("ranges"))
     names = [c for c in docs.columns if c != "text"]
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("rest"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("rest"), *_owned(docs))
     kind = held.schema["rest"].dataType
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3).compress
         for batch in pieces(batches):
             texts = batch.column("text").to_pylist()
-            raw = [(x or "").encode() for x in texts]
-            body = pa.array([None if t is None else z(x) for t, x in zip(texts, raw)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("doc"), pa.array(_tag(raw).astype(np.int32)), body], ["rest", "doc", "tag", "body"])
+            body = pa.array([None if t is None else z(t.encode()) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("doc"), batch.column("tag"), body], ["rest", "doc", "tag", "body"])
 
-    packed = held.mapInArrow(press, T.StructType([T.StructField("rest", kind), T.StructField("doc", T.LongType()), T.StructField("tag", T.IntegerType()), T.StructField("body", T.BinaryType())]))
+    packed = held.mapInArrow(press, T.StructType([T.StructField("rest", kind), T.StructField("doc", T.LongType()), T.StructField("tag", T.LongType()), T.StructField("body", T.BinaryType())]))
     joined = packed.join(ranges, ["doc", "tag"], "left").select("rest", "body", "ranges")
     result = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.BinaryType())])
 

@@ -9,7 +9,7 @@ from rivulet.llm import suffixes
 def brute(rows, length=100):
     """By (doc_id or before all, text): removed flags of each byte."""
     seen, texts = {}, {(i, t or "") for i, t in rows}
-    key = lambda i: (i is not None, i or 0)
+    key = lambda i: -(1 << 63) if i is None else i
     starts = [(key(i), s, t.encode()[s : s + length], (i, t)) for i, t in texts for s in range(len(t.encode()) - length + 1)]
     for k, s, w, _ in starts:
         seen[w] = min(seen.get(w, (k, s)), (k, s))
@@ -75,3 +75,13 @@ def test_cleaned_texts(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in suffixes.cleaned(suffixes.remove_repeats(frame), ["doc_id", "text"]).collect()}
     assert got == {1: got[1], 2: "b", 3: None, 4: "keep � me", 5: ""}
+
+
+def test_many_texts_without_an_id(spark):
+    """5,000 null ids: each text loses its own repeats only; so do texts that share any other id, the smallest long among them."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(25))
+    rows = [(None, f"{' '.join(word() for _ in range(22))}{' ' + passage if i % 50 == 0 else ''}") for i in range(5000)]
+    rows += [(i, t[:110]) for i, (_, t) in zip([7] * 300 + [-(1 << 63)] * 300, rows[1:601])]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
