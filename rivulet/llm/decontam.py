@@ -8,11 +8,18 @@ any window of ``LEAST`` tokens or more (or the whole of a shorter item) with a s
 overlap, and none is missed. Without ``whole`` only the best-scoring stretch (a match 1, a substitution -``PENALTY``) of
 a diagonal is tested, and only if one of ``MASKS`` hits it.
 
-The benchmark is a stated query set: it is read in blocks of ``BLOCK_BYTES``, each sent to all tasks, whatever its
-size; documents are never shuffled to find hits.
-
-Defined results: null and empty texts, on either side, overlap with nothing; items of fewer than ``FEWEST`` tokens
-can't be told from chance and are not searched; repeated rows are answered each; equal items each give a row.
+Repeated words make hits in the square of their number. So the hits of a text and an item are counted first, by distinct
+seeds; where they outnumber the diagonals of the two, all their diagonals are tested instead, the longest first.
+
+The benchmark is a stated query set: it is read in blocks of ``BLOCK_BYTES``, one after another, and a block's seeds are
+the broadcast side of the join of hashes; documents are never shuffled to find hits.
+
+Defined results: null and empty texts, on either side, overlap with nothing. By the ``whole`` rule an item of fewer than
+``FEWEST`` tokens is found where all its tokens stand in a row, first place only, but as that may be chance,
+:func:`remove_contaminated` drops a document for it only if the document is nothing else; without ``whole`` such items
+are not searched. Of overlaps of one document and item with equally many matches that of the smallest diagonal (the
+item's place less the document's) is given. A null item_id is an item like any other; repeated rows are answered each;
+equal items each give a row.
 """
 
 from __future__ import annotations
@@ -26,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import ODD, Spans, lower_bytes, lowered, mix, pieces, tokens
+from .store import materialize
 
 #: Fixed masks; 1 selects a token. All have six ones.
 MASKS = ("111111", "1101111", "11011011", "1100101101", "10110010011")
@@ -62,49 +70,128 @@ def seeds(hashes: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray,
     return h[at], at
 
 
+@dataclass
+class Table:
+    """Sorted seeds of one mask: a group for each seed and item that meet, with its places in the items' tokens."""
+
+    places: np.ndarray
+    seed: np.ndarray
+    item: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    sieve: np.ndarray
+
+    @staticmethod
+    def of(hashes: np.ndarray, first: np.ndarray, mask: str) -> Table:
+        h, at = seeds(hashes, first, mask)
+        item = np.searchsorted(first, at, "right") - 1
+        fit = np.diff(first)[item] >= FEWEST
+        h, at, item = h[fit], at[fit], item[fit]
+        order = np.lexsort((at, h))
+        h, at, item = h[order], at[order], item[order]
+        start = grouped(h, item)
+        sieve = np.zeros(1 << _FILTER_BITS, bool)
+        sieve[h >> np.uint64(64 - _FILTER_BITS)] = True
+        return Table(at, h[start], item[start], start, np.diff(np.append(start, len(h))), sieve)
+
+    def joined(self, hashes: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, ...]:
+        """The text's places of seeds, and for each of its distinct (text, seed) and each group of that seed: first place and number of places, text, group."""
+        h, at = seeds(hashes, first, mask)
+        passed = self.sieve[h >> np.uint64(64 - _FILTER_BITS)]
+        h, at = h[passed], at[passed]
+        text = np.searchsorted(first, at, "right") - 1
+        order = np.lexsort((at, h, text))
+        h, at, text = h[order], at[order], text[order]
+        start = grouped(text, h)
+        count = np.diff(np.append(start, len(h)))
+        lo, hi = np.searchsorted(self.seed, h[start], "left"), np.searchsorted(self.seed, h[start], "right")
+        n = hi - lo
+        own = np.repeat(np.arange(len(start)), n)
+        group = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        return at, start[own], count[own], text[start][own], group
+
+
+def grouped(*keys: np.ndarray) -> np.ndarray:
+    """Where the groups of equal sorted keys start."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 @dataclass
 class Index:
-    """A block of benchmark items: token hashes, and for each mask the sorted seeds with their places."""
+    """A block of benchmark items: token hashes, a table of seeds for each mask, and the items too short for masks."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     hashes: np.ndarray
     first: np.ndarray
-    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    tables: list[Table]
     whole: bool = False
 
     @staticmethod
-    def of(items: list[tuple[int, str]], whole: bool = False) -> Index:
+    def of(items: list[tuple[int | None, str]], whole: bool = False) -> Index:
         items = [x for x in items if x[1]]
         raw = [lower_bytes(x[1]) for x in items]
         ends = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
         hashes, _, _, first = token_hashes(np.frombuffer(b"".join(raw), np.uint8), ends)
-        tables = []
-        for mask in (*MASKS, RUN) if whole else MASKS:
-            h, at = seeds(hashes, first, mask)
-            order = np.argsort(h, kind="stable")
-            sieve = np.zeros(1 << _FILTER_BITS, bool)
-            sieve[h >> np.uint64(64 - _FILTER_BITS)] = True
-            tables.append((h[order], at[order], sieve))
-        return Index(np.array([x[0] for x in items], np.int64), hashes, first, tables, whole)
-
-    def hits(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """(text, item, diagonal) of all hits, each once. The diagonal is the item's place less the text's, in tokens."""
-        found = []
-        for mask, (own, places, sieve) in zip((*MASKS, RUN), self.tables):
-            h, at = seeds(hashes, first, mask)
-            passed = np.flatnonzero(sieve[h >> np.uint64(64 - _FILTER_BITS)])
-            lo, hi = np.searchsorted(own, h[passed], "left"), np.searchsorted(own, h[passed], "right")
-            n = hi - lo
-            mine = np.repeat(at[passed], n)
-            place = places[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-            text = np.searchsorted(first, mine, "right") - 1
-            item = np.searchsorted(self.first, place, "right") - 1
+        return Index([x[0] for x in items], hashes, first, [Table.of(hashes, first, m) for m in ((*MASKS, RUN) if whole else MASKS)], whole)
+
+    def hits(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item, diagonal) of hits, each once, and (text, item) of pairs with more hits than diagonals, which are left out of them.
+
+        The diagonal is the item's place less the text's, in tokens.
+        """
+        joined = [t.joined(hashes, first, m) for m, t in zip((*MASKS, RUN), self.tables)]
+        items = len(self.first)
+        pair = np.concatenate([text * items + t.item[group] for t, (_, _, _, text, group) in zip(self.tables, joined)])
+        number = np.concatenate([count * t.count[group] for t, (_, _, count, _, group) in zip(self.tables, joined)])
+        known, back = np.unique(pair, return_inverse=True)
+        total = np.bincount(back, number, len(known))
+        text, item = known // items, known % items
+        crowded = total > 4 * (np.diff(first)[text] + np.diff(self.first)[item])
+        dense = known[crowded]
+        found = [np.zeros((0, 3), np.int64)]
+        for t, (at, start, count, text, group) in zip(self.tables, joined):
+            open_ = ~np.isin(text * items + t.item[group], dense)
+            start, count, text, group = start[open_], count[open_], text[open_], group[open_]
+            n = count * t.count[group]
+            own = np.repeat(np.arange(len(n)), n)
+            k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            width = t.count[group][own]
+            mine, place = at[start[own] + k // width], t.places[t.start[group][own] + k % width]
+            text, item = text[own], t.item[group][own]
             if self.whole:
                 near = self.near(hashes, first, mine, text, place, item)
                 mine, place, text, item = mine[near], place[near], text[near], item[near]
             found.append(np.stack([text, item, (place - self.first[item]) - (mine - first[text])], 1))
-        return np.unique(np.concatenate(found), axis=0)
-
+        return np.unique(np.concatenate(found), axis=0), np.stack([dense // items, dense % items], 1)
+
+    def short(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, item, first place) of the items of fewer than ``FEWEST`` tokens that stand in a text."""
+        out = []
+        size = np.diff(self.first)
+        for n in range(1, FEWEST) if self.whole else ():
+            items = np.flatnonzero(size == n)
+            if not len(items):
+                continue
+            own, at = seeds(self.hashes, self.first, "1" * n)
+            item = np.searchsorted(self.first, at, "right") - 1
+            own, item = own[size[item] == n], item[size[item] == n]
+            order = np.argsort(own, kind="stable")
+            own, item = own[order], item[order]
+            h, at = seeds(hashes, first, "1" * n)
+            text = np.searchsorted(first, at, "right") - 1
+            lo, hi = np.searchsorted(own, h, "left"), np.searchsorted(own, h, "right")
+            some = np.flatnonzero(hi > lo)
+            seen = set()
+            for k in some.tolist():
+                key = int(text[k]), int(h[k])
+                if key not in seen:
+                    seen.add(key)
+                    out += [(key[0], int(i), int(at[k] - first[key[0]])) for i in item[lo[k] : hi[k]]]
+        return out
 
     def near(self, hashes: np.ndarray, first: np.ndarray, mine: np.ndarray, text: np.ndarray, place: np.ndarray, item: np.ndarray) -> np.ndarray:
         """Whether some window around a hit meets the rule. One of 2 * LEAST tokens or more has a half that meets it, so shorter ones tell."""
@@ -166,7 +253,7 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's items in blocks of about ``limit`` bytes, read one partition after another."""
     own, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").toLocalIterator():
         own.append((row.item_id, row.text))
         size += len(row.text.encode())
         if size >= limit:
@@ -177,29 +264,62 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tupl
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
-    """The best overlap of each document with each item: byte range in the document, token range in the item, matches, length."""
+    """The best overlap of each document with each item: byte range in the document, token range in the item, matches, length.
+
+    A benchmark of one block gives one pass over the documents; of more, each block's rows are written before the next.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [_search(own, Index.of(items, whole)) for items in blocks(benchmark)]
-    if not parts:
+    out, waiting = None, None
+    for items in blocks(benchmark):
+        if waiting is not None:
+            part = materialize(_search(own, Index.of(waiting, whole)), "overlaps")
+            out = part if out is None else out.unionByName(part)
+        waiting = items
+    if waiting is None:
         return own.sparkSession.createDataFrame([], _SCHEMA)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    last = _search(own, Index.of(waiting, whole))
+    return last if out is None else out.unionByName(last)
+
+
+def diagonals(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """All diagonals of two texts, those with the most tokens on both sides first, then the smallest."""
+    d = np.arange(1 - len(doc), len(item))
+    size = np.minimum(len(doc), len(item) - d) - np.maximum(0, -d)
+    return d[np.lexsort((d, -size))]
 
 
 def best_overlaps(index: Index, texts: pa.Array) -> list[tuple]:
-    """(row, item_id, start, end, item_start, item_end, matches, length): the best of each row and item."""
+    """(row, item, start, end, item_start, item_end, matches, length, tokens of the text): the best of each row and item (a place in ``index.ids``)."""
     data, ends = lowered(texts)
     hashes, start, stop, first = token_hashes(data, ends)
     best: dict[tuple[int, int], tuple] = {}
-    for text, item, diagonal in index.hits(hashes, first).tolist():
-        found = (window if index.whole else overlap)(hashes[first[text] : first[text + 1]], index.hashes[index.first[item] : index.first[item + 1]], diagonal)
-        if found and found[2] > best.get((text, item), (0,) * 7)[5]:
-            at, length, matches = found
-            base = first[text] + at
-            best[text, item] = (int(start[base] - ends[text]), int(stop[base + length - 1] - ends[text]), at + diagonal, at + diagonal + length, length, matches)
-    return [(t, int(index.ids[i]), s, e, a, b, m, n) for (t, i), (s, e, a, b, n, m) in sorted(best.items())]
+    test = window if index.whole else overlap
+
+    def better(text: int, item: int, diagonal: int) -> None:
+        found = test(hashes[first[text] : first[text + 1]], index.hashes[index.first[item] : index.first[item + 1]], diagonal)
+        old = best.get((text, item))
+        if found and (old is None or (-found[2], diagonal) < (-old[2], old[3])):
+            best[text, item] = (*found, diagonal)
+
+    hits, dense = index.hits(hashes, first)
+    for text, item, diagonal in hits.tolist():
+        better(text, item, diagonal)
+    for text, item in dense.tolist():
+        own, other = first[text + 1] - first[text], index.first[item + 1] - index.first[item]
+        for diagonal in diagonals(hashes[first[text] : first[text + 1]], index.hashes[index.first[item] : index.first[item + 1]]).tolist():
+            most, old = min(own, other - diagonal) - max(0, -diagonal), best.get((text, item))
+            if most < (old[2] if old else min(LEAST, other)):
+                break
+            if old is None or most > old[2] or diagonal < old[3]:
+                better(text, item, diagonal)
+    for text, item, at in index.short(hashes, first):
+        n = int(index.first[item + 1] - index.first[item])
+        best[text, item] = (at, n, n, -at)
+    out = []
+    for (text, item), (at, length, matches, diagonal) in sorted(best.items()):
+        base = first[text] + at
+        out.append((text, item, int(start[base] - ends[text]), int(stop[base + length - 1] - ends[text]), at + diagonal, at + diagonal + length, matches, length, int(first[text + 1] - first[text])))
+    return out
 
 
 def _search(docs: DataFrame, index: Index) -> DataFrame:
@@ -209,23 +329,24 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
         for batch in pieces(batches):
             rows = best_overlaps(shared.value, batch.column("text"))
             ids = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
-            kinds = [pa.int64()] * 7
-            cols = [pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds, 1)]
-            yield pa.RecordBatch.from_arrays([ids, *cols, pa.array([r[6] / r[7] for r in rows], pa.float64())], ["doc_id", "item_id", "start", "end", "item_start", "item_end", "matches", "length", "identity"])
+            items = pa.array([shared.value.ids[r[1]] for r in rows], pa.int64())
+            cols = [pa.array([r[j] for r in rows], pa.int64()) for j in range(2, 8)]
+            yield pa.RecordBatch.from_arrays([ids, items, *cols, pa.array([r[6] / r[7] for r in rows], pa.float64())], ["doc_id", "item_id", "start", "end", "item_start", "item_end", "matches", "length", "identity"])
 
     return docs.mapInArrow(run, _SCHEMA)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
-    """``docs`` without the rows that overlap with an item; columns and types stay. One pass for each block."""
-    out = docs
+    """``docs`` without the rows that overlap with an item; columns and types stay. One pass for each block, written before the next."""
+    out, first = docs, True
     for items in blocks(benchmark):
+        out, first = out if first else materialize(out, "uncontaminated"), False
         shared = docs.sparkSession.sparkContext.broadcast(Index.of(items, whole))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches):
                 hit = np.zeros(batch.num_rows, bool)
-                hit[[r[0] for r in best_overlaps(shared.value, batch.column("text"))]] = True
+                hit[[r[0] for r in best_overlaps(shared.value, batch.column("text")) if r[7] >= FEWEST or r[7] == r[8]]] = True
                 kept = batch.filter(pa.array(~hit))
                 if kept.num_rows:
                     yield kept

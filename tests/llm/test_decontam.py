@@ -26,7 +26,7 @@ def brute(docs, items):
     for d, text in docs:
         a = tokens(text)
         for i, item in items:
-            b = tokens(item)
+            b = tokens(item or "")
             best = 0
             for diagonal in range(-len(a), len(b)) if len(b) >= decontam.FEWEST else ():
                 lo, hi = max(0, -diagonal), min(len(a), len(b) - diagonal)
@@ -75,7 +75,7 @@ def test_brute(spark, case):
     small = [x for x in docs if x[0] != 503]
     frame = spark.createDataFrame(small, "doc_id long, text string").repartition(3)
     got = {(r.doc_id, r.item_id): r.matches for r in decontam.overlaps(frame, spark.createDataFrame(items, BENCH)).collect()}
-    assert got == brute(small, [x for x in items if x[0] is not None])
+    assert got == brute(small, items)
 
 
 def test_ranges_blocks_and_long_text(spark, case, monkeypatch):
@@ -132,13 +132,15 @@ def test_empty_and_clashing(spark, docs, no_docs, case):
 
 
 def by_rule(doc, item):
-    """Written from the rule: any window of 13 tokens or more (or a whole shorter item) of which 3 of 4 match."""
+    """Written from the rule: any window of 13 tokens or more (or a whole shorter item) of which 3 of 4 match; all of an item of under 6."""
+    if len(item) < 6:
+        return any(doc[k : k + len(item)] == item for k in range(len(doc)))
     least = min(13, len(item))
     for diagonal in range(-len(doc), len(item)):
         lo, hi = max(0, -diagonal), min(len(doc), len(item) - diagonal)
         same = [doc[k] == item[k + diagonal] for k in range(lo, hi)]
         if any(4 * sum(same[s:e]) >= 3 * (e - s) for s in range(len(same)) for e in range(s + least, len(same) + 1)):
-            return len(item) >= 6
+            return True
     return False
 
 
@@ -166,5 +168,59 @@ def test_whole_rule_misses_nothing(spark):
         assert r.length >= min(13, len(items[r.item_id])) and 4 * r.matches >= 3 * r.length
         part = " ".join(docs[r.doc_id]).encode()[r.start : r.end].decode().split()
         assert r.matches == sum(a == b for a, b in zip(part, items[r.item_id][r.item_start : r.item_end], strict=True))
-    assert {r.doc_id for r in decontam.remove_contaminated(frame, bench, True).collect()} == set(range(len(docs))) - {d for d, _ in expected}
+    assert {r.doc_id for r in decontam.remove_contaminated(frame, bench, True).collect()} == set(range(len(docs))) - {d for d, i in expected if len(items[i]) >= 6 or docs[d] == items[i]}
     assert {(r.doc_id, r.item_id) for r in decontam.overlaps(frame, bench).collect()} < expected
+
+
+def best_by_rule(doc, item):
+    """(matches, diagonal) of the best window of all diagonals."""
+    own = {w: k for k, w in enumerate(sorted(set(doc + item)))}
+    a, b = (np.array([own[w] for w in x], np.uint64) for x in (doc, item))
+    found = [(w[2], -d) for d in range(1 - len(a), len(b)) if (w := decontam.window(a, b, d))]
+    return max(found, default=None)
+
+
+def test_repeated_words_cost_diagonals_not_pairs():
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    item = ["spam"] * 60 + [rng.choice("abc") for _ in range(60)]
+    texts = [["spam"] * 300, [rng.choice("abc") for _ in range(300)], ["spam", "a"] * 150, ["x"] * 50 + item[40:100] + ["spam"] * 20]
+    index = decontam.Index.of([(1, " ".join(item)), (2, "none of this")], True)
+    rows = {r[0]: (r[6], r[2], r[4]) for r in decontam.best_overlaps(index, pa.array([" ".join(t) for t in texts]))}
+    for k, t in enumerate(texts):
+        want = best_by_rule(t, item)
+        assert (k in rows) == (want is not None) and (want is None or rows[k][0] == want[0])
+    big = decontam.Index.of([(1, "spam " * 5000)], True)
+    began = time.perf_counter()
+    (row,) = decontam.best_overlaps(big, pa.array(["spam " * 20_000]))
+    assert row[6:8] == (5000, 5000) and row[2] == 75_000 and time.perf_counter() - began < 20
+
+
+def test_short_items_and_items_without_an_id(spark):
+    docs = [(1, "the answer is forty two today"), (2, "Forty, two!"), (3, "two forty"), (4, "yes"), (5, "yes yes")]
+    items = [(None, "forty two"), (9, "yes"), (8, "...")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, BENCH)
+    got = sorted(((r.doc_id, r.item_id, r.start, r.end) for r in decontam.overlaps(frame, bench, True).collect()), key=str)
+    assert got == sorted([(1, None, 14, 23), (2, None, 0, 10), (4, 9, 0, 3), (5, 9, 0, 3)], key=str)
+    assert sorted(r.doc_id for r in decontam.remove_contaminated(frame, bench, True).collect()) == [1, 3, 5]
+
+
+def test_recall_by_length_and_substitutions():
+    """Every overlap that the rule accepts is found, whatever the places of the substitutions."""
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    for n, most in ((13, 3), (14, 3), (16, 4), (18, 4), (20, 5), (40, 10)):
+        item = [f"t{k}" for k in range(n)]
+        index = decontam.Index.of([(1, " ".join(item))], True)
+        texts = []
+        for _ in range(150):
+            own = list(item)
+            for k in rng.sample(range(n), rng.randint(0, most)):
+                own[k] = "x"
+            texts.append(["y"] * rng.randint(0, 3) + own)
+        found = {r[0] for r in decontam.best_overlaps(index, pa.array([" ".join(t) for t in texts]))}
+        assert found == {k for k, t in enumerate(texts) if by_rule(t, item)}
