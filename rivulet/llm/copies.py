@@ -4,7 +4,8 @@
    the two whole sets. This finds most copies, and whole families of them, at one comparison a text.
 2. A radius that ball hashing can list misses pairs near the threshold (a similarity of 0.8 is some 10 of 64 bits), so
    what is left is found exactly, by a join of set prefixes: two sets of similarity 0.8 have a member in the first fifth
-   of both, in any order; rare shingles come first. Pairs that the first step has connected are passed over.
+   of both, in any order; rare shingles come first. Pairs of a key of few texts are rows, told from chance by small
+   sketches and then by the whole sets; larger families are compared in blocks, where what is connected is passed over.
 
 Words are runs of bytes other than blank and 9 to 13, A-Z in lower case; a text of fewer than five words is one shingle.
 
@@ -29,9 +30,11 @@ from .store import materialize
 
 SHINGLE = 5
 #: Texts of a sample that tells which shingles are frequent, and how many of these are told apart at most: an order only.
-SAMPLED, FREQUENT = 20_000, 200_000
+SAMPLED, FREQUENT = 8_000, 200_000
 #: Texts of a key up to which its pairs are rows; texts and bytes of a block of a larger family.
 FEW, BLOCK, BLOCK_BYTES = 32, 512, 4 << 20
+#: Texts whose names (some 100 bytes each) are broadcast to look their rows up, at most; more are joined by a shuffle.
+NAMED = 200_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -143,33 +146,67 @@ def proposals(texts: DataFrame) -> DataFrame:
     return near.unionByName(equal)
 
 
-def set_table(docs: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, own): the whole set, 8 bytes a member, of each of the ``wanted`` texts (id)."""
-    named = texts.select("id", "digest", F.col("low.doc_id").alias("low")).join(wanted, "id", "left_semi")
-    own = _texts(docs).withColumn("digest", _digest("text")).join(named, "digest")
-    # One of the rows of a text is enough; which of those that share its smallest doc_id is all the same.
-    own = own.filter(F.col("doc_id").eqNullSafe(F.col("low"))).select("id", "text").dropDuplicates(["id"])
+def repeated_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest) of rows that share both with another row."""
+    own = _texts(docs).select("doc_id", _digest("text").alias("digest"))
+    return materialize(own.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "digest"), "copies-repeated")
+
+
+def _marked(names: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``names`` (doc_id, digest, ...) with ``many``: whether more than one row has both."""
+    again = repeated.select(F.col("doc_id").alias("i"), F.col("digest").alias("d"))
+    return names.join(again, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left").withColumn("many", F.col("d").isNotNull()).drop("i", "d")
+
+
+def set_table(docs: DataFrame, texts: DataFrame, wanted: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(id, own, sketch) of each of the ``wanted`` texts (id): its whole set, 8 bytes a member, and 2 bytes of each member, sorted."""
+    named = texts.select("id", "digest", F.col("low.doc_id").alias("doc_id")).join(wanted, "id", "left_semi")
+    named = materialize(_marked(named, repeated), "copies-names").withColumnsRenamed({"doc_id": "low", "digest": "key"})
+    if named.count() <= NAMED:
+        named = F.broadcast(named)
+    # One of the rows of a text is enough: one that has its smallest doc_id.
+    own = _texts(docs).join(named, (_digest("text") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("low")))
+    own = own.filter("not many").select("id", "text").unionByName(own.filter("many").select("id", "text").dropDuplicates(["id"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             hashes, ends = shingle_sets(batch.column("text"))
-            sets = [hashes[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "own"])
+            sets = [hashes[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            cols = [pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], ["id", "own", "sketch"])
+
+    return own.mapInArrow(run, "id long, own binary, sketch binary")
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """The leading 16 bits of each member of a sorted set."""
+    return (own >> np.uint64(48)).astype(np.uint16)
 
-    return own.mapInArrow(run, "id long, own binary")
 
+def in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Members of two sorted lists in common; of sketches, at least as many as of their sets."""
+    return len(x) + len(y) - len(_either(x, y))
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The similar ones of the pairs (a, b), by their whole sets."""
+
+def _either(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Each value as often as the list that has it more often."""
+    number = lambda v: (v.astype(np.uint64) << np.uint64(32)) | (np.arange(len(v)) - np.searchsorted(v, v)).astype(np.uint64)
+    return np.union1d(number(x), number(y)) if x.dtype == np.uint16 else np.union1d(x, y)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """The pairs (a, b: a written table) that are similar by their sets, or may be by their sketches."""
+    kind = np.uint16 if column == "sketch" else np.uint64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = lambda name: [np.frombuffer(x, np.uint64) for x in batch.column(name).to_pylist()]
-            good = [bool(similar(np.isin(x, y, assume_unique=True).sum(), len(x), len(y))) for x, y in zip(read("x"), read("y"))]
+            read = lambda name: [np.frombuffer(x, kind) for x in batch.column(name).to_pylist()]
+            good = [bool(similar(in_common(x, y), len(x), len(y))) for x, y in zip(read("x"), read("y"))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    first, second = (sets.select(F.col("id").alias(k), F.col("own").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # Each side gets its sets by itself, so that only sets of pairs are shuffled, and few pairs are sent to the sets.
+    first, second = (pairs.join(sets.select(F.col("id").alias(k), F.col(column).alias(v)), k) for k, v in (("a", "x"), ("b", "y")))
+    return first.join(second, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def linked(sets: list[np.ndarray], keys: list[np.ndarray], side: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -217,7 +254,7 @@ def compared(met: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     """(a, b): links within the families (bucket, id, n, keys, root): blocks by id, each two of which are one task's."""
     size = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("long")
     sizes = met.groupBy("bucket").agg(size.alias("blocks"), (F.min("root") != F.max("root")).alias("open")).filter("open").select("bucket", "blocks")
-    met = met.join(sizes, "bucket").withColumn("i", F.pmod(F.xxhash64("id"), "blocks"))
+    met = materialize(met.join(sizes, "bucket").withColumn("i", F.pmod(F.xxhash64("id"), "blocks")), "copies-open")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j")
     side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side")
     names = ["id", "root", "keys", "own"]
@@ -236,28 +273,32 @@ def compared(met: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     return sent.groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
-def copy_links(docs: DataFrame, texts: DataFrame, block: int = BLOCK, few: int = FEW) -> DataFrame:
+def candidates(cold: DataFrame) -> DataFrame:
+    """(a, b) of texts (key, id, n, i: the key's place in the prefix) with a key in common that may be the first of them.
+
+    If it is, the sets have at most it and what comes after it in common, which must be enough for the similarity.
+    """
+    other = cold.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"))
+    pairs = cold.select("key", F.col("id").alias("a"), "n", "i").join(other, "key")
+    return pairs.filter("a < b and 9 * least(n - i, m - j) >= 4 * (n + m)").select("a", "b").distinct()
+
+
+def copy_links(docs: DataFrame, texts: DataFrame, repeated: DataFrame, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """(a, b): links between ids of texts of similarity 0.8 or more, which connect all such pairs."""
-    own = texts.select("id", "n", F.explode("keys").alias("key"))
+    own = texts.select("id", "n", F.posexplode("keys").alias("i", "key"))
     shared = materialize(own.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "copies-keys")
     own = materialize(own.join(shared, "key"), "copies-shared")
-    cold, hot = own.filter(F.col("texts") <= few), own.filter(F.col("texts") > few).select("id", "n", "key")
-    fits = F.expr("a < b and 9 * least(n, m) >= 4 * (n + m)")  # sizes that allow the similarity
-    pairs = cold.select("key", F.col("id").alias("a"), "n").join(cold.select("key", F.col("id").alias("b"), F.col("n").alias("m")), "key").filter(fits)
-    pairs = materialize(pairs.select("a", "b").distinct(), "copies-pairs")
-    met = materialize(families(hot), "copies-met")
-    proposed = materialize(proposals(texts), "copies-proposals")
-    ends = [p.select(F.col(c).alias("id")) for p in (pairs, proposed) for c in ("a", "b")]
-    wanted = met.select("id")
-    for end in ends:
-        wanted = wanted.unionByName(end)
-    sets = materialize(set_table(docs, texts, wanted.distinct()), "copies-sets")
-    first = materialize(verified(proposed, sets), "copies-simhash")
-    roots = materialize(components(first, "copies-groups"), "copies-groups")
-    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    left = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-    met = met.join(named("id"), "id", "left").select("bucket", "id", "n", "keys", F.coalesce("root_id", "id").alias("root"))
-    return first.unionByName(verified(left, sets)).unionByName(compared(met, sets, block))
+    pairs = materialize(candidates(own.filter(F.col("texts") <= few)).unionByName(proposals(texts)).distinct(), "copies-pairs")
+    met = materialize(families(own.filter(F.col("texts") > few).select("id", "n", "key")), "copies-met")
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(met.select("id")).distinct()
+    sets = materialize(set_table(docs, texts, wanted, repeated), "copies-sets")
+    likely = materialize(verified(pairs, sets, "sketch"), "copies-likely")
+    first = materialize(verified(likely, sets, "own"), "copies-verified")
+    if met.isEmpty():
+        return first
+    roots = materialize(components(first, "copies-groups"), "copies-groups").select(F.col("node").alias("id"), "root")
+    met = met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return first.unionByName(compared(met, sets.select("id", "own"), block))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -266,14 +307,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Groups are the components of :func:`copy_links` between distinct texts. Ids are grouped, not texts: the documents
     are joined once with the ids that stay.
     """
-    texts = distinct_texts(docs)
-    roots = materialize(components(copy_links(docs, texts), "copies-links"), "copies-roots")
+    texts, repeated = distinct_texts(docs), repeated_rows(docs)
+    roots = materialize(components(copy_links(docs, texts, repeated), "copies-links"), "copies-roots")
     rooted = texts.select("id", "digest", "low").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     best = F.min(F.struct("low", "digest")).alias("k")
     kept = rooted.groupBy(F.coalesce("root", "id").alias("root")).agg(best).select(F.col("k.low.doc_id").alias("doc_id"), F.col("k.digest").alias("digest"))
-    rows = _texts(docs).groupBy("doc_id", _digest("text").alias("digest")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("i"), F.col("digest").alias("d"))
-    many = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))
-    kept = materialize(kept.join(rows, many, "left").select("doc_id", "digest", F.col("d").isNotNull().alias("many")), "copies-kept")
+    kept = materialize(_marked(kept, repeated), "copies-kept")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     digest = _digest(F.coalesce(F.col("__row.text").cast("string"), F.lit("")))
 

@@ -68,7 +68,7 @@ def held_against_brute(spark, texts, **how):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     nodes = copies.distinct_texts(frame)
     place = {r.id: r.low.doc_id for r in nodes.collect()}
-    got = [(place[r.a], place[r.b]) for r in copies.copy_links(frame, nodes, **how).collect()]
+    got = [(place[r.a], place[r.b]) for r in copies.copy_links(frame, nodes, copies.repeated_rows(frame), **how).collect()]
     near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
     assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in got)
     assert classes(len(texts), got) == classes(len(texts), near)
@@ -148,3 +148,15 @@ def test_rows_that_share_id_and_text(spark):
     rows = [(1, "same text of an id", "b"), (1, "same text of an id", "a"), (1, "same text of an id", "a"), (2, "same text of an id", "0"), (None, None, "z"), (None, "", "y"), (1, "another text of this id", "c")]
     kept = copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([(1, "same text of an id", "a"), (None, None, "z"), (1, "another text of this id", "c")], key=str)
+
+
+def test_sketches_drop_no_similar_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 300, 20_000):
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        for share in (0.0, 0.5, 0.9, 1.0):
+            b = np.unique(np.concatenate([a[: int(len(a) * share)], rng.integers(0, 1 << 64, n - int(len(a) * share), np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            assert copies.in_common(a, b) == common <= copies.in_common(copies.sketch(a), copies.sketch(b)) <= common + 10 + n * n // 65536
