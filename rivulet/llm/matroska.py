@@ -228,23 +228,34 @@ def mux(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
-def packets(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The packet table: a row for each frame of each file."""
-    src = media.select(F.col(key).cast("long").alias("doc_id"), "media")
+#: A packet as a column: what :func:`parse` tells of it.
+_PACKET = "struct<track:int,time_ms:double,start:bigint,end:bigint,cluster:int,lacing:int,cued:boolean>"
+_PACKET_KINDS = [pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+
+
+def packet_lists(media: DataFrame) -> DataFrame:
+    """``media`` (doc_id, n_bytes, media) with ``packets``: each file's packets in stored order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "media"):
-            rows = [(k, i, *p) for k, m in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist()) if m is not None for i, p in enumerate(parse(m))]
-            names = ["doc_id", "packet", *Packet._fields]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names)
+            found = [[] if m is None else parse(m) for m in batch.column("media").to_pylist()]
+            flat = [p for own in found for p in own]
+            cols = [pa.array([p[j] for p in flat], t) for j, t in enumerate(_PACKET_KINDS)]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(cols, list(Packet._fields)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "n_bytes", "media")], lists], ["doc_id", "n_bytes", "media", "packets"])
+
+    own = media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), "media")
+    return own.mapInArrow(run, f"doc_id long, n_bytes long, media binary, packets array<{_PACKET}>")
 
-    return src.mapInArrow(run, "doc_id long, packet int, track int, time_ms double, start long, end long, cluster int, lacing int, cued boolean")
 
+def packets(media: DataFrame) -> DataFrame:
+    """The packet table: a row for each frame of each file of ``media`` (doc_id, n_bytes, media)."""
+    return packet_lists(media).select("doc_id", F.posexplode("packets").alias("packet", "p")).select("doc_id", "packet", "p.*")
 
-def digest(n_bytes: int, media: bytes) -> tuple:
+
+def digest(n_bytes: int, media: bytes, found: list[Packet]) -> tuple:
     """What a stored file holds, read back packet by packet."""
-    found = parse(media)
     payload = b"".join([media[p.start : p.end] for p in found])
     return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload, found)
 
@@ -259,21 +270,11 @@ def _digests(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Digests of the files of a media column (doc_id, n_bytes, media)."""
+    """Digests of files and their packets (doc_id, n_bytes, media, packets: see :func:`packet_lists`); a null media value gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "media"):
-            yield _digests(batch.column("doc_id"), [digest(n, m) for n, m in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist())])
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _DIGEST_SCHEMA)
-
-
-def round_trip(docs: DataFrame) -> DataFrame:
-    """The digests of :func:`mux`'s files, stored and read back in one pass of a worker."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            raw = [(x or "").encode() for x in batch.column("text").to_pylist()]
-            yield _digests(batch.column("doc_id"), [digest(len(x), mux_payload(pad(x))) for x in raw])
+            found = [[Packet(**p) for p in own] for own in batch.column("packets").to_pylist()]
+            yield _digests(batch.column("doc_id"), [digest(*row) for row in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist(), found)])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, _DIGEST_SCHEMA)
+    return media.filter("media is not null").select("doc_id", "n_bytes", "media", "packets").mapInArrow(run, _DIGEST_SCHEMA)

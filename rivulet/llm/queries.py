@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from . import bpe, chat, decontam, langid, matroska, sharding, simhash, sql, suffixes, toxicity, warc
 from .batches import bound_batches
+from .store import materialize
 
 
 def prepare(spark: SparkSession) -> None:
@@ -61,13 +62,13 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
-    merged = warc.merge_runs(warc.read_archives(archives))
-    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    merged = warc.histories(warc.read_archives(archives))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "capture_no")
 
 
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return matroska.round_trip(docs)
+    return matroska.digests(matroska.packet_lists(materialize(matroska.mux(docs), "media")))
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model | None:

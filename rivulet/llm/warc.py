@@ -2,15 +2,18 @@
 
 :func:`write_archives` writes a record for each page, a gzip member each, one file for a task. Of records with equal
 payloads of ``LEAST`` bytes or more, the one with the largest page_id holds the payload (response), the others refer to
-it (revisit). :func:`read_archives` reads the files again; each gives a run of captures sorted by URL key and time.
-:func:`merge_runs` range-partitions the captures by sampled splitters of (URL key, time, page), and in each range merges
-the slices of all runs by a tournament tree of losers, so the ranges, in order, are one globally sorted index.
+it (revisit). :func:`read_archives` reads the files again, a task each; each gives a run of captures sorted by URL key
+and time, and the runs are written. :func:`merge_runs` range-partitions the captures by sampled splitters of (URL key,
+time, page), and in each range merges the slices of all runs by a tournament tree of losers, so the ranges, in order, are
+one globally sorted index, in which :func:`histories` numbers the captures of each URL key. A task holds a range of some
+``RANGE_ROWS`` index entries as Arrow batches, whatever the size of a history, and decoded only the heads of its runs.
 
 Pages carry no time: a capture's is ``EPOCH`` plus its page_id in seconds.
 
 Defined results: a null html counts as an empty payload; a null url has the empty URL key and no target URI; a null
 page_id counts as the smallest (its time is ``EPOCH``); rows that share the largest page_id and the payload are all
-responses; an empty table gives no archives and no captures.
+responses; one page must fit in a task's memory a few times over; columns other than page_id, url and html, whatever
+their names, are not read; an empty table gives no archives and no captures.
 """
 
 from __future__ import annotations
@@ -22,19 +25,21 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import pieces
-from .ranks import ranked
 from .store import materialize, new_path
 
+#: Index entries of a range of the merge, and entries decoded at once from a run.
+RANGE_ROWS, HEAD_ROWS = 200_000, 256
 LEAST, EPOCH = 1000, datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 _CAPTURE = "page_id long, url string, urlkey string, timestamp string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 _NAMES = [x.split()[0] for x in _CAPTURE.split(", ")]
@@ -105,7 +110,9 @@ def planned(pages: DataFrame) -> DataFrame:
     low = -(1 << 63)
     rank = F.coalesce(F.col("page_id"), F.lit(low))
     shared = own.filter("key is not null").groupBy("key").agg(F.max(rank).alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("shared"), "keep")
-    joined = own.join(shared, F.col("key") == F.col("shared"), "left")
+    # Payloads that can't be shared get keys of their own, so that a join by key does not send all of them to one task.
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "url", "payload").cast("string"))
+    joined = own.withColumn("key", F.coalesce("key", alone)).join(shared, F.col("key") == F.col("shared"), "left")
     revisit = F.col("keep").isNotNull() & (rank < F.col("keep"))
     return joined.select("page_id", "url", "payload", F.when(revisit, F.col("keep")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -187,7 +194,7 @@ def order_of(row: tuple) -> tuple:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """The captures of the listed files: from each file a run, sorted by URL key, time and page."""
+    """The captures of the listed files, written: from each file, a task of its own, a run sorted by URL key, time and page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,27 +205,27 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 for at in range(0, len(rows), 5000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 5000]), _KINDS)], _NAMES)
 
-    spread = archives.select("archive").distinct()
-    return spread.repartition(max(1, spread.count()), "archive").mapInArrow(run, _CAPTURE)
+    return materialize(archives.select("archive").repartition(max(1, archives.count())).mapInArrow(run, _CAPTURE), "warc-runs")
 
 
 class LoserTree:
-    """Merges sorted lists: a tree in which each inner node keeps the loser of its match, so the next winner costs one path."""
+    """Merges sorted runs: a tree in which each inner node keeps the loser of its match, so the next winner costs one path."""
 
-    def __init__(self, lists: list[list[tuple]], key=order_of):
-        self.lists, self.key, self.k = lists, key, len(lists)
-        self.at = [0] * self.k
-        self.head = [self._head(i) for i in range(self.k)]
+    def __init__(self, runs: Iterable[Iterable[tuple]], key=order_of):
+        self.runs, self.key = [iter(r) for r in runs], key
+        self.k = len(self.runs)
+        self.head = [self._next(i) for i in range(self.k)]
         self.losers = [-1] * self.k
         for i in range(self.k):
             self._play(i)
 
-    def _head(self, i: int) -> tuple | None:
-        return (self.key(self.lists[i][self.at[i]]), i) if self.at[i] < len(self.lists[i]) else None
+    def _next(self, i: int) -> tuple | None:
+        row = next(self.runs[i], None)
+        return None if row is None else (self.key(row), i, row)
 
     def _beats(self, i: int, j: int) -> bool:
         a, b = self.head[i], self.head[j]
-        return a is not None and (b is None or a < b)
+        return a is not None and (b is None or a[:2] < b[:2])
 
     def _play(self, i: int) -> None:
         node = (i + self.k) // 2
@@ -233,46 +240,66 @@ class LoserTree:
         self.losers[0] = i
 
     def __iter__(self) -> Iterator[tuple]:
-        if not self.k:
-            return
-        while True:
-            i = self.losers[0]
-            if self.head[i] is None:
-                return
-            yield self.lists[i][self.at[i]]
-            self.at[i] += 1
-            self.head[i] = self._head(i)
-            self._play(i)
+        while self.k and (found := self.head[self.losers[0]]) is not None:
+            yield found[2]
+            self.head[found[1]] = self._next(found[1])
+            self._play(found[1])
+
+
+def decoded(batches: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of a run's slice, a few at a time; batches that are done are let go."""
+    while batches:
+        batch = batches.pop(0)
+        for at in range(0, batch.num_rows, HEAD_ROWS):
+            yield from zip(*(batch.column(c).slice(at, HEAD_ROWS).to_pylist() for c in _NAMES))
+
+
+_ORDERED = _CAPTURE + ", range int, number long"
 
 
 def merge_runs(captures: DataFrame) -> DataFrame:
-    """All captures in global order of URL key, time and page: by partition, and within each.
+    """All captures in global order of URL key, time and page: by ``range``, and within each; ``number`` counts those of a URL key in a range.
 
     A range of the key space is a task's; a URL with very many captures is cut by time like any other range.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: list[list[tuple]] = []
-        last = None
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in _NAMES)):
-                if row[8] != last:
-                    runs.append([])
-                    last = row[8]
-                runs[-1].append(row)
+        runs: dict[str, list[pa.RecordBatch]] = {}
+        for batch in batches:  # one archive's captures follow another's
+            name = batch.column("archive")
+            cuts = [0, *[i for i in range(1, batch.num_rows) if name[i] != name[i - 1]], batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    runs.setdefault(name[a].as_py(), []).append(batch.slice(a, b - a))
+        here, last, number = TaskContext.get().partitionId(), None, 0
         merged: list[tuple] = []
-        for row in LoserTree(runs):
-            merged.append(row)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*merged), [*_KINDS, pa.int32(), pa.int64()])], [*_NAMES, "range", "number"])
+
+        for row in LoserTree(decoded(r) for r in runs.values()):
+            number = number + 1 if row[2] == last else 0
+            last = row[2]
+            merged.append((*row, here, number))
             if len(merged) == 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*merged), _KINDS)], _NAMES)
+                yield out()
                 merged = []
         if merged:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*merged), _KINDS)], _NAMES)
+            yield out()
 
     order = ["urlkey", "timestamp", "page_id"]
-    return captures.repartitionByRange(*order, "archive", "offset").sortWithinPartitions("archive", *order, "offset").mapInArrow(run, _CAPTURE)
+    ranges = max(captures.sparkSession.sparkContext.defaultParallelism, -(-captures.count() // RANGE_ROWS))
+    return captures.repartitionByRange(ranges, *order, "archive", "offset").sortWithinPartitions("archive", *order, "offset").mapInArrow(run, _ORDERED)
 
 
 def histories(captures: DataFrame) -> DataFrame:
-    """Captures with ``capture_no``, the 0-based position in their URL key's history."""
-    return ranked(captures, ["timestamp", "page_id", "archive", "offset"], "urlkey", "capture_no", "warc-histories")[0]
+    """Captures with ``capture_no``, the 0-based position in their URL key's history, in the merged order.
+
+    Only the first and the last URL key of a range can go on in others: their counts, two rows a range, carry over.
+    """
+    merged = materialize(merge_runs(captures), "warc-index")
+    ends = merged.groupBy("range").agg(F.min("urlkey").alias("lo"), F.max("urlkey").alias("hi")).select("range", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("urlkey"))
+    counts = merged.groupBy("range", "urlkey").agg(F.count(F.lit(1)).alias("n")).join(ends, ["range", "urlkey"])
+    before = Window.partitionBy("urlkey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.select("range", "urlkey", F.sum("n").over(before).alias("before")).filter("before > 0")
+    return merged.join(carried, ["range", "urlkey"], "left").select(*_NAMES, (F.col("number") + F.coalesce("before", F.lit(0))).alias("capture_no"))

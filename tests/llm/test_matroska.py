@@ -4,6 +4,7 @@ import zlib
 import pytest
 
 from rivulet.llm import matroska as m
+from rivulet.llm import store
 
 
 @pytest.mark.parametrize("n", [0, 1, 191, 192, 193, 959, 960, 961, 7680, 7681, 9000, 246_000, 600_000])
@@ -48,21 +49,38 @@ def test_vint():
         assert m.read_vint(m.vint(v), 0)[:2] == (v, len(m.vint(v)))
 
 
+def by_hand(text):
+    """Feature, stored bytes and payload written from the format: frames of 960 bytes, 8 to a laced block, 32 blocks to a cluster."""
+    p = m.pad((text or "").encode())
+    frames = -(-len(p) // 960)
+    blocks = -(-frames // 8)
+    clusters = -(-blocks // 32)
+    laced = sum(min(8, frames - 8 * b) for b in range(blocks) if min(8, frames - 8 * b) > 1)
+    x = [v - 128 for v in p]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+    shown = f"packets={frames};clusters={clusters};cued={clusters};laced={laced};ms={len(p) * 1000 // 48000};sum={sum(x)};energy={sum(v * v for v in x)};crossings={crossings}"
+    return len((text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), shown
+
+
 def test_query(docs, docs_rows):
-    rows = m.digests(m.mux(docs)).collect()
-    want = []
-    for i, t, *_ in docs_rows:
-        p = m.pad((t or "").encode())
-        want.append((i, len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
-    assert sorted((tuple(r)[:5] for r in rows), key=str) == sorted(want, key=str)
-    assert sorted(map(tuple, m.round_trip(docs).collect()), key=str) == sorted(map(tuple, rows), key=str)
+    stored = store.materialize(m.mux(docs), "media")
+    rows = m.digests(m.packet_lists(stored)).collect()
+    got = sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) for r in rows), key=str)
+    assert got == sorted(((i, *by_hand(t)) for i, t, *_ in docs_rows), key=str)
+    files = {hashlib.sha256(bytes(r.media)).hexdigest(): len(r.media) for r in stored.collect()}
+    assert {(r.media_sha256, r.media_bytes) for r in rows} == set(files.items())
     assert len({r.payload_sha256 for r in rows}) == len({(r.media_sha256, r.feature) for r in rows})
 
 
 def test_packet_table_empty_and_clashing(docs, no_docs):
     from pyspark.sql import functions as F
 
-    table = m.packets(m.mux(docs)).collect()
+    media = m.mux(docs)
+    table = m.packets(media).collect()
     assert {r.track for r in table} == {1}
-    assert m.digests(m.mux(no_docs)).collect() == [] and m.packets(m.mux(no_docs)).collect() == []
-    assert m.mux(docs.withColumn("media", F.lit(1)).withColumn("n_bytes", F.lit(2))).count() == docs.count()
+    for r in media.filter("doc_id in (112, 113)").collect():
+        own = [p for p in table if p.doc_id == r.doc_id]
+        assert own and {p.packet for p in own} == set(range(max(p.packet for p in own) + 1)) and all(0 < p.start < p.end for p in own)
+    assert m.digests(m.packet_lists(m.mux(no_docs))).collect() == [] and m.packets(m.mux(no_docs)).collect() == []
+    assert m.mux(docs.withColumn("media", F.lit(1)).withColumn("n_bytes", F.lit(2)).withColumn("packets", F.lit(3))).count() == docs.count()
+    assert m.digests(m.packet_lists(media.withColumn("media", F.lit(None).cast("binary")))).collect() == []

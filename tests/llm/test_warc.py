@@ -95,3 +95,22 @@ def test_empty_and_clashing(spark, pages_rows):
     for c in ("key", "payload", "shared", "keep", "refers_to", "archive"):
         odd = odd.withColumn(c, F.lit("x"))
     assert warc.read_archives(warc.write_archives(odd)).count() == len(pages_rows)
+
+
+def test_histories_over_many_ranges(spark, monkeypatch):
+    """One URL with a third of the captures spans many ranges; its history is numbered through, as are the others."""
+    monkeypatch.setattr(warc, "RANGE_ROWS", 40)
+    rows = [(i, "http://hot.example/" if i % 3 == 0 else f"http://h{i % 17}.example/{i % 5}", f"p{i}") for i in range(600)]
+    rows += [(None, "http://hot.example/", "x"), (None, None, "y")]
+    captures = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, SCHEMA).repartition(7)))
+    history = warc.histories(captures).collect()
+    assert len(history) == len(rows)
+    for key in {r.urlkey for r in history}:
+        own = sorted((warc.order_of(tuple(r)[:11]), r.capture_no) for r in history if r.urlkey == key)
+        assert [n for _, n in own] == list(range(len(own)))
+
+
+def test_archives_are_read_by_a_task_each(spark):
+    archives = warc.write_archives(spark.createDataFrame([(i, f"http://a.example/{i}", "x" * 2000) for i in range(64)], SCHEMA).repartition(8))
+    read = archives.select("archive").repartition(max(1, archives.count()))
+    assert read.rdd.getNumPartitions() == archives.count()
