@@ -4,7 +4,7 @@
    the two whole sets. This finds most copies, and whole families of them, at one comparison a text.
 2. A radius that ball hashing can list misses pairs near the threshold (a similarity of 0.8 is some 10 of 64 bits), so
    what is left is found exactly, by a join of set prefixes: two sets of similarity 0.8 have a member in the first fifth
-   of both, in any order; rare shingles come first. Pairs of a key of few texts are rows, told from chance by small
+   of both, in any order; shingles of many texts come last. Pairs of a key of few texts are rows, told from chance by small
    sketches and then by the whole sets; larger families are compared in blocks, where what is connected is passed over.
 
 Words are runs of bytes other than blank and 9 to 13, A-Z in lower case; a text of fewer than five words is one shingle.
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from .batches import ODD, Spans, flat, fold, long_array, mix, pieces, runs
 from .graph import components
 from .simhash import RADIUS, bits_for, links
-from .store import materialize
+from .store import materialize, release
 
 SHINGLE = 5
-#: Texts of a sample that tells which shingles are frequent, and how many of these are told apart at most: an order only.
-SAMPLED, FREQUENT = 8_000, 200_000
+#: Shingles that are known to be frequent and so come last, at most: the most frequent ones. An order only, nothing is left out by it.
+FREQUENT = 1_000_000
 #: Texts of a key up to which its pairs are rows; texts and bytes of a block of a larger family.
 FEW, BLOCK, BLOCK_BYTES = 32, 512, 4 << 20
 #: Texts whose names (some 100 bytes each) are broadcast to look their rows up, at most; more are joined by a shuffle.
@@ -96,20 +96,13 @@ def _digest(text):
     return F.unhex(F.md5(text))
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of three or more texts of a sample, sorted, and their numbers."""
-    every = max(1, docs.count() // SAMPLED)
-    # By a hash of the text: equal texts are in or out together and count once.
-    sample = _texts(docs).filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).dropDuplicates(["text"]).select("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([long_array(shingle_sets(batch.column("text"))[0])], ["h"])
-
-    counts = sample.mapInArrow(run, "h long").groupBy("h").count().filter("count >= 3").orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
-    hashes = counts.column("h").to_numpy().view(np.uint64)
+def frequent_shingles(texts: DataFrame, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of more than ``few`` texts, sorted, and the numbers of their texts."""
+    counts = texts.select(F.explode("keys").alias("key")).groupBy("key").count().filter(F.col("count") > few)
+    found = counts.orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow()
+    hashes = found.column("key").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], counts.column("count").to_numpy()[order]
+    return hashes[order], found.column("count").to_numpy()[order]
 
 
 def sketched(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
@@ -128,14 +121,28 @@ def sketched(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFra
     return own.mapInArrow(run, "doc_id long, digest binary, n int, fp long, keys array<long>")
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """A row a distinct text: id (a number), digest, low (its smallest doc_id and whether that is null), n, fp and keys."""
-    made = sketched(docs, *frequent_shingles(docs))
+def texts_in_order(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    made = sketched(docs, frequent, rank)
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("low")
     own = made.groupBy("digest").agg(low, *[F.first(c).alias(c) for c in ("n", "fp", "keys")])
     return materialize(own.withColumn("id", F.monotonically_increasing_id()), "copies-texts")
 
 
+def distinct_texts(docs: DataFrame, few: int = FEW) -> DataFrame:
+    """A row a distinct text: id (a number), digest, low (its smallest doc_id and whether that is null), n, fp and keys.
+
+    Where keys in the order of their hashes are those of many texts, as a passage's are that many texts share, the
+    prefixes are made again with these keys last.
+    """
+    none = np.zeros(0, np.int64)
+    texts = texts_in_order(docs, none.view(np.uint64), none)
+    frequent, rank = frequent_shingles(texts, few)
+    if len(frequent):
+        release(texts)
+        texts = texts_in_order(docs, frequent, rank)
+    return texts
+
+
 def proposals(texts: DataFrame) -> DataFrame:
     """(a, b): pairs of texts that SimHash links: of equal fingerprints, or of fingerprints within the radius."""
     fps = materialize(texts.groupBy("fp").agg(F.min("id").alias("first")), "copies-fingerprints")
@@ -158,8 +165,8 @@ def _marked(names: DataFrame, repeated: DataFrame) -> DataFrame:
     return names.join(again, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left").withColumn("many", F.col("d").isNotNull()).drop("i", "d")
 
 
-def set_table(docs: DataFrame, texts: DataFrame, wanted: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(id, own, sketch) of each of the ``wanted`` texts (id): its whole set, 8 bytes a member, and 2 bytes of each member, sorted."""
+def set_table(docs: DataFrame, texts: DataFrame, wanted: DataFrame, repeated: DataFrame, kind: type) -> DataFrame:
+    """(id, own), written, of each of the ``wanted`` texts (id): its whole set (uint64), or 2 bytes of each member (uint16), sorted."""
     named = texts.select("id", "digest", F.col("low.doc_id").alias("doc_id")).join(wanted, "id", "left_semi")
     named = materialize(_marked(named, repeated), "copies-names").withColumnsRenamed({"doc_id": "low", "digest": "key"})
     if named.count() <= NAMED:
@@ -171,11 +178,10 @@ def set_table(docs: DataFrame, texts: DataFrame, wanted: DataFrame, repeated: Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             hashes, ends = shingle_sets(batch.column("text"))
-            sets = [hashes[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            cols = [pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], ["id", "own", "sketch"])
+            sets = [hashes[a:b] if kind is np.uint64 else sketch(hashes[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "own"])
 
-    return own.mapInArrow(run, "id long, own binary, sketch binary")
+    return materialize(own.mapInArrow(run, "id long, own binary"), "copies-sets")
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
@@ -194,9 +200,8 @@ def _either(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.union1d(number(x), number(y)) if x.dtype == np.uint16 else np.union1d(x, y)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """The pairs (a, b: a written table) that are similar by their sets, or may be by their sketches."""
-    kind = np.uint16 if column == "sketch" else np.uint64
+def verified(pairs: DataFrame, sets: DataFrame, kind: type) -> DataFrame:
+    """The pairs (a, b: a written table) that are similar by their sets (uint64), or may be by their sketches (uint16); written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,8 +210,8 @@ def verified(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     # Each side gets its sets by itself, so that only sets of pairs are shuffled, and few pairs are sent to the sets.
-    first, second = (pairs.join(sets.select(F.col("id").alias(k), F.col(column).alias(v)), k) for k, v in (("a", "x"), ("b", "y")))
-    return first.join(second, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    first, second = (pairs.join(sets.select(F.col("id").alias(k), F.col("own").alias(v)), k) for k, v in (("a", "x"), ("b", "y")))
+    return materialize(first.join(second, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "copies-verified")
 
 
 def linked(sets: list[np.ndarray], keys: list[np.ndarray], side: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -290,15 +295,19 @@ def copy_links(docs: DataFrame, texts: DataFrame, repeated: DataFrame, block: in
     own = materialize(own.join(shared, "key"), "copies-shared")
     pairs = materialize(candidates(own.filter(F.col("texts") <= few)).unionByName(proposals(texts)).distinct(), "copies-pairs")
     met = materialize(families(own.filter(F.col("texts") > few).select("id", "n", "key")), "copies-met")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(met.select("id")).distinct()
-    sets = materialize(set_table(docs, texts, wanted, repeated), "copies-sets")
-    likely = materialize(verified(pairs, sets, "sketch"), "copies-likely")
-    first = materialize(verified(likely, sets, "own"), "copies-verified")
-    if met.isEmpty():
-        return first
-    roots = materialize(components(first, "copies-groups"), "copies-groups").select(F.col("node").alias("id"), "root")
-    met = met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    return first.unionByName(compared(met, sets.select("id", "own"), block))
+    release(shared, own)
+    ends = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id")))
+    sketches = set_table(docs, texts, ends(pairs).distinct(), repeated, np.uint16)
+    likely = verified(pairs, sketches, np.uint16)
+    release(sketches, pairs)
+    sets = set_table(docs, texts, ends(likely).unionByName(met.select("id")).distinct(), repeated, np.uint64)
+    found = verified(likely, sets, np.uint64)
+    if not met.isEmpty():
+        roots = materialize(components(found, "copies-groups"), "copies-groups").select(F.col("node").alias("id"), "root")
+        met = met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        found = materialize(found.unionByName(compared(met, sets, block)), "copies-links")
+    release(sets)
+    return found
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT)
 ARCHIVES = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
 k AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS keep FROM p),
-u AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1) AS host, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages),
-h AS (SELECT page_id, array_to_string(list_reverse(string_split(regexp_replace(lower(host), '^www[.]', ''), '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END AS urlkey FROM u)
+u AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1) AS host, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) AS path, list_sort(list_filter(string_split(lower(regexp_extract(url, '[?]([^#]*)', 1)), '&'), lambda x: x <> '')) AS query FROM pages),
+h AS (SELECT page_id, array_to_string(list_reverse(string_split(regexp_replace(lower(host), '^www[.]', ''), '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS urlkey FROM u)
 SELECT page_id, urlkey, row_number() OVER (PARTITION BY urlkey ORDER BY page_id) - 1 AS capture_no, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN page_id < keep THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < keep THEN keep END AS refers_to FROM k JOIN h USING (page_id)
 """

@@ -13,6 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one of this context."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_rivulet_dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = spark.sparkContext._rivulet_dir = f"file://{tempfile.mkdtemp(prefix='rivulet-')}"
     return folder.rstrip("/")
 
@@ -39,4 +41,12 @@ def materialize(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
     """
     path = new_path(df.sparkSession, tag)
     (df.coalesce(files) if files else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._rivulet_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables from which nothing will be read again."""
+    for table in tables:
+        _delete(table.sparkSession, table._rivulet_path)
