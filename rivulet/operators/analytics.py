@@ -74,10 +74,10 @@ def gaps(rows: DataFrame, key: str, seq: str) -> DataFrame:
     return rows.withColumn("expected", expected).filter(F.col(seq) != F.col("expected"))
 
 
-def max_normalized(value: str) -> Column:
-    """The share of the largest value of the table; 0 if that is not positive. Use with a table of totals, not of rows."""
-    top = F.max(value).over(Window.partitionBy())
-    return F.when(top > 0, F.col(value) / top).otherwise(F.lit(0.0))
+def max_normalized(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with the share of the table's largest value; 0 if that is not positive. The maximum is one row, sent to all tasks."""
+    top = rows.agg(F.max(value).alias("__top"))
+    return rows.join(F.broadcast(top)).withColumn(name, F.when(F.col("__top") > 0, F.col(value) / F.col("__top")).otherwise(F.lit(0.0))).drop("__top")
 
 
 def newest_within(rows: DataFrame, key: str, seq: str, text: str, cost: Column, budget: int, per_char: int = 4) -> DataFrame:

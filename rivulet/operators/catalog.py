@@ -9,6 +9,12 @@ from ..functions.text import slug
 from .analytics import midrank_percentile
 
 
+# Patterns of slugs of models made for something else than text, of variants, and of aliases.
+OTHER_KINDS = "(^|-)(audio|embedding|guard|image|moderation|omni|rerank|safety|speech|transcribe|tts|vision)(-|$)"
+VARIANTS = "highspeed|latest|preview|turbo|ultraspeed"
+ALIASES = "(-latest|-highspeed|-ultraspeed)$"
+
+
 def number(json: str, path: str) -> Column:
     """A number at a path; any other type gives null."""
     return F.try_variant_get(F.try_parse_json(json), path, "double")
@@ -53,21 +59,20 @@ def pivoted(submissions: DataFrame, document: str, tasks: list[str], k: int = 10
 
 def is_text_model(inputs: Column, outputs: Column, slug_: Column) -> Column:
     """Models that read and write text and are made for nothing else, by a word of their slug."""
-    kinds = "audio|embedding|guard|image|moderation|omni|rerank|safety|speech|transcribe|tts|vision"
-    return F.coalesce(F.array_contains(inputs, "text") & F.array_contains(outputs, "text"), F.lit(False)) & ~slug_.rlike(f"(^|-)({kinds})(-|$)")
+    return F.coalesce(F.array_contains(inputs, "text") & F.array_contains(outputs, "text"), F.lit(False)) & ~slug_.rlike(OTHER_KINDS)
 
 
 def family_order(preferred: list[str]) -> list[Column]:
     """Newest first, then preferred families in order, plain before variant names, short before long slugs, names."""
     family = F.array_position(F.array(*[F.lit(f) for f in preferred]).cast("array<string>"), slug(F.coalesce("family", F.lit(""))))
     place = F.when(family > 0, family - 1).otherwise(len(preferred))
-    variant = F.col("slug").rlike("highspeed|latest|preview|turbo|ultraspeed").cast("int")
+    variant = F.col("slug").rlike(VARIANTS).cast("int")
     return [F.coalesce("release_date", "last_updated").desc_nulls_last(), place.asc(), variant.asc(), F.char_length("slug").asc(), F.col("name").asc()]
 
 
 def without_aliases(models_: DataFrame) -> DataFrame:
     """Models less those whose slug is an alias ("-latest" and the like) of another of the same family and date."""
-    alias = F.col("slug").rlike("(-latest|-highspeed|-ultraspeed)$")
+    alias = F.col("slug").rlike(ALIASES)
     plain = models_.filter(~alias).select(F.col("family").alias("__f"), F.col("release_date").alias("__d")).distinct()
     same = F.col("family").eqNullSafe(F.col("__f")) & F.col("release_date").eqNullSafe(F.col("__d"))
     return models_.filter(~alias).unionByName(models_.filter(alias).join(plain, same, "left_anti"))

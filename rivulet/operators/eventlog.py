@@ -22,21 +22,27 @@ def read_after(log: DataFrame, aggregate: str, after: int = -1, limit: int | Non
 def incoming(log: DataFrame, batch: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     """Classify a batch of replayed events against the log.
 
-    ``verdict``: replay (same id, type and data at that number: nothing to do), divergent (something else is there),
-    foreign (the aggregate has another owner), gap (it would not follow the last number) or append.
+    ``verdict``: replay (same id, type and data at that number, in the log or before in the batch: nothing to do),
+    divergent (something else is there), foreign (the aggregate has another owner), gap (it would not follow the last
+    number) or append.
     """
     known = log.select("aggregate_id", "seq", F.struct("id", "type", "data").alias("__old"))
     heads = log.groupBy("aggregate_id").agg(F.max("seq").alias("__head"))
     own = batch.join(known, ["aggregate_id", "seq"], "left").join(heads, "aggregate_id", "left").withColumn("__head", F.coalesce("__head", F.lit(-1)))
-    order = Window.partitionBy("aggregate_id").orderBy("seq")
-    fresh = F.col("seq") > F.col("__head")
+    # Of events of the batch at one number the first counts; an equal one after it is a replay, another one diverges.
+    place = Window.partitionBy("aggregate_id", "seq").orderBy("id", "type", "data")
+    mine = F.struct("id", "type", "data")
+    own = own.withColumn("__first", F.first(mine).over(place)).withColumn("__no", F.row_number().over(place))
+    own = own.withColumn("__old", F.coalesce("__old", F.when(F.col("__no") > 1, F.col("__first"))))
+    order = Window.partitionBy("aggregate_id").orderBy("seq", "__no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fresh = (F.col("seq") > F.col("__head")) & (F.col("__no") == 1)
     expected = F.col("__head") + F.sum(fresh.cast("int")).over(order)
     out = F.when(F.col("__old") == F.struct("id", "type", "data"), "replay").when(F.col("__old").isNotNull(), "divergent").when(F.col("seq") != expected, "gap").otherwise("append")
     if owners is not None:
         mine = owners.select("aggregate_id", F.col("owner_id").alias("__owner"))
         own = own.join(mine, "aggregate_id", "left")
         out = F.when(F.col("__owner").isNotNull() & ~F.col("__owner").eqNullSafe(F.col("owner_id")), "foreign").otherwise(out)
-    return own.withColumn("verdict", out).drop("__old", "__head", "__owner")
+    return own.withColumn("verdict", out).drop("__old", "__head", "__owner", "__first", "__no")
 
 
 def append(log: DataFrame, batch: DataFrame, owners: DataFrame | None = None) -> DataFrame:

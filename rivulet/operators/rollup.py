@@ -42,17 +42,31 @@ class Rules:
 
     def author(self, model: Column) -> Column:
         """Null for a model that is not counted."""
-        own = F.lower(self.name(model))
+        return self.author_of(F.lower(self.name(model)))
+
+    def author_of(self, own: Column) -> Column:
         return F.when(~own.isin(*self.excluded), text.first_match(own, self.authors))
 
     def provider(self, model: Column, provider_model: Column, provider: Column) -> Column:
         """The author by the provider's name, then by the model's, then the provider itself, then "unknown"; null if not counted."""
+        return self.provider_of(self.author(self.model(model, provider_model)), self.author(provider_model), provider)
+
+    def provider_of(self, by_model: Column, by_backend: Column, provider: Column) -> Column:
         known = lambda c: F.when(c != "unknown", c)
-        by_model = self.author(self.model(model, provider_model))
         own = F.nullif(provider, F.lit(""))
         if self.retired_providers:
             own = F.when(~F.lower(own).isin(*self.retired_providers), own)
-        return F.when(by_model.isNotNull(), F.coalesce(known(self.author(provider_model)), known(by_model), own, by_model))
+        return F.when(by_model.isNotNull(), F.coalesce(known(by_backend), known(by_model), own, by_model))
+
+    def resolved(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with __model and __provider. Names are made step by step, as one expression would repeat each in the next."""
+        lower = lambda c: F.lower(self.name(F.col(c)))
+        out = rows.withColumns({"__name": self.name(F.col("model")), "__backend": self.name(F.col("provider_model"))})
+        own = F.col("__name")
+        out = out.withColumn("__model", F.when(F.lower(own).isin(*self.retired_models), F.col("__backend")).otherwise(own) if self.retired_models else own)
+        out = out.withColumns({"__low": lower("__model"), "__low_backend": lower("provider_model")})
+        out = out.withColumns({"__by_model": self.author_of(F.col("__low")), "__by_backend": self.author_of(F.col("__low_backend"))})
+        return out.withColumn("__provider", self.provider_of(F.col("__by_model"), F.col("__by_backend"), F.col("provider")))
 
     def tier(self, source: Column, model: Column) -> Column:
         out = None
@@ -76,12 +90,12 @@ def normalized(events: DataFrame, start: str, end: str, rules: Rules = Rules(),
     span = c("timestamp_last_byte") - c("timestamp_first_byte")
     micro = {f"cost_{k}_microcents": numbers.micro_or_cents(c(f"cost_{k}_microcents"), c(f"cost_{k}")) for k in ("input", "output", "total")}
     kinds = ("cache_read", "cache_write_5m", "cache_write_1h", "input", "output")
-    out = rows.select(
+    out = rules.resolved(rows).select(
         F.to_timestamp("event_timestamp").alias("event_time"),
         rules.tier(c("source"), c("model")).alias("tier"),
-        rules.provider(c("model"), c("provider_model"), c("provider")).alias("provider"),
+        c("__provider").alias("provider"),
         blank("provider_model").alias("provider_model"),
-        rules.model(c("model"), c("provider_model")).alias("model"),
+        c("__model").alias("model"),
         F.upper(text.or_default(c("cf_country"), "ZZ")).alias("country"),
         blank("cf_continent").alias("continent"),
         "session",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, relational
+from . import events, records, relational
 
-_ALL = events.QUERIES | relational.QUERIES
+_ALL = events.QUERIES | relational.QUERIES | records.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

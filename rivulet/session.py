@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -41,6 +42,18 @@ def ship(spark: SparkSession) -> None:
     context._rivulet_shipped = True
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh folder that the driver and all executors share: below ``spark.checkpoint.dir``, or, on one machine without it, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="rivulet-scratch-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        folder = f"file://{folder}"
+    return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration by a reliable checkpoint, where the session names a folder for them."""
     context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)

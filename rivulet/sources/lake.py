@@ -8,16 +8,70 @@ from pyspark.sql import types as T
 
 from ..functions import coerce
 
-_KINDS = {
-    T.StringType(): "event_timestamp event_date event_type dataset cf_continent cf_country cf_city cf_region cf_timezone ip ip_prefix session request client user_agent model model_tier model_variant source provider provider_model llm_error_message error_response error_type error_message error_cause error_cause2 api_key workspace user_id subscription",
-    T.DoubleType(): "cf_latitude cf_longitude duration",
-    T.IntegerType(): "status llm_error_code",
-    T.BooleanType(): "is_stream is_subscription",
-    T.LongType(): "request_length response_length time_to_first_byte timestamp_first_byte timestamp_last_byte tokens_input tokens_output tokens_reasoning tokens_cache_read tokens_cache_write_5m tokens_cache_write_1h cost_input_microcents cost_output_microcents cost_cache_read_microcents cost_cache_write_microcents cost_total_microcents cost_input cost_output cost_cache_read cost_cache_write_5m cost_cache_write_1h cost_total",
-}
-
-#: All columns are nullable.
-SCHEMA = T.StructType([T.StructField(n, k) for k, names in _KINDS.items() for n in names.split()])
+# The columns of a lake event, in their order. All are nullable.
+_COLUMNS = """
+    event_timestamp string,
+    event_date string,
+    event_type string,
+    dataset string,
+    cf_continent string,
+    cf_country string,
+    cf_city string,
+    cf_region string,
+    cf_latitude double,
+    cf_longitude double,
+    cf_timezone string,
+    duration double,
+    request_length long,
+    status int,
+    ip string,
+    is_stream boolean,
+    session string,
+    request string,
+    client string,
+    user_agent string,
+    model string,
+    model_tier string,
+    model_variant string,
+    source string,
+    provider string,
+    provider_model string,
+    llm_error_code int,
+    llm_error_message string,
+    error_response string,
+    error_type string,
+    error_message string,
+    error_cause string,
+    error_cause2 string,
+    api_key string,
+    workspace string,
+    user_id string,
+    is_subscription boolean,
+    subscription string,
+    response_length long,
+    time_to_first_byte long,
+    timestamp_first_byte long,
+    timestamp_last_byte long,
+    tokens_input long,
+    tokens_output long,
+    tokens_reasoning long,
+    tokens_cache_read long,
+    tokens_cache_write_5m long,
+    tokens_cache_write_1h long,
+    cost_input_microcents long,
+    cost_output_microcents long,
+    cost_cache_read_microcents long,
+    cost_cache_write_microcents long,
+    cost_total_microcents long,
+    cost_input long,
+    cost_output long,
+    cost_cache_read long,
+    cost_cache_write_5m long,
+    cost_cache_write_1h long,
+    cost_total long
+"""
+#: Beside them, the network part of the address, which the ingest service adds.
+SCHEMA = T.StructType.fromDDL(_COLUMNS.strip() + ", ip_prefix string")
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -25,11 +79,14 @@ def events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def from_fields(fields: Column) -> list[Column]:
-    """Columns of the schema from a map of texts: loosely typed, a wrong type gives null."""
+def typed_fields(rows: DataFrame, fields: str, *keep: str) -> DataFrame:
+    """``keep`` and the columns of the schema from a map of texts: loosely typed, a wrong type gives null.
+
+    The texts are taken out first, as a typed expression names its text several times.
+    """
     out = []
     for f in SCHEMA.fields:
-        raw = F.try_element_at(fields, F.lit(f.name))
+        raw = F.col(f.name)
         if isinstance(f.dataType, T.DoubleType):
             v = coerce.loose_double(raw)
         elif isinstance(f.dataType, (T.IntegerType, T.LongType)):
@@ -39,14 +96,15 @@ def from_fields(fields: Column) -> list[Column]:
         else:
             v = raw
         out.append(v.alias(f.name))
-    return out
+    raw = rows.select(*keep, *[F.try_element_at(fields, F.lit(f.name)).alias(f.name) for f in SCHEMA.fields])
+    return raw.select(*keep, *out)
 
 
 def wire_events(batches: DataFrame, column: str = "value") -> DataFrame:
     """Events from JSON bodies ``{"events": [...]}``: a row for each, with ``lake_key`` and the typed columns."""
     items = F.from_json(F.get_json_object(column, "$.events"), "array<string>")
     own = batches.select(F.explode(items).alias("e")).select(F.from_json("e", "map<string,string>").alias("m"))
-    typed = own.select(F.try_element_at("m", F.lit("_datalake_key")).alias("lake_key"), *from_fields(F.col("m")))
+    typed = typed_fields(own.select("m", F.try_element_at("m", F.lit("_datalake_key")).alias("lake_key")), "m", "lake_key")
     return typed.withColumn("ip_prefix", F.coalesce("ip_prefix", coerce.ip_prefix(F.col("ip"))))
 
 

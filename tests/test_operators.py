@@ -39,7 +39,8 @@ def test_lake_rollup(spark):
         event(), event(session="s2", user_id="", workspace="w", status="400", cf_country=None), event(model=""), event(source="web"), event(event_type="other"), event(event_timestamp="2027-01-02T00:00:00Z", event_date="2027-01-02"),
         event(timestamp_last_byte="1099", tokens_cache_read="7", tokens_reasoning="100", cost_total="3", cost_total_microcents=None), event(model="alpha-gpt-next"), event(status="199", cf_country="d", cost_total_microcents="9", cost_total="3"),
     ]
-    rows = spark.createDataFrame([(r,) for r in raw], "m map<string,string>").select(*lake.from_fields(F.col("m")))
+    rows = spark.createDataFrame([(r,) for r in raw], "m map<string,string>")
+    rows = lake.typed_fields(rows, "m")
     norm = rollup.normalized(rows, "2027-01-01T00:00:00Z", "2027-01-02T00:00:00Z", RULES)
     assert norm.count() == 4
     tps = sorted((r.output_tps is None, r.output_tps) for r in norm.collect())
