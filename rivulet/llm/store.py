@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def materialize(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete written tables from which nothing will be read again."""
+    """Delete written tables from which nothing will be read again, and what the driver holds of the work that made them.
+
+    Spark drops shuffle files and broadcasts when a collection of the driver's heap finds that nothing refers to them,
+    which a driver with room may put off for long.
+    """
     for table in tables:
         _delete(table.sparkSession, table._rivulet_path)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
