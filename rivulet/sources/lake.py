@@ -71,7 +71,8 @@ _COLUMNS = """
     cost_total long
 """
 #: Beside them, the network part of the address, which the ingest service adds.
-SCHEMA = T.StructType.fromDDL(_COLUMNS.strip() + ", ip_prefix string")
+_KINDS = {"string": T.StringType(), "double": T.DoubleType(), "long": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
+SCHEMA = T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (x.split() for x in f"{_COLUMNS}, ip_prefix string".split(","))])
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
