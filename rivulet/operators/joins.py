@@ -70,8 +70,9 @@ def retained(rows: DataFrame, ident: str, parent: str, kept: Column, recent: Col
 
 
 def update_from(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """UPDATE ... FROM: columns of matching rows take the source's values."""
-    own = source.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__new_{c}") for c in columns], F.lit(True).alias("__hit"))
+    """UPDATE ... FROM: columns of matching rows take the source's values; of source rows of one key the least counts, so no target row is multiplied."""
+    one = source.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("__new"))
+    own = one.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(f"__new.{c}").alias(f"__new_{c}") for c in columns], F.lit(True).alias("__hit"))
     on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in keys])
     joined = target.join(own, on, "left")
     return joined.select(*[F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns])

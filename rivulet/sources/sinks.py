@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,13 @@ def append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("event_dat
     df.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def append_once(df: DataFrame, path: str, batch: str, partition_by: tuple[str, ...] = ("event_date",)) -> None:
+    """Append under the name of a batch (the partition column ``write_batch``): the same batch written again replaces itself."""
+    own = df.withColumn("write_batch", F.lit(batch)).hint("rebalance", *partition_by)
+    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by, "write_batch").parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
@@ -28,10 +35,10 @@ def upsert(df: DataFrame, path: str, keys: list[str], periods: tuple[str, ...] =
     """
     spark = df.sparkSession
     new = latest(df.withColumn("__at", F.lit(1)), keys, ["__at"])
-    if _exists(spark, path):
+    if exists(spark, path):
         old = spark.read.schema(df.schema).parquet(path).join(df.select(*periods).distinct(), list(periods), "left_semi").withColumn("__at", F.lit(0))
         new = latest(old.unionByName(new), keys, ["__at"])
-    staged = f"{path.rstrip('/')}__staged"
+    staged = f"{path.rstrip('/')}__staged-{uuid.uuid4().hex}"
     columns = [c for c in df.columns if c not in periods] + list(periods)
     new.select(*columns).write.mode("overwrite").parquet(staged)
     spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*periods).parquet(path)

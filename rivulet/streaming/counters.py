@@ -1,9 +1,14 @@
-"""Windowed counters and alerts. Each function works on a batch and on a stream alike."""
+"""Windowed counters and alerts, on a batch and on a stream alike; :func:`day_over_day` and :func:`on_change` are for batches, :func:`changes` for a stream."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import numbers
 
@@ -43,6 +48,32 @@ def on_change(states: DataFrame, keys: list[str], order: str, state: str = "trig
     return states.withColumn("__before", F.coalesce(before, F.lit(False))).filter(F.col(state) != F.col("__before")).drop("__before")
 
 
+class Changes(StatefulProcessor):
+    """State of a key: whether it was triggered at its last window."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.before = handle.getValueState("before", "triggered boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        before = self.before.get()[0] if self.before.exists() else False
+        own = pd.concat(list(rows)).sort_values("at")
+        last = [before, *own["triggered"].tolist()]
+        self.before.update((last[-1],))
+        yield own[[a != b for a, b in zip(last, last[1:])]][["key", "at", "triggered"]]
+
+    def close(self) -> None:
+        pass
+
+
+def changes(states: DataFrame, key: Column, at: str, state: str = "triggered") -> DataFrame:
+    """(key, at, triggered) of a stream at which a key's state differs from the one before, as :func:`on_change` of a batch.
+
+    Windows must come in order, as those of a watermark in append mode do. Needs the RocksDB state store.
+    """
+    own = states.select(key.cast("string").alias("key"), F.col(at).cast("timestamp").alias("at"), F.coalesce(state, F.lit(False)).alias("triggered"))
+    return own.groupBy("key").transformWithStateInPandas(Changes(), "key string, at timestamp, triggered boolean", "Append", "None")
+
+
 def qualified(rows: DataFrame, goal: float) -> DataFrame:
     """Requests that say something about speed (more than ten tokens, some time between first and last byte), classified by a goal in tokens a second."""
     span = F.col("timestamp_last_byte") - F.col("timestamp_first_byte")

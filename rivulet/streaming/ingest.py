@@ -1,7 +1,8 @@
-"""Streaming jobs: append to the lake, keep rollups fresh, project an event log."""
+"""Streaming jobs: append to the lake, keep rollups fresh, coalesce writes. The event log's are in :mod:`log`."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
@@ -13,13 +14,18 @@ from ..sources import lake, sinks
 
 
 def append_lake(stream: DataFrame, path: str, errors: str, checkpoint: str, routes: list[str], every: str | None = "60 seconds") -> StreamingQuery:
-    """Wire events to the lake, once a minute; what has no route goes to a folder of errors. ``every`` None: all there is, then stop."""
+    """Wire events to the lake, once a minute; what has no route goes to a folder of errors. ``every`` None: all there is, then stop.
+
+    Files carry the checkpoint's and the batch's name, so a batch that is tried again replaces what it wrote.
+    """
+    query = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
         rows = lake.wire_events(batch).persist()
         good, bad = lake.quarantined(rows, routes)
-        sinks.append(good.drop("lake_key"), path, ("database", "table", "event_date"))
-        bad.write.mode("append").json(errors)
+        name = f"{query}-{number}"
+        sinks.append_once(good.drop("lake_key"), path, name, ("database", "table", "event_date"))
+        bad.write.mode("overwrite").json(f"{errors}/write_batch={name}")
         rows.unpersist()
 
     out = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
@@ -49,6 +55,19 @@ def is_full(now: datetime, last: datetime | None) -> bool:
     return last is None or last.astimezone(timezone.utc).date() < now.astimezone(timezone.utc).date()
 
 
+def refresh(path: str, now: datetime, last: datetime | None, data_start: datetime, compute: Callable[[datetime, datetime], DataFrame], keys: list[str]) -> tuple[datetime, datetime]:
+    """One pass of the hourly job: rollups of a period computed again and put in place of those that are there.
+
+    The first pass of a UTC day goes back as far as :func:`full_start`, the others to the open week; both end some minutes
+    ago. ``compute`` gives the rows (grain, period_key, the other keys, values) of whole periods from start to end. Late
+    events are so counted by doing their periods again, and a pass that is run twice changes nothing. Gives the bounds;
+    ``now`` is the next pass's ``last``.
+    """
+    start, end = full_start(now, data_start) if is_full(now, last) else max(data_start, incremental_start(now)), lag_floor(now)
+    sinks.upsert(compute(start, end), path, keys)
+    return start, end
+
+
 def coalesced(stream: DataFrame, keys: list[str], order: str, write: Callable[[DataFrame], None], checkpoint: str, every: str | None = "1 second") -> StreamingQuery:
     """Micro-batches reduced to the last row of each key."""
     from ..operators.analytics import latest
