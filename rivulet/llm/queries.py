@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, chat, decontam, langid, matroska, sharding, simhash, sql, suffixes, toxicity, warc
+from . import ann, bpe, chat, codes, decontam, langid, matroska, negatives, sharding, simhash, sql, suffixes, toxicity, warc
 from .batches import bound_batches
 from .store import materialize
 
@@ -83,11 +83,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (langid.fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "lang_pred")
 
 
+def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.select("vec_id", shifted.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op13_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_spaced_seeds, op3_preference, op4_simhash, op5_byte_bpe, op6_language_id, op7_suffix_array, op8_warc, op9_matroska, op10_toxicity)
+    own = (op1_sharding, op2_spaced_seeds, op3_preference, op4_simhash, op5_byte_bpe, op6_language_id, op7_suffix_array, op8_warc, op9_matroska, op10_toxicity, op11_exponion, op12_hard_negatives, op13_cross_polytope)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {"op1_sharding": sql.SHARDING, "op3_preference": sql.PREFERENCE, "op7_suffix_array": sql.REPEATS, "op8_warc": sql.ARCHIVES}
+    own = {"op1_sharding": sql.SHARDING, "op3_preference": sql.PREFERENCE, "op7_suffix_array": sql.REPEATS, "op8_warc": sql.ARCHIVES, "op11_exponion": sql.vector_codes(), "op12_hard_negatives": sql.NEGATIVES}
     return {name: text.strip() for name, text in own.items()}

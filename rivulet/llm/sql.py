@@ -1,6 +1,6 @@
-"""DuckDB SQL of the queries that SQL can express: sharding, preference formatting, repeated passages, web archives.
+"""DuckDB SQL of the queries that SQL can express: sharding, preference formatting, repeated passages, web archives, vector codes, hard negatives.
 
-The others need XXH64, a tokenizer, Matroska files or trained models; tests hold those against brute force.
+The others need XXH64, a tokenizer, Matroska files, trained models or an approximate search; tests hold those against brute force.
 """
 
 SHARDING = """
@@ -51,3 +51,61 @@ u AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1) AS host,
 h AS (SELECT page_id, array_to_string(list_reverse(string_split(regexp_replace(lower(host), '^www[.]', ''), '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS urlkey FROM u)
 SELECT page_id, urlkey, row_number() OVER (PARTITION BY urlkey ORDER BY page_id) - 1 AS capture_no, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN page_id < keep THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < keep THEN keep END AS refers_to FROM k JOIN h USING (page_id)
 """
+
+#: Op 12: integer scores of all pairs with an anchor.
+NEGATIVES = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.q, r.q)::BIGINT AS score
+  FROM rows a JOIN rows r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
+def vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Op 11: the assignments and codebooks of each round, one after another."""
+    steps = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS q, len(embedding) // {parts} AS width
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS MATERIALIZED (
+  SELECT vec_id, label, p, list_slice(q, p * width + 1, (p + 1) * width) AS v FROM kept, range({parts}) AS r(p)
+), books0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v AS c FROM cut
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {entries}
+)"""
+    for r in range(rounds + 1):
+        steps += f""", near{r} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(label) AS label, any_value(v) AS v,
+         min((list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c))::BIGINT * {entries} + e) AS best
+  FROM cut JOIN books{r} USING (p) GROUP BY vec_id, p
+)"""
+        if r < rounds:
+            steps += f""", means{r} AS (
+  SELECT p, e, list(m ORDER BY i) AS c FROM (
+    SELECT p, best % {entries} AS e, i, floor(sum(v[i]) / count(*)) AS m FROM near{r}, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i) GROUP BY ALL
+  ) GROUP BY p, e
+), books{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM books{r} b LEFT JOIN means{r} m ON m.p = b.p AND m.e = b.e
+)"""
+    return f"""{steps}, coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(lower(lpad(to_hex(best % {entries}), 2, '0')), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error
+  FROM near{rounds} GROUP BY vec_id
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM books{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, digest
+"""
