@@ -1,7 +1,7 @@
 """Dependency graphs as two tables: nodes (id, kind, file, ...) and edges (from, to, kind).
 
 Traversals are rounds of joins from a frontier; each round keeps new nodes only, so its cost is that of the edges that
-leave the frontier. Rounds are cut by reliable checkpoints where the session names a folder for them.
+leave the frontier. Each round is a written table. Cycles and orders of whole graphs are in :mod:`cycles`.
 """
 
 from __future__ import annotations

@@ -130,28 +130,92 @@ def measures(exact: bool = False) -> list[Column]:
     ]
 
 
-def grouped(rows: DataFrame, dataset: str, exact: bool = False) -> DataFrame:
-    """Both grains and four dimensions in one scan: week or day, by tier and (provider, model), provider, country, or all of them."""
+#: Size of the percentile sketches: a rank error of some 0.4 %, whatever the number of requests.
+SKETCH = 800
+SKETCHED = ("duration_ms", "ttfb_ms")
+_KEYS = ("week_key", "day_key", "tier", "provider", "model", "country")
+_SETS = tuple((grain, *dims) for grain in ("week_key", "day_key") for dims in (("tier", "provider", "model"), ("tier", "provider"), ("tier", "country"), ("tier", "provider", "model", "country")))
+
+
+def _periods(rows: DataFrame) -> DataFrame:
+    return rows.select(dates.iso_week_id(F.col("event_time")).alias("week_key"), dates.day_key(F.col("event_time")).alias("day_key"), "*")
+
+
+def _by_sets(rows: DataFrame, *measures: Column) -> DataFrame:
+    """The measures of both grains and four dimensions: week or day, by tier and (provider, model), provider, country, or all of them."""
     c = F.col
-    periods = rows.select(dates.iso_week_id(c("event_time")).alias("week_key"), dates.day_key(c("event_time")).alias("day_key"), "*")
-    keys = [c(k) for k in ("week_key", "day_key", "tier", "provider", "model", "country")]
-    sets = [[c(grain), *map(c, dims)] for grain in ("week_key", "day_key") for dims in (("tier", "provider", "model"), ("tier", "provider"), ("tier", "country"), ("tier", "provider", "model", "country"))]
     on = lambda k: F.grouping(k) == 0
-    some = lambda k: F.coalesce(F.max(F.nullif(c(k), F.lit(""))), F.lit(""))
-    out = periods.groupingSets(sets, *keys).agg(
+    out = rows.groupingSets([[c(k) for k in s] for s in _SETS], *map(c, _KEYS)).agg(
         F.when(on("week_key"), "week").otherwise("day").alias("grain"),
         F.coalesce("week_key", "day_key").alias("period_key"),
         F.when(on("country") & on("model"), "geo_model").when(on("country"), "geo").when(on("model"), "model").otherwise("provider").alias("dimension"),
         F.when(on("provider"), c("provider")).otherwise("all").alias("provider_label"),
         F.when(on("model"), c("model")).when(on("country"), "all").alias("model_label"),
-        F.when(on("model") & ~on("country"), some("provider_model")).alias("provider_model_label"),
         F.when(on("country"), c("country")).alias("country_label"),
-        F.when(on("country"), some("continent")).alias("continent"),
-        *measures(exact),
+        *measures,
     )
-    labels = {"provider_label": "provider", "model_label": "model", "country_label": "country", "provider_model_label": "provider_model"}
-    out = out.drop("week_key", "day_key", "provider", "model", "country").withColumnsRenamed(labels)
-    return out.withColumn("dataset", F.lit(dataset))
+    return out.drop("week_key", "day_key", "provider", "model", "country").withColumnsRenamed({f"{k}_label": k for k in ("provider", "model", "country")})
+
+
+def _labels() -> list[Column]:
+    """The provider's name for a model, and the continent of a country: the last in order of those that occur."""
+    some = lambda k: F.coalesce(F.max(F.nullif(F.col(k), F.lit(""))), F.lit(""))
+    on = lambda k: F.grouping(k) == 0
+    return [F.when(on("model") & ~on("country"), some("provider_model")).alias("provider_model"), F.when(on("country"), some("continent")).alias("continent")]
+
+
+#: What identifies a row of the eight sets.
+SET_KEYS = ("grain", "period_key", "dimension", "tier", "provider", "model", "country")
+
+
+def grouped(rows: DataFrame, dataset: str, exact: bool = False) -> DataFrame:
+    """Both grains and four dimensions, with all measures.
+
+    Sums, counts and percentile sketches are made once, in the finest group, and merged up the sets. Distinct sessions and
+    users are counted over the distinct pairs of finest group and session (or user), so a request is not sent once a set.
+    ``exact`` takes exact percentiles instead, in one pass over the requests.
+    """
+    if exact:
+        return _by_sets(_periods(rows), *_labels(), *measures(True)).withColumn("dataset", F.lit(dataset))
+    periods, count = _periods(rows), F.count(F.lit(1))
+    whole = {f"tokens_{k}": f"{k}_tokens" for k in ("input", "output", "reasoning", "cache_read", "total")} | {f"cost_{k}_microcents": f"{k}_cost_microcents" for k in ("input", "output", "total")}
+    means = (*SKETCHED, "output_tps")
+    base = periods.groupBy(*_KEYS).agg(
+        count.alias("n"), F.count_if((F.col("status") >= 200) & (F.col("status") < 400)).alias("good"), F.count_if(F.col("status") >= 400).alias("bad"),
+        *[F.max(F.nullif(F.col(k), F.lit(""))).alias(k) for k in ("provider_model", "continent")],
+        *[F.sum(k).alias(k) for k in whole],
+        *[x for k in means for x in (F.sum(k).alias(f"sum_{k}"), F.count(k).alias(f"n_{k}"))],
+        *[F.expr(f"kll_sketch_agg_double(cast({k} as double), {SKETCH})").alias(f"kll_{k}") for k in SKETCHED],
+    )
+    total = lambda k, name: F.coalesce(F.sum(k), F.lit(0)).alias(name)
+    own = _by_sets(
+        base, *_labels(), total("n", "requests"), *[total(k, name) for k, name in whole.items()],
+        *[F.try_divide(F.sum(f"sum_{k}"), F.sum(f"n_{k}")).alias(f"avg_{k}") for k in means],
+        total("good", "success_count"), total("bad", "error_count"), total("n", "sample_count"),
+        *[F.expr(f"kll_merge_agg_double(kll_{k}, {SKETCH})").alias(f"kll_{k}") for k in SKETCHED],
+    )
+    for k in SKETCHED:
+        some = F.expr(f"kll_sketch_get_n_double(kll_{k})") > 0
+        own = own.withColumns({f"p{q}_{k}": F.when(some, F.expr(f"kll_sketch_get_quantile_double(kll_{k}, {q / 100}d)")) for q in (50, 95)}).drop(f"kll_{k}")
+    parts = [own]
+    for k, name in (("session", "sessions"), ("user_key", "unique_users")):
+        parts.append(_by_sets(periods.select(*_KEYS, k).distinct(), F.count_distinct(k).alias(name)))
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rest = [c for c in both.columns if c not in SET_KEYS]
+    return both.groupBy(*SET_KEYS).agg(*[F.max(c).alias(c) for c in rest]).withColumn("dataset", F.lit(dataset))
+
+
+def percentile_ranks(rows: DataFrame, estimates: DataFrame, error: float = 0.01) -> DataFrame:
+    """For each row of ``estimates`` (:data:`SET_KEYS` and percentiles) whether each percentile's rank among its requests is within ``error``."""
+    tags = [F.when(F.col(name).isNotNull(), (F.count_if(F.col(k) < F.col(name)) / F.count(k) - error <= q / 100) & (F.count_if(F.col(k) <= F.col(name)) / F.count(k) + error >= q / 100)).alias(f"{name}_ok") for k in SKETCHED for q in (50, 95) for name in (f"p{q}_{k}",)]
+    label = lambda k, s: F.col(k) if k in s else F.lit("all" if k == "provider" or (k == "model" and "country" in s) else None).cast("string")
+    dimension = lambda s: "geo_model" if {"country", "model"} <= set(s) else "geo" if "country" in s else "model" if "model" in s else "provider"
+    place = lambda s: F.struct(F.lit(s[0][:-4]).alias("grain"), F.col(s[0]).alias("period_key"), F.lit(dimension(s)).alias("dimension"), F.col("tier"), *[label(k, s).alias(k) for k in ("provider", "model", "country")])
+    spread = _periods(rows).select(F.explode(F.array(*[place(s) for s in _SETS])).alias("at"), *SKETCHED).select(*[F.col(f"at.{k}").alias(f"__{k}") for k in SET_KEYS], *SKETCHED)
+    own = estimates.select(*SET_KEYS, *[f"p{q}_{k}" for k in SKETCHED for q in (50, 95)])
+    met = spread.join(own, reduce(lambda a, b: a & b, [F.col(f"__{k}").eqNullSafe(F.col(k)) for k in SET_KEYS]))
+    names = [f"p{q}_{k}" for k in SKETCHED for q in (50, 95)]
+    return met.groupBy(*SET_KEYS, *names).agg(*tags).drop(*names)
 
 
 def merged(rows: DataFrame, keys: list[str], added: tuple[str, ...] = ADDED, averaged: tuple[str, ...] = AVERAGED, percentiles: tuple[str, ...] = PERCENTILES, weight: str = "requests") -> DataFrame:

@@ -44,22 +44,40 @@ _HALF = lambda e, n: f"floor({e} * {10**n} + 0.5) / {10**n}"
 
 
 def stats_rollup(spark, sf_dir):
-    return rounded(rollup.grouped(requests(spark, sf_dir), "all", exact=True), *_AVERAGES, places=8)
+    """All eight sets; percentiles, which are sketches, are checked by their ranks in rollup_percentile_ranks."""
+    return rounded(rollup.grouped(requests(spark, sf_dir), "all").drop(*rollup.PERCENTILES), *rollup.AVERAGED, places=8)
 
 
+def rollup_exact_percentiles(spark, sf_dir):
+    out = rollup.grouped(requests(spark, sf_dir), "all", exact=True).select(*rollup.SET_KEYS, *rollup.PERCENTILES)
+    return rounded(out, *rollup.PERCENTILES, places=8)
+
+
+def rollup_percentile_ranks(spark, sf_dir):
+    """Whether each sketched percentile's rank is within 1 % of what was asked for, in every group of the eight sets."""
+    rows = requests(spark, sf_dir)
+    return rollup.percentile_ranks(rows, rollup.grouped(rows, "all"))
+
+
+SET_KEYS = """
+CASE WHEN grouping(week_key) = 0 THEN 'week' ELSE 'day' END AS grain, coalesce(week_key, day_key) AS period_key,
+ CASE WHEN grouping(country) = 0 AND grouping(model) = 0 THEN 'geo_model' WHEN grouping(country) = 0 THEN 'geo' WHEN grouping(model) = 0 THEN 'model' ELSE 'provider' END AS dimension,
+ tier, CASE WHEN grouping(provider) = 0 THEN provider ELSE 'all' END AS provider, CASE WHEN grouping(model) = 0 THEN model WHEN grouping(country) = 0 THEN 'all' END AS model, CASE WHEN grouping(country) = 0 THEN country END AS country
+""".strip()
+BY_SETS = "GROUP BY GROUPING SETS ((week_key, tier, provider, model), (week_key, tier, provider), (week_key, tier, country), (week_key, tier, provider, model, country), (day_key, tier, provider, model), (day_key, tier, provider), (day_key, tier, country), (day_key, tier, provider, model, country))"
 STATS_ROLLUP = f"""
 WITH {_REQUESTS}
-SELECT CASE WHEN grouping(week_key) = 0 THEN 'week' ELSE 'day' END AS grain, coalesce(week_key, day_key) AS period_key, 'all' AS dataset,
- CASE WHEN grouping(country) = 0 AND grouping(model) = 0 THEN 'geo_model' WHEN grouping(country) = 0 THEN 'geo' WHEN grouping(model) = 0 THEN 'model' ELSE 'provider' END AS dimension,
- tier, CASE WHEN grouping(provider) = 0 THEN provider ELSE 'all' END AS provider, CASE WHEN grouping(model) = 0 THEN model WHEN grouping(country) = 0 THEN 'all' END AS model,
- CASE WHEN grouping(model) = 0 AND grouping(country) = 1 THEN coalesce(max(nullif(provider_model, '')), '') END AS provider_model, CASE WHEN grouping(country) = 0 THEN country END AS country, CASE WHEN grouping(country) = 0 THEN '' END AS continent,
+SELECT {SET_KEYS}, 'all' AS dataset,
+ CASE WHEN grouping(model) = 0 AND grouping(country) = 1 THEN coalesce(max(nullif(provider_model, '')), '') END AS provider_model, CASE WHEN grouping(country) = 0 THEN '' END AS continent,
  count(DISTINCT session) AS sessions, count(*) AS requests, count(DISTINCT user_key) AS unique_users,
  CAST(sum(k) AS BIGINT) AS input_tokens, CAST(sum(k * 2) AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS reasoning_tokens, CAST(0 AS BIGINT) AS cache_read_tokens, CAST(sum(k * 3) AS BIGINT) AS total_tokens,
  CAST(sum(cents) AS BIGINT) AS input_cost_microcents, CAST(sum(cents) AS BIGINT) AS output_cost_microcents, CAST(sum(cents * 2) AS BIGINT) AS total_cost_microcents,
- {', '.join(f'{_HALF(e, 8)} AS {n}' for n, e in _AVERAGES.items())},
+ {', '.join(f'{_HALF(_AVERAGES[n], 8)} AS {n}' for n in rollup.AVERAGED)},
  count(*) FILTER (status >= 200 AND status < 400) AS success_count, count(*) FILTER (status >= 400) AS error_count, count(*) AS sample_count
-FROM r GROUP BY GROUPING SETS ((week_key, tier, provider, model), (week_key, tier, provider), (week_key, tier, country), (week_key, tier, provider, model, country), (day_key, tier, provider, model), (day_key, tier, provider), (day_key, tier, country), (day_key, tier, provider, model, country))
+FROM r {BY_SETS}
 """
+EXACT_PERCENTILES = f"WITH {_REQUESTS} SELECT {SET_KEYS}, {', '.join(f'{_HALF(_AVERAGES[n], 8)} AS {n}' for n in rollup.PERCENTILES)} FROM r {BY_SETS}"
+RANKS = f"WITH {_REQUESTS} SELECT {SET_KEYS}, {', '.join(f'true AS {n}_ok' for n in rollup.PERCENTILES)} FROM r {BY_SETS}"
 
 
 def all_tier_synthesis(spark, sf_dir):
@@ -285,7 +303,7 @@ USAGE_DELTA = f"WITH {_LOG}, m AS (SELECT aggregate_id AS session_id, type, arg_
 
 
 QUERIES = {
-    "stats_rollup": (stats_rollup, STATS_ROLLUP), "all_tier_synthesis": (all_tier_synthesis, ALL_TIER), "conditional_counts_daily": (conditional_counts_daily, CONDITIONAL), "usage_daily_total": (usage_daily_total, USAGE_TOTAL),
+    "stats_rollup": (stats_rollup, STATS_ROLLUP), "rollup_exact_percentiles": (rollup_exact_percentiles, EXACT_PERCENTILES), "rollup_percentile_ranks": (rollup_percentile_ranks, RANKS), "all_tier_synthesis": (all_tier_synthesis, ALL_TIER), "conditional_counts_daily": (conditional_counts_daily, CONDITIONAL), "usage_daily_total": (usage_daily_total, USAGE_TOTAL),
     "exact_percentiles_by_type": (exact_percentiles_by_type, PERCENTILES), "approx_percentiles_by_type": (approx_percentiles_by_type, None), "distinct_users_week": (distinct_users_week, USERS_WEEK), "json_path_groups": (json_path_groups, JSON_GROUPS),
     "latest_per_key": (latest_per_key, LATEST), "lag_delta": (lag_delta, LAG), "running_sum": (running_sum, RUNNING), "running_sum_exclusive": (running_sum_exclusive, RUNNING_EXCLUSIVE), "budget_priorities": (budget_priorities, BUDGETS),
     "tumbling_minute_counts": (tumbling_minute_counts, TUMBLING), "sliding_two_minute": (sliding_two_minute, SLIDING), "alert_ratio_gated": (alert_ratio_gated, RATIO_GATED), "alert_on_change": (alert_on_change, ON_CHANGE), "alert_day_over_day": (alert_day_over_day, DAY_OVER_DAY),

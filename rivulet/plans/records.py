@@ -10,6 +10,7 @@ from ..session import scratch
 from ..sources import database, files, lake, sinks
 from ..sources.files import table
 from ..streaming import counters
+from .events import BY_SETS, SET_KEYS
 
 _CENT = "CAST(floor(value * 100 + 0.5) AS BIGINT)"
 RULES = rollup.Rules(retired_models=("big-pickle",), retired_providers=("retired",))
@@ -77,6 +78,29 @@ SELECT *, CAST(row_number() OVER (PARTITION BY period_key, tier ORDER BY total_t
 """
 
 
+def lake_stats_rollup(spark, sf_dir):
+    """Wire events to the eight-set rollup: route, append to the lake by date, normalise by rules, all grains and dimensions."""
+    path = scratch(spark, "lake")
+    sinks.append(lake.routed(lake.wire_events(wire(spark, sf_dir)), ["inference.event"]).drop("lake_key", "database", "table"), path)
+    own = rollup.normalized(lake.events(spark, path), "2024-01-03T00:00:00.000Z", "2024-01-20T12:00:00.000Z", RULES, source=None)
+    out = rollup.grouped(own, "all").drop(*rollup.PERCENTILES)
+    return out.withColumns({k: numbers.half_up(F.col(k), 6) for k in rollup.AVERAGED})
+
+
+LAKE_STATS = f"""
+{LAKE[: LAKE.index("d AS (SELECT day")].rstrip().rstrip(",")},
+q AS (SELECT *, upper(coalesce(nullif({_pick_sql('user_id', "us", "", "DE")}, ''), 'ZZ')) AS country, strftime(ts, '%G-W%V') AS week_key, day AS day_key, CASE WHEN event_id % 300 >= 100 THEN (event_id % 90) / (event_id % 300) * 1000 END AS tps FROM n)
+SELECT {SET_KEYS}, 'all' AS dataset,
+ CASE WHEN grouping(model) = 0 AND grouping(country) = 1 THEN coalesce(max(nullif(pm, '')), '') END AS provider_model, CASE WHEN grouping(country) = 0 THEN '' END AS continent,
+ count(DISTINCT event_id % 97) AS sessions, count(*) AS requests, count(DISTINCT user_id) AS unique_users,
+ CAST(sum(event_id % 50) AS BIGINT) AS input_tokens, CAST(sum(event_id % 90) AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS reasoning_tokens, CAST(0 AS BIGINT) AS cache_read_tokens, CAST(sum(event_id % 50 + event_id % 90) AS BIGINT) AS total_tokens,
+ CAST(0 AS BIGINT) AS input_cost_microcents, CAST(0 AS BIGINT) AS output_cost_microcents, CAST(sum({_CENT} * 1000000) AS BIGINT) AS total_cost_microcents,
+ floor(avg(value) * 1000000 + 0.5) / 1000000 AS avg_duration_ms, floor(avg(floor(value * 10)) * 1000000 + 0.5) / 1000000 AS avg_ttfb_ms, floor(avg(tps) * 1000000 + 0.5) / 1000000 AS avg_output_tps,
+ count(*) FILTER (event_type <> 'error') AS success_count, count(*) FILTER (event_type = 'error') AS error_count, count(*) AS sample_count
+FROM q {BY_SETS}
+"""
+
+
 def upsert_periods(spark, sf_dir):
     """Daily counts written, then the errors' days again with other values: touched periods are rewritten, keys replaced, others kept."""
     rows = table(spark, sf_dir, "events").groupBy(F.lit("day").alias("grain"), dates.day_key(F.col("ts")).alias("period_key"), "event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -511,7 +535,7 @@ UNION ALL SELECT CAST(t AS VARCHAR), 'dangling' FROM e WHERE t NOT IN (SELECT p_
 
 
 QUERIES = {
-    "lake_rollup": (lake_rollup, LAKE), "upsert_periods": (upsert_periods, UPSERT), "insert_ignored_and_added": (insert_ignored_and_added, IGNORED), "retired_dimensions": (retired_dimensions, RETIRED),
+    "lake_rollup": (lake_rollup, LAKE), "lake_stats_rollup": (lake_stats_rollup, LAKE_STATS), "upsert_periods": (upsert_periods, UPSERT), "insert_ignored_and_added": (insert_ignored_and_added, IGNORED), "retired_dimensions": (retired_dimensions, RETIRED),
     "csv_written_and_read": (csv_written_and_read, CSV), "json_written_masked_and_read": (json_written_masked_and_read, JSON), "malformed_lines_and_objects": (malformed_lines_and_objects, LINES), "markdown_rows": (markdown_rows, MARKDOWN),
     "database_statements": (database_statements, DATABASE), "json_set_and_removed": (json_set_and_removed, JSON_SET), "like_user_text": (like_user_text, LIKE), "not_equal_or_null": (not_equal_or_null, NOT_EQUAL), "cube_counts": (cube_counts, CUBE),
     "joined_to_a_constant": (joined_to_a_constant, CONSTANT), "nested_totals": (nested_totals, NESTED), "session_model_usage": (session_model_usage, MODEL_USAGE), "session_tools": (session_tools, TOOLS), "context_and_pending": (context_and_pending, CONTEXT),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import coerce, dates, numbers, text
 from ..functions.userlib import LIBRARY as L
-from ..operators import analytics, graph, joins, paging, rollup, search
+from ..operators import analytics, cycles, graph, joins, paging, rollup, search
 from ..operators import usage as usage_ops
 from ..sources.files import script_json, table
 
@@ -320,14 +322,15 @@ NEWEST = "WITH t AS (SELECT conv_id, turn, text, CAST(floor(length(text) / 4 + 0
 
 
 def _graph(spark, sf_dir):
-    """Suppliers and parts as nodes; a part needs its supplier, a supplier the part of its number: a graph with cycles."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy("l_partkey").agg(F.min("l_suppkey").alias("s"))
-    parts = lines.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("from"), F.concat(F.lit("s"), F.col("s").cast("string")).alias("to"), F.lit("import").alias("kind"))
-    back = lines.select(F.col("s").alias("k")).distinct().select(F.concat(F.lit("s"), F.col("k").cast("string")).alias("from"), F.concat(F.lit("p"), (F.col("k") * 7 % 100).cast("string")).alias("to"), F.lit("call").alias("kind"))
+    """Suppliers and parts as nodes; a part needs its suppliers, a supplier the part of its number: a graph with cycles."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    name = lambda kind, key: F.concat(F.lit(kind), key.cast("string"))
+    parts = lines.select(name("p", F.col("l_partkey")).alias("from"), name("s", F.col("l_suppkey")).alias("to"), F.lit("import").alias("kind"))
+    back = lines.select(F.col("l_suppkey").alias("k")).distinct().select(name("s", F.col("k")).alias("from"), name("p", F.col("k") * 7 % 100).alias("to"), F.lit("call").alias("kind"))
     return parts.unionByName(back)
 
 
-_GRAPH = "l AS (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), e AS (SELECT 'p' || l_partkey AS a, 's' || s AS b FROM l UNION SELECT 's' || s, 'p' || (s * 7 % 100) FROM l)"
+_GRAPH = "l AS (SELECT DISTINCT l_partkey, l_suppkey AS s FROM lineitem), e AS MATERIALIZED (SELECT 'p' || l_partkey AS a, 's' || s AS b FROM l UNION SELECT 's' || s, 'p' || (s * 7 % 100) FROM l)"
 
 
 def fan_in_out(spark, sf_dir):
@@ -357,10 +360,59 @@ SHORTEST = f"WITH RECURSIVE {_GRAPH}, w(origin, node, path) AS (SELECT o, o, [o]
 
 
 def cycle_nodes(spark, sf_dir):
-    return graph.on_cycles(graph.adjacency(_graph(spark, sf_dir)), 8)
+    adj = graph.adjacency(_graph(spark, sf_dir))
+    return graph.on_cycles(cycles.inside(adj, cycles.components(adj)), 8)
+
+
+CYCLES = f"WITH RECURSIVE {_GRAPH}, i AS (SELECT a, b FROM e WHERE a IN (SELECT b FROM e)), w(origin, node, depth) AS (SELECT a, b, 1 FROM i UNION SELECT origin, i.b, depth + 1 FROM w JOIN i ON i.a = node WHERE depth < 8) SELECT origin AS node, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE origin = node GROUP BY 1"
+
+
+def strong_components(spark, sf_dir):
+    return cycles.components(graph.adjacency(_graph(spark, sf_dir)))
+
+
+COMPONENTS = f"WITH RECURSIVE {_GRAPH}, i AS (SELECT a, b FROM e WHERE a IN (SELECT b FROM e)), r(a, b) AS (SELECT a, b FROM i UNION SELECT r.a, i.b FROM r JOIN i ON i.a = r.b), c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c"
+
+
+def _nation_graph(spark, sf_dir):
+    """In each nation, from each part's number modulo 40 to that of each of its suppliers there."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    own = lines.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    node = lambda key: F.concat_ws(":", F.col("s_nationkey").cast("string"), F.lpad((F.col(key) % 40).cast("string"), 2, "0"))
+    return own.select(node("l_partkey").alias("src"), node("l_suppkey").alias("dst"))
 
 
-CYCLES = f"WITH RECURSIVE {_GRAPH}, w(origin, node, depth) AS (SELECT a, b, 1 FROM e UNION SELECT origin, b, depth + 1 FROM w JOIN e ON a = node WHERE depth < 8) SELECT origin AS node, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE origin = node GROUP BY 1"
+def component_cycles(spark, sf_dir):
+    edges = _nation_graph(spark, sf_dir)
+    found = cycles.component_cycles(edges, cycles.components(edges))
+    return found.select("component", "length", F.array_join("cycle", ">").alias("cycle"))
+
+
+COMPONENT_CYCLES = """
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT s_nationkey || ':' || lpad(CAST(l_partkey % 40 AS VARCHAR), 2, '0') AS a, s_nationkey || ':' || lpad(CAST(l_suppkey % 40 AS VARCHAR), 2, '0') AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+i AS (SELECT a, b FROM e WHERE a IN (SELECT b FROM e)), r(a, b) AS (SELECT a, b FROM i UNION SELECT r.a, i.b FROM r JOIN i ON i.a = r.b),
+c AS MATERIALIZED (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1),
+w(component, node, path) AS (SELECT DISTINCT component, component, [component] FROM c UNION ALL SELECT w.component, i.b, list_append(path, i.b) FROM w JOIN i ON i.a = w.node JOIN c ON c.node = i.b AND c.component = w.component WHERE (len(path) = 1 OR w.node <> w.component) AND (i.b = w.component OR NOT list_contains(path, i.b)))
+SELECT component, CAST(len(path) - 1 AS INTEGER) AS length, array_to_string(path, '>') AS cycle FROM w WHERE len(path) > 1 AND node = component QUALIFY row_number() OVER (PARTITION BY component ORDER BY len(path), list_reverse(path)) = 1
+"""
+
+
+def build_order(spark, sf_dir):
+    """Orders wait for their parts, parts for their suppliers, those for nations, those for regions; ties by what they are called, then by kind."""
+    node = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    names = (("region", "r", "r_regionkey", "r_name"), ("nation", "n", "n_nationkey", "n_name"), ("supplier", "s", "s_suppkey", "s_name"), ("part", "p", "p_partkey", "p_name"), ("orders", "o", "o_orderkey", "o_orderpriority"))
+    needs = (("nation", "n", "n_nationkey", "r", "n_regionkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("lineitem", "p", "l_partkey", "s", "l_suppkey"), ("lineitem", "o", "l_orderkey", "p", "l_partkey"))
+    tasks = [table(spark, sf_dir, t).select(node(k, c).alias("node"), F.col(n).alias("file"), F.lit(t).alias("action")) for t, k, c, n in names]
+    waits = [table(spark, sf_dir, t).select(node(k, c).alias("node"), node(o, d).alias("needs")) for t, k, c, o, d in needs]
+    return cycles.topological_order(reduce(DataFrame.unionByName, tasks), reduce(DataFrame.unionByName, waits), ["file", "action"])
+
+
+BUILD_ORDER = """
+WITH RECURSIVE t AS (SELECT 'r' || r_regionkey AS node, r_name AS file, 'region' AS action FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'nation' FROM nation UNION ALL SELECT 's' || s_suppkey, s_name, 'supplier' FROM supplier UNION ALL SELECT 'p' || p_partkey, p_name, 'part' FROM part UNION ALL SELECT 'o' || o_orderkey, o_orderpriority, 'orders' FROM orders),
+e AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem) WHERE a IN (SELECT node FROM t) AND b IN (SELECT node FROM t)),
+w(node, level) AS (SELECT node, 0 FROM t WHERE node NOT IN (SELECT a FROM e) UNION SELECT e.a, level + 1 FROM w JOIN e ON e.b = w.node)
+SELECT node, level, row_number() OVER (ORDER BY level, file, action, node) AS position FROM (SELECT node, CAST(max(level) AS INTEGER) AS level FROM w GROUP BY 1) JOIN t USING (node)
+"""
 
 
 def topo_order(spark, sf_dir):
@@ -486,7 +538,7 @@ QUERIES = {
     "label_groups": (label_groups, "WITH g AS (SELECT quality, lang, max(n_chars) AS m FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2) SELECT quality, array_to_string(list_sort(list(lang || ':' || m)), ',') AS longest, count(*) AS langs FROM g GROUP BY 1"),
     "session_stats_median": (session_stats_median, "WITH b AS (SELECT conv_id, count(*) AS turns, sum(length(text)) AS chars, count(*) FILTER (role = 'user') AS asked FROM conversations GROUP BY 1) SELECT count(*) AS sessions, CAST(sum(turns) AS BIGINT) AS turns, CAST(sum(chars) AS BIGINT) AS chars, CAST(median(chars) AS DOUBLE) AS median_chars, max(asked) AS most_asked FROM b"),
     "newest_within_budget": (newest_within_budget, NEWEST),
-    "fan_in_out": (fan_in_out, FAN), "bfs_depth5": (bfs_depth5, BFS), "shortest_path": (shortest_path, SHORTEST), "cycle_nodes": (cycle_nodes, CYCLES), "topo_order": (topo_order, None), "cycle_paths": (cycle_paths, None), "hotspot_scores": (hotspot_scores, HOTSPOTS),
+    "fan_in_out": (fan_in_out, FAN), "bfs_depth5": (bfs_depth5, BFS), "shortest_path": (shortest_path, SHORTEST), "cycle_nodes": (cycle_nodes, CYCLES), "strong_components": (strong_components, COMPONENTS), "component_cycles": (component_cycles, COMPONENT_CYCLES), "build_order": (build_order, BUILD_ORDER), "topo_order": (topo_order, None), "cycle_paths": (cycle_paths, None), "hotspot_scores": (hotspot_scores, HOTSPOTS),
     "array_hof": (array_hof, HOF),
     "map_ops": (map_ops, "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, false AS has_z, CAST(2 AS INTEGER) AS size, CAST(5 AS BIGINT) AS set_k, 'k' AS keys FROM events"),
     "string_ops": (string_ops, STRINGS), "math_ops": (math_ops, MATH), "url_ops": (url_ops, URLS), "coercions": (coercions, COERCIONS),

@@ -54,11 +54,31 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to a shared folder and read back: cuts the lineage of an iteration, and outlives lost executors. Deleted when the driver ends."""
+    spark = df.sparkSession
+    path = scratch(spark, tag)
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._rivulet_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete :func:`written` tables from which nothing will be read again."""
+    for table in tables:
+        _delete(table.sparkSession, table._rivulet_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended; the cluster owns its folder
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration by a reliable checkpoint, where the session names a folder for them."""
-    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """One round of an iteration, written, so that the next does not compute it again."""
+    return written(df, "round")
