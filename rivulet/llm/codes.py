@@ -133,7 +133,7 @@ def moved(rows: DataFrame, books: Books, parts: int, width: int) -> Books:
 
 def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> tuple[DataFrame, Books]:
     """(vec_id, label, q, code, error of each vector that takes part, written; the codebooks after ``rounds`` rounds)."""
-    width = -(-longest(vectors) // parts)
+    width = -(-max(1, longest(vectors)) // parts)
     rows = quantised(vectors, scale, parts * width, ["vec_id", "label"])
     rows = materialize(rows.withColumn("code", F.lit(bytes(parts))), "codes-parts")
     books = first_books(rows, parts, entries, width)
