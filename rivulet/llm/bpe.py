@@ -28,7 +28,8 @@ from .batches import pieces
 PART_CHARS = 1 << 16
 #: Characters of white space from which on a run is encoded by itself.
 LONG_RUN = 4096
-_BLANKS = regex.compile(rf"\s{{{LONG_RUN},}}")
+#: Only where a run begins: else each place of a shorter run would be tried.
+_BLANKS = regex.compile(rf"(?<!\s)\s{{{LONG_RUN},}}")
 #: Before white space that follows something else, or between a letter and a number: no match spans these.
 _SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
 
