@@ -34,7 +34,7 @@ FREQUENT = 1_000_000
 #: Texts of a key up to which its pairs are rows; texts and bytes of a block of a larger family.
 FEW, BLOCK, BLOCK_BYTES = 32, 512, 4 << 20
 #: Texts whose names (some 100 bytes each) are broadcast to look their rows up, at most; more are joined by a shuffle.
-NAMED = 200_000
+NAMED = 50_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -96,18 +96,28 @@ def _digest(text):
     return F.unhex(F.md5(text))
 
 
-def frequent_shingles(texts: DataFrame, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of more than ``few`` texts, sorted, and the numbers of their texts."""
+def frequent_shingles(texts: DataFrame, few: int = FEW, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of more than ``few`` texts, sorted, and the numbers of their texts: ``most`` of them at most, the more frequent ones.
+
+    The least number of texts that counts comes from a histogram of these numbers (16 steps an octave), so nothing is sorted.
+    """
     counts = texts.select(F.explode("keys").alias("key")).groupBy("key").count().filter(F.col("count") > few)
-    found = counts.orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow()
+    counts = materialize(counts.withColumn("step", F.floor(F.log2("count") * 16).cast("int")), "copies-frequent")
+    steps, least = sorted(((r["step"], r["count"]) for r in counts.groupBy("step").count().collect()), reverse=True), None  # some hundreds
+    for step, n in steps:
+        most -= n
+        if most < 0:
+            break
+        least = step
+    found = counts.filter(F.col("step") >= (least if least is not None else 1 << 20)).select("key", "count").toArrow()
+    release(counts)
     hashes = found.column("key").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], found.column("count").to_numpy()[order]
 
 
-def sketched(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """doc_id, digest, n (members of the set), fp and keys (its prefix) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, rank))  # FREQUENT members at most
+def sketched(docs: DataFrame, shared) -> DataFrame:
+    """doc_id, digest, n (members of the set), fp and keys (its prefix) of every whole text. ``shared``: the frequent keys, broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -122,10 +132,13 @@ def sketched(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFra
 
 
 def texts_in_order(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    made = sketched(docs, frequent, rank)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, rank))  # FREQUENT members at most
+    made = sketched(docs, shared)
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("low")
     own = made.groupBy("digest").agg(low, *[F.first(c).alias(c) for c in ("n", "fp", "keys")])
-    return materialize(own.withColumn("id", F.monotonically_increasing_id()), "copies-texts")
+    texts = materialize(own.withColumn("id", F.monotonically_increasing_id()), "copies-texts")
+    shared.unpersist()
+    return texts
 
 
 def distinct_texts(docs: DataFrame, few: int = FEW) -> DataFrame:
@@ -214,24 +227,24 @@ def verified(pairs: DataFrame, sets: DataFrame, kind: type) -> DataFrame:
     return materialize(first.join(second, ["a", "b"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "copies-verified")
 
 
-def linked(sets: list[np.ndarray], keys: list[np.ndarray], side: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Pairs (m, 2) of places whose sets are similar: with what ``group`` connects, a forest that connects all such pairs
-    that have a key in common.
+def linked(ids: np.ndarray, sets: list[np.ndarray], keys: list[np.ndarray], probe: np.ndarray, both: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Pairs (m, 2) of places of a probe and another text whose sets are similar: with what ``group`` connects, a forest that
+    connects all such pairs that have a key in common.
 
-    ``side`` 1 and 2 are the two blocks of a comparison between them, 0 is a block with itself. Only pairs that are
-    connected already are passed over.
+    ``probe`` tells the copies of texts that are there to be probes; of two texts that are probes (``both``) the larger
+    id's asks. Only pairs that are connected already are passed over.
     """
-    n, size = len(sets), np.array([len(x) for x in sets])
-    where = np.concatenate([np.full(len(k), i) for i, k in enumerate(keys)])
-    shared = np.concatenate(keys)
+    size = np.array([len(x) for x in sets])
+    base = np.flatnonzero(~probe)
+    where = np.concatenate([np.full(len(keys[i]), i) for i in base]) if len(base) else np.zeros(0, np.int64)
+    shared = np.concatenate([keys[i] for i in base]) if len(base) else np.zeros(0, np.int64)
     order = np.argsort(shared, kind="stable")
     shared, where = shared[order], where[order]
     group, out = group.copy(), []
-    for i in range(n):
+    for i in np.flatnonzero(probe):
         lo, hi = np.searchsorted(shared, keys[i], "left"), np.searchsorted(shared, keys[i], "right")
         near = np.unique(np.concatenate([where[x:y] for x, y in zip(lo, hi)]))
-        near = near[(near > i) & (group[near] != group[i]) & similar(np.minimum(size[near], size[i]), size[near], size[i])]
-        near = near[(side[near] == 0) | (side[near] != side[i])]
+        near = near[(group[near] != group[i]) & (~both[near] | (ids[near] < ids[i])) & similar(np.minimum(size[near], size[i]), size[near], size[i])]
         if not len(near):
             continue
         other = np.concatenate([sets[j] for j in near])
@@ -244,38 +257,56 @@ def linked(sets: list[np.ndarray], keys: list[np.ndarray], side: np.ndarray, gro
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+def admissible(hot: DataFrame) -> DataFrame:
+    """Of the texts (key, id, n, i: the key's place in the prefix) of each key those that it can be the first common key of
+    with another, and ``probe``: whether as the shorter one, or one of equal sizes.
+
+    If it is the first, the two have at most it and what comes after it in common. Of a text of n members with the key
+    at place i a partner may thus have (5 n - 9 i) / 4 members at most. Texts of one template, whose own words come first
+    in their order, are no partners of one another by this, however many they are.
+    """
+    most = F.floor((5 * F.col("n") - 9 * F.col("i")) / 4)
+    tier = lambda n: F.floor(F.log(n.cast("double")) / 0.1).cast("int")  # noqa: E731  a tenth more members each
+    hot = hot.withColumn("probe", most >= F.col("n")).withColumn("tier", tier(F.col("n")))
+    met = hot.filter("probe").select("key", F.explode(F.sequence("tier", tier(most))).alias("tier")).distinct()
+    return hot.join(met, ["key", "tier"], "left_semi").select("key", "id", "n", "probe")
+
+
 def families(hot: DataFrame) -> DataFrame:
-    """(bucket, id, n, keys) of the texts (id, n, key) of keys that many share.
+    """(bucket, id, n, probe, keys) of the texts (id, n, probe, key) of keys that many share.
 
     They meet in the key's bucket: the least such key of any text that has the key. So texts with many keys in common
     meet a few times, not once a key.
     """
     least = hot.groupBy("id").agg(F.min("key").alias("least"))
     buckets = hot.join(least, "id").groupBy("key").agg(F.min("least").alias("bucket"))
-    return hot.join(buckets, "key").groupBy("bucket", "id").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys"))
+    return hot.join(buckets, "key").groupBy("bucket", "id").agg(F.first("n").alias("n"), F.max("probe").alias("probe"), F.collect_list("key").alias("keys"))
 
 
 def compared(met: DataFrame, sets: DataFrame, block: int) -> DataFrame:
-    """(a, b): links within the families (bucket, id, n, keys, root): blocks by id, each two of which are one task's."""
-    size = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("long")
-    sizes = met.groupBy("bucket").agg(size.alias("blocks"), (F.min("root") != F.max("root")).alias("open")).filter("open").select("bucket", "blocks")
-    met = materialize(met.join(sizes, "bucket").withColumn("i", F.pmod(F.xxhash64("id"), "blocks")), "copies-open")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j")
-    side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side")
-    names = ["id", "root", "keys", "own"]
-    sent = met.join(sets, "id").select("bucket", "i", other, *names).select("bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), side, *names)
+    """(a, b): links within the families (bucket, id, n, probe, keys, root): blocks of all texts with blocks of probes, a task each."""
+    blocks = lambda some: F.greatest(F.ceil(F.count_if(some) / block), F.ceil(F.sum(F.when(some, F.col("n"))) * 8 / BLOCK_BYTES)).cast("long")
+    sizes = met.groupBy("bucket").agg(blocks(F.lit(True)).alias("blocks"), blocks(F.col("probe")).alias("probes"), (F.min("root") != F.max("root")).alias("open"))
+    met = met.join(sizes.filter("open and probes > 0").select("bucket", "blocks", "probes"), "bucket")
+    own = lambda n: F.pmod(F.xxhash64("id"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    met = materialize(met.join(sets, "id"), "copies-open")
+    names = ["id", "root", "keys", "own", F.col("probe").alias("both")]
+    base = met.select("bucket", own("blocks").alias("i"), every("probes").alias("j"), F.lit(False).alias("probe"), *names)
+    probes = met.filter("probe").select("bucket", every("blocks").alias("i"), own("probes").alias("j"), F.lit(True).alias("probe"), *names)
 
     def run(table: pa.Table) -> pa.Table:
         found = np.zeros((0, 2), np.int64)
         if table.num_rows > 1:
-            table = table.sort_by("id")
-            ids, side, group = (table.column(c).to_numpy() for c in ("id", "side", "root"))
+            table = table.sort_by([("probe", "ascending"), ("id", "ascending")])
+            ids, group = table.column("id").to_numpy(), table.column("root").to_numpy()
+            probe, both = (table.column(c).to_numpy() for c in ("probe", "both"))
             sets = [np.frombuffer(x, np.uint64) for x in table.column("own").to_pylist()]
             keys = [np.array(k, np.int64) for k in table.column("keys").to_pylist()]
-            found = ids[linked(sets, keys, side, group)]
+            found = ids[linked(ids, sets, keys, probe, both, group)]
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    return sent.groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long")
+    return base.unionByName(probes).groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def candidates(cold: DataFrame) -> DataFrame:
@@ -294,7 +325,7 @@ def copy_links(docs: DataFrame, texts: DataFrame, repeated: DataFrame, block: in
     shared = materialize(own.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1"), "copies-keys")
     own = materialize(own.join(shared, "key"), "copies-shared")
     pairs = materialize(candidates(own.filter(F.col("texts") <= few)).unionByName(proposals(texts)).distinct(), "copies-pairs")
-    met = materialize(families(own.filter(F.col("texts") > few).select("id", "n", "key")), "copies-met")
+    met = materialize(families(admissible(own.filter(F.col("texts") > few).select("key", "id", "n", "i"))), "copies-met")
     release(shared, own)
     ends = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id")))
     sketches = set_table(docs, texts, ends(pairs).distinct(), repeated, np.uint16)
