@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings of every session; partition counts are left to the cluster and to AQE.
@@ -42,6 +44,11 @@ def ship(spark: SparkSession) -> None:
     context._rivulet_shipped = True
 
 
+def by_value(module: str) -> None:
+    """Send a module's classes to Python workers whole, for those on the driver that run streams and don't get its shipped code."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh folder that the driver and all executors share: below ``spark.checkpoint.dir``, or, on one machine without it, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

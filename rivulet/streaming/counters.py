@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import numbers
+from ..session import by_value
 
 
 def _marked(events: DataFrame, ts: str, lateness: str) -> DataFrame:
@@ -84,3 +85,6 @@ def day_limit(counts: DataFrame, used: str, lifetime: str, limit: int) -> DataFr
     """A day's limit doubles while the lifetime count is below seven times the limit."""
     allowed = F.when(F.col(lifetime) < 7 * limit, 2 * limit).otherwise(limit)
     return counts.withColumn("allowed", allowed).withColumn("limited", F.col(used) >= allowed)
+
+
+by_value(__name__)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..session import by_value
 from ..sources import sinks
 
 
@@ -88,3 +89,6 @@ def projection(spark: SparkSession, path: str, key: str, deletes: list[str]) ->
     rows = spark.read.parquet(path)
     names = [c for c in rows.columns if c not in (key, "last", "bucket")]
     return rows.filter(~F.col("last.value").isin(*deletes)).select(key, F.col("last.at").alias("seq"), *[F.col(f"{n}.value").alias(n) for n in names])
+
+
+by_value(__name__)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import by_value
+
 
 class RollingUsage(StatefulProcessor):
     """State of a key: usage of the open window (micro-cents) and when it was last updated (milliseconds).
@@ -39,3 +41,6 @@ class RollingUsage(StatefulProcessor):
 def rolling_usage(stream: DataFrame, hours: int, limit: int) -> DataFrame:
     """(key, usage, updated, limited) after each batch, of rows (key, ts_ms, amount). Needs the RocksDB state store."""
     return stream.groupBy("key").transformWithStateInPandas(RollingUsage(hours * 3_600_000, limit), "key string, usage long, updated long, limited boolean", "Update", "ProcessingTime")
+
+
+by_value(__name__)
