@@ -3,12 +3,14 @@
 A text's vector is the mean of the embeddings of its hashed byte n-grams (2 to 4 bytes of the text in lower case,
 all that is no letter or digit a blank). As the classifier is linear, prediction sums each n-gram's share of every class.
 
-The model is fitted on a bounded sample (``PER_LANG`` rows a language, chosen by a hash of their id and text, of texts up to
-``SAMPLE_BYTES`` bytes); everything is predicted. A fifth of the sample calibrates the softmax's temperature and the
+The model is fitted on a bounded sample (``PER_LANG`` rows of each of the ``LANGS`` most frequent languages, chosen by a hash of
+their id and text, of texts up to ``SAMPLE_BYTES`` bytes); everything is predicted. A fifth of the sample calibrates the softmax's temperature and the
 confidence below which a prediction is marked as rejected.
 
 Defined results: a null text or one without letters is "und" with score 0; an empty table gives no rows; without any
-row to learn from all rows are "und"; repeated rows are answered each; a null lang is not learned.
+row to learn from all rows are "und"; repeated rows are answered each, and learned once; a null lang is not learned; of
+languages with equal scores the first by name is predicted; very long texts are predicted whole, one at a time; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .batches import _TOKEN, flat, lower_bytes, lowered, pieces
 
 BUCKETS, DIM, SIZES = 1 << 15, 16, (2, 3, 4)
-PER_LANG, SAMPLE_BYTES = 800, 20_000
+PER_LANG, SAMPLE_BYTES, LANGS = 800, 20_000, 256
 EPOCHS, BATCH, RATE, ERROR = 6, 32, 0.5, 0.01
 UND = "und"
 
@@ -142,11 +144,11 @@ def sample(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> tuple[li
     """Texts and languages to learn from: at most ``per_lang`` rows a language, in the order of a hash."""
     own = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"), draw_of(F.col("doc_id"), F.col("text")).alias("draw"))
     own = own.filter(F.octet_length("text") <= SAMPLE_BYTES)
-    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     if not counts:
         return [], []
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang * 1.2 / n + 20 / n))])[F.col("lang")]
-    rows = sorted((r.draw, r.lang, r.text) for r in own.filter(F.col("draw") <= share).collect())
+    rows = sorted((r.draw, r.lang, r.text) for r in own.filter(F.col("draw") <= share).distinct().collect())
     texts, langs, taken = [], [], dict.fromkeys(counts, 0)
     for _, lang, text in rows:
         taken[lang] += 1

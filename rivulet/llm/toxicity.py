@@ -10,7 +10,9 @@ texts up to ``SAMPLE_BYTES`` bytes). The threshold of each language is calibrate
 training; the language is predicted from the text alone. A score is shifted so that its language's threshold is 0.5.
 
 Defined results: a null text counts as empty; an empty text has the score of the pooled zeros; contradicting labels of
-one id count as toxic; null labels are not learned; if a class has no rows to learn from, every score is 0.
+one id count as toxic; null labels are not learned; of several texts of one id the first in order is learned; if a class
+has no rows to learn from, every score is 0; very long texts are scored whole, one at a time; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -242,7 +244,8 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = P
         return [], []
     chosen = own.filter(F.when(F.col("toxic") == 1, F.col("draw") <= min(1.0, (positives * 1.1 + 50) / counts[1])).otherwise(F.col("draw") <= min(1.0, (negatives * 1.1 + 50) / counts[0])))
     texts = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = sorted((r.draw, r.id, r.text, r.toxic) for r in texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).collect())  # some 5,000 ids
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "draw", "toxic").agg(F.min("text").alias("text"))  # some 5,000 ids
+    rows = sorted((r.draw, r.id, r.text, r.toxic) for r in found.collect())
     kept = [x for k in most for x in [r for r in rows if r[3] == k][: most[k]]]
     return [r[2] for r in kept], [r[3] for r in kept]
 
