@@ -101,48 +101,25 @@ def unescaped(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf(T.DoubleType())
-def fuzzy_score(query: pd.Series, text: pd.Series) -> pd.Series:
-    """Subsequence score in 0 to 1: null if the query's characters don't appear in order; adjacent characters and starts of words count more."""
-
-    def score(q: str | None, t: str | None) -> float | None:
-        if q is None or t is None:
-            return None
-        low, at, last, total = t.lower(), 0, -2, 0.0
-        for c in q.lower():
-            k = low.find(c, at)
-            if k < 0:
-                return None
-            total += 1 + (k == last + 1) + (k == 0 or not low[k - 1].isalnum())
-            last, at = k, k + 1
-        return total / (3 * len(q)) if q else 0.0
-
-    return pd.Series([score(q, t) for q, t in zip(query, text)], dtype="float64")
+def fuzzy_score(query: Column, text: Column) -> Column:
+    """Subsequence score in 0 to 1: null if the query's characters don't appear in order; adjacent characters and starts of words count more.
+
+    Of all alignments the best counts: for each character of the query, the best score of an alignment that ends at each
+    character of the text follows from those of the character before. For names and paths, as the work grows with the
+    square of the text's length.
+    """
+    chars = F.filter(F.split(F.lower(text), ""), lambda c: c != "")
+    wanted = F.filter(F.split(F.lower(query), ""), lambda c: c != "")
+    word = lambda k: F.when((k == 1) | ~F.coalesce(F.get(chars, k - 2).rlike(r"^[\p{L}\p{N}]$"), F.lit(False)), 1.0).otherwise(0.0)
+    places = F.sequence(F.lit(0), F.size(chars))  # 0: before the text
+    before = lambda best, k: F.greatest(F.array_max(F.slice(best, 1, k)), F.when(k > 1, F.get(best, k - 1) + 1))
+    step = lambda best, c: F.transform(places, lambda k: F.when((k > 0) & (F.get(chars, k - 1) == c), 1 + word(k) + before(best, k)))
+    start = F.transform(places, lambda k: F.when(k == 0, 0.0))
+    last = F.aggregate(wanted, start, step)
+    return F.when(F.size(wanted) == 0, F.when(text.isNotNull(), 0.0)).otherwise(F.array_max(last) / (3 * F.size(wanted)))
 
 
 @F.pandas_udf(T.StringType())
 def normalized(text: pd.Series) -> pd.Series:
     """Unicode NFC."""
     return text.str.normalize("NFC")
-
-
-@F.pandas_udf(T.DoubleType())
-def block_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Mean similarity of the trimmed lines of two blocks, line by line; lines that one block lacks count 0."""
-
-    def distance(x: str, y: str) -> int:
-        row = list(range(len(y) + 1))
-        for i, c in enumerate(x, 1):
-            above, row[0] = row[0], i
-            for j, d in enumerate(y, 1):
-                above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (c != d))
-        return row[-1]
-
-    def one(x: str | None, y: str | None) -> float | None:
-        if x is None or y is None:
-            return None
-        left, right = ([line.strip() for line in v.split("\n")] for v in (x, y))
-        total = sum(1 - distance(p, q) / max(len(p), len(q)) if p or q else 1.0 for p, q in zip(left, right))
-        return total / max(len(left), len(right))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")

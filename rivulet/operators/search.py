@@ -70,3 +70,21 @@ def pattern_hits(texts: DataFrame, ident: str, text: str, rules: dict[str, tuple
         line = F.char_length(F.substr(F.col(text), F.lit(1), at - 1)) - F.char_length(F.replace(F.substr(F.col(text), F.lit(1), at - 1), F.lit("\n"), F.lit(""))) + 1
         entries.append(F.when((at > 0) & ~safe, F.struct(F.lit(name).alias("rule"), line.alias("line_no"), F.regexp_extract(text, pattern, 0).alias("match"))))
     return texts.select(ident, F.explode(F.array_compact(F.array(*entries))).alias("h")).select(ident, "h.*")
+
+
+def near_names(names: DataFrame, name: str, most: int = 2) -> DataFrame:
+    """(a, b, distance): pairs a < b of distinct names within so many edits.
+
+    Of ``most`` + 1 segments of the shorter name one stands unchanged in the longer, shifted by ``most`` places at most. So
+    names are joined on (length, segment's number, segment), a few rows each, and only such pairs are measured.
+    """
+    own = names.select(F.col(name).alias("n")).filter(F.col("n").isNotNull()).distinct().withColumn("len", F.char_length("n"))
+    parts = most + 1
+    begin = lambda length, k: F.floor(length * k / parts).cast("int")
+    segment = lambda text, length, k, shift: F.substr(text, begin(length, k) + 1 + shift, begin(length, k + 1) - begin(length, k))
+    short = own.select(F.col("n").alias("x"), "len", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), segment(F.col("n"), F.col("len"), k, F.lit(0)).alias("part")) for k in range(parts)])).alias("s")).select("x", "len", "s.k", "s.part")
+    places = [(gap, k, shift) for gap in range(most + 1) for k in range(parts) for shift in range(-most, most + 1)]
+    at = lambda gap, k, shift: F.struct((F.col("len") - gap).alias("len"), F.lit(k).alias("k"), F.when((begin(F.col("len") - gap, k) + shift >= 0) & (F.col("len") >= gap), segment(F.col("n"), F.col("len") - gap, k, F.lit(shift))).alias("part"))
+    long = own.select(F.col("n").alias("y"), F.explode(F.array_distinct(F.array(*[at(*p) for p in places]))).alias("s")).select("y", "s.len", "s.k", "s.part").filter("part IS NOT NULL")
+    pairs = short.join(long, ["len", "k", "part"]).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b")).filter(F.col("distance") <= most)

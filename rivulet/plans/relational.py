@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import coerce, dates, numbers, text
+from ..functions import blocks, coerce, dates, numbers, text, typed
 from ..functions.userlib import LIBRARY as L
 from ..operators import analytics, cycles, graph, joins, paging, rollup, search
 from ..operators import usage as usage_ops
+from ..session import scratch
+from ..sources import lookup
 from ..sources.files import script_json, table
 
 _CENTS = "CAST(floor({} * 100 + 0.5) AS BIGINT)"
@@ -141,7 +143,8 @@ def join_semi(spark, sf_dir):
 
 
 def join_anti(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without a dear order."""
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_totalprice") > 400000), "left_anti").select("c_custkey", "c_name")
 
 
 def semi_or_predicate(spark, sf_dir):
@@ -265,11 +268,70 @@ STATUS = f"WITH l AS (SELECT o_custkey, max(o_orderdate) AS updated FROM orders
 
 
 def levenshtein_pairs(spark, sf_dir):
-    """Names of parts within two edits of each other: names are few, so they are paired as a table of distinct names."""
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
-    other = names.select(F.col("a").alias("b"), F.explode(F.array(*[F.char_length("a") + d for d in (-2, -1, 0, 1, 2)])).alias("n"))
-    near = names.join(other, F.char_length("a") == F.col("n")).filter("a < b").withColumn("distance", F.levenshtein("a", "b"))
-    return near.filter("distance <= 2").select("a", "b", "distance", numbers.half_up(text.similarity(F.col("a"), F.col("b")), 4).alias("similarity"))
+    """Names of parts within two edits of each other."""
+    near = search.near_names(table(spark, sf_dir, "part"), "p_name")
+    return near.select("a", "b", "distance", numbers.half_up(text.similarity(F.col("a"), F.col("b")), 4).alias("similarity"))
+
+
+def fuzzy_names(spark, sf_dir):
+    """Parts whose names have the letters of a query in order, with the best alignment's score."""
+    scored = table(spark, sf_dir, "part").select("p_partkey", numbers.half_up(text.fuzzy_score(F.lit("RiG"), F.col("p_name")), 6).alias("score"))
+    return scored.filter("score IS NOT NULL")
+
+
+FUZZY = """
+WITH c AS (SELECT p_partkey, k, substr(low, k, 1) AS c, CASE WHEN k = 1 OR NOT regexp_matches(substr(low, k - 1, 1), '[\\p{L}\\p{N}]') THEN 1 ELSE 0 END AS word FROM (SELECT p_partkey, lower(p_name) AS low, unnest(range(1, length(p_name) + 1)) AS k FROM part)),
+r AS (SELECT p_partkey, k, 1 + word AS s FROM c WHERE c = 'r'),
+i AS (SELECT p_partkey, c.k, max(1 + word + s + CASE WHEN c.k = r.k + 1 THEN 1 ELSE 0 END) AS s FROM c JOIN r USING (p_partkey) WHERE c = 'i' AND r.k < c.k GROUP BY ALL),
+g AS (SELECT p_partkey, c.k, max(1 + word + s + CASE WHEN c.k = i.k + 1 THEN 1 ELSE 0 END) AS s FROM c JOIN i USING (p_partkey) WHERE c = 'g' AND i.k < c.k GROUP BY ALL)
+SELECT p_partkey, floor(max(s) / 9 * 1000000 + 0.5) / 1000000 AS score FROM g GROUP BY 1
+"""
+
+
+def edited_blocks(spark, sf_dir):
+    """Each document's first five lines, letters of the inner ones changed, found again in it; nulls where something else repeats them better or there are fewer lines."""
+    lines = F.split("text", "\n")
+    inner = F.transform(F.slice(lines, 2, 3), lambda x: F.translate(x, "eo", "oi"))
+    block = F.when(F.size(lines) >= 5, F.array_join(F.concat(F.slice(lines, 1, 1), inner, F.slice(lines, 5, 1)), "\n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", blocks.find_block(F.col("text"), block).alias("f")).filter("f.start_line IS NOT NULL")
+    return rows.select("doc_id", "f.start_line", "f.end_line", numbers.half_up(F.col("f.similarity"), 6).alias("similarity"))
+
+
+_LIKENESS = "CASE WHEN greatest(length(l[i + {n}]), length(t[{m}])) = 0 THEN 0 ELSE 1 - levenshtein(l[i + {n}], t[{m}]) / greatest(length(l[i + {n}]), length(t[{m}])) END"
+EDITED_BLOCKS = f"""
+WITH d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))) AS l FROM documents),
+b AS (SELECT doc_id, l, [l[1], translate(l[2], 'eo', 'oi'), translate(l[3], 'eo', 'oi'), translate(l[4], 'eo', 'oi'), l[5]] AS t FROM d WHERE len(l) >= 5),
+p AS (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM b), s AS (SELECT *, list_position(l[i + 2:], t[5]) AS p FROM p WHERE l[i] = t[1]),
+c AS (SELECT *, i + 1 + p AS j FROM s WHERE p IS NOT NULL AND p BETWEEN 2 AND 4),
+m AS (SELECT doc_id, i, j, ({_LIKENESS.format(n=1, m=2)} + {_LIKENESS.format(n=2, m=3)} + CASE WHEN j - i >= 4 THEN {_LIKENESS.format(n=3, m=4)} ELSE 0 END) / least(3, j - i - 1) AS sim FROM c)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS start_line, CAST(j - 1 AS INTEGER) AS end_line, floor(sim * 1000000 + 0.5) / 1000000 AS similarity FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, i) = 1 AND sim >= {blocks.LEAST_SIMILARITY}
+"""
+
+
+def orders_looked_up(spark, sf_dir):
+    """The lines of the hundred dearest orders, by a point lookup in a table of lines."""
+    path = scratch(spark, "lookup")
+    lookup.write(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), path, "l_orderkey", 64)
+    keys = [r[0] for r in table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey").collect()]
+    return lookup.lookup(spark, path, "l_orderkey", keys, 64)
+
+
+LOOKED_UP = "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100)"
+
+
+def typed_line_counts(spark, sf_dir):
+    """A function of declared types, registered and called in SQL: lines and words of each document that has text."""
+
+    def run(row):
+        if row["text"] is not None:
+            yield {"id": row["doc_id"], "lines": row["text"].count("\n") + 1, "words": sum(1 for x in row["text"].split(" ") if x)}
+
+    typed.register(spark, "rivulet_line_counts", "doc_id bigint, text string", "id bigint, lines int, words int", run)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("rivulet_documents")
+    return spark.sql("SELECT * FROM rivulet_line_counts(TABLE(SELECT doc_id, text, lang FROM rivulet_documents))")
+
+
+LINE_COUNTS = "SELECT doc_id AS id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines, CAST(len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS INTEGER) AS words FROM documents WHERE text IS NOT NULL"
 
 
 def grep_lines(spark, sf_dir):
@@ -514,7 +576,7 @@ QUERIES = {
     "join_right": (join_right, "SELECT n_name, s_suppkey FROM (SELECT * FROM supplier WHERE s_acctbal > 5000) RIGHT JOIN nation ON s_nationkey = n_nationkey"),
     "join_full": (join_full, "SELECT coalesce(c_nationkey, s_nationkey) AS nation, rich, suppliers FROM (SELECT c_nationkey, count(*) FILTER (c_acctbal > 9000) AS rich FROM customer GROUP BY 1 HAVING rich > 5) FULL JOIN (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY 1 HAVING suppliers > 3) ON c_nationkey = s_nationkey"),
     "join_semi": (join_semi, "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"),
-    "join_anti": (join_anti, "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "join_anti": (join_anti, "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)"),
     "semi_or_predicate": (semi_or_predicate, "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000) OR c_acctbal < 0"),
     "correlated_scalar": (correlated_scalar, f"SELECT c_custkey, (SELECT max({_CENTS.format('o_totalprice')}) FROM orders WHERE o_custkey = c_custkey) AS top, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer"),
     "fallback_key_join": (fallback_key_join, "WITH k AS (SELECT p_brand AS k, min(p_name) AS v FROM part GROUP BY 1 UNION ALL SELECT p_type, max(p_name) FROM part GROUP BY 1) SELECT p_partkey, coalesce(a.v, b.v, p_name) AS found FROM part LEFT JOIN k a ON a.k = CASE WHEN p_size > 25 THEN p_brand ELSE 'Brand#none' END LEFT JOIN k b ON b.k = CASE WHEN p_size > 10 THEN p_type END"),
@@ -538,7 +600,8 @@ QUERIES = {
     "label_groups": (label_groups, "WITH g AS (SELECT quality, lang, max(n_chars) AS m FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2) SELECT quality, array_to_string(list_sort(list(lang || ':' || m)), ',') AS longest, count(*) AS langs FROM g GROUP BY 1"),
     "session_stats_median": (session_stats_median, "WITH b AS (SELECT conv_id, count(*) AS turns, sum(length(text)) AS chars, count(*) FILTER (role = 'user') AS asked FROM conversations GROUP BY 1) SELECT count(*) AS sessions, CAST(sum(turns) AS BIGINT) AS turns, CAST(sum(chars) AS BIGINT) AS chars, CAST(median(chars) AS DOUBLE) AS median_chars, max(asked) AS most_asked FROM b"),
     "newest_within_budget": (newest_within_budget, NEWEST),
-    "fan_in_out": (fan_in_out, FAN), "bfs_depth5": (bfs_depth5, BFS), "shortest_path": (shortest_path, SHORTEST), "cycle_nodes": (cycle_nodes, CYCLES), "strong_components": (strong_components, COMPONENTS), "component_cycles": (component_cycles, COMPONENT_CYCLES), "build_order": (build_order, BUILD_ORDER), "topo_order": (topo_order, None), "cycle_paths": (cycle_paths, None), "hotspot_scores": (hotspot_scores, HOTSPOTS),
+    "fan_in_out": (fan_in_out, FAN), "bfs_depth5": (bfs_depth5, BFS), "shortest_path": (shortest_path, SHORTEST), "fuzzy_names": (fuzzy_names, FUZZY), "edited_blocks": (edited_blocks, EDITED_BLOCKS), "orders_looked_up": (orders_looked_up, LOOKED_UP), "typed_line_counts": (typed_line_counts, LINE_COUNTS),
+    "cycle_nodes": (cycle_nodes, CYCLES), "strong_components": (strong_components, COMPONENTS), "component_cycles": (component_cycles, COMPONENT_CYCLES), "build_order": (build_order, BUILD_ORDER), "topo_order": (topo_order, None), "cycle_paths": (cycle_paths, None), "hotspot_scores": (hotspot_scores, HOTSPOTS),
     "array_hof": (array_hof, HOF),
     "map_ops": (map_ops, "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, false AS has_z, CAST(2 AS INTEGER) AS size, CAST(5 AS BIGINT) AS set_k, 'k' AS keys FROM events"),
     "string_ops": (string_ops, STRINGS), "math_ops": (math_ops, MATH), "url_ops": (url_ops, URLS), "coercions": (coercions, COERCIONS),

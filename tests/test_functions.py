@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.functions import coerce, dates, numbers, text
+from rivulet.functions import blocks, coerce, dates, numbers, text
 from rivulet.functions.userlib import LIBRARY as L
 
 
@@ -79,7 +79,7 @@ def test_text(spark):
     assert one(spark, text.unescaped(F.lit(r"a\nb\"c"))) == 'a\nb"c'
     assert one(spark, text.fuzzy_score(F.lit("ab"), F.lit("a_b"))) > one(spark, text.fuzzy_score(F.lit("ab"), F.lit("xaxxbx")))
     assert one(spark, text.fuzzy_score(F.lit("ba"), F.lit("ab"))) is None
-    assert one(spark, text.block_similarity(F.lit("a\nbc"), F.lit(" a\nbd"))) == pytest.approx(0.75)
+    assert one(spark, blocks.block_similarity(F.lit("a\nbc"), F.lit(" a\nbd"))) == pytest.approx(0.75)
     assert one(spark, text.normalized(F.lit("é"))) == "é"
 
 
