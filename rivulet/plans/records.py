@@ -1,13 +1,14 @@
-"""Queries over the lake path, writers, the database, sessions, catalogues, findings, pages and scalar helpers."""
+"""Queries over the lake path, writers, sessions, catalogues, findings, pages and scalar helpers."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, jsons, numbers, text, userlib
 from ..operators import analytics, catalog, eventlog, findings, graph, joins, paging, rollup, search, sessions, usage
 from ..session import scratch
-from ..sources import database, files, lake, sinks
+from ..sources import files, lake, sinks
 from ..sources.files import table
 from ..streaming import counters
 from .events import BY_SETS, SET_KEYS
@@ -177,24 +178,19 @@ MARKDOWN = "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nati
 
 
 def database_statements(spark, sf_dir):
-    """Create, insert with each conflict rule, update, update from, delete, a rolled-back transaction, a migration, a CTE."""
-    db = database.Database(spark, scratch(spark, "database"))
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.lit(0).cast("long").alias("uses"))
-    db.migrate({"one": lambda d: d.create("suppliers", rows.filter("s_suppkey <= 60"))})
-    db.migrate({"one": lambda d: d.create("suppliers", rows.limit(0))})
-    with db.transaction():
-        db.insert("suppliers", rows.withColumn("uses", F.lit(5).cast("long")), ["s_suppkey"], "ignore")
-        db.insert("suppliers", rows.filter("s_suppkey % 10 = 0").withColumn("uses", F.lit(7).cast("long")), ["s_suppkey"], "update")
-        db.update("suppliers", {"uses": F.col("uses") + 1}, F.col("s_nationkey") < 5)
-        db.update_from("suppliers", table(spark, sf_dir, "nation").selectExpr("n_nationkey as s_nationkey", "1000L + n_regionkey as uses").filter("s_nationkey = 7"), ["s_nationkey"], ["uses"])
-    try:
-        with db.transaction():
-            db.delete("suppliers", F.lit(True))
-            raise KeyError("nothing of this stays")
-    except KeyError:
-        pass
-    db.delete("suppliers", F.col("s_suppkey") % 11 == 0)
-    return db.sql("WITH busy AS (SELECT * FROM suppliers WHERE uses >= 0) SELECT s_suppkey, s_nationkey, uses, (SELECT count(*) FROM suppliers) AS total FROM busy")
+    """Statements on a table by the writers: a column added, inserts with each conflict rule, update, update from, delete, a CTE with a scalar subquery."""
+    source = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    with_uses = lambda n: source.withColumn("uses", F.lit(n).cast("long"))
+    rows = sinks.migrate(source.filter("s_suppkey <= 60"), {"uses": ("long", 0)})
+    rows = rows.unionByName(sinks.insert_ignore(rows, with_uses(5), ["s_suppkey"]))
+    rows = sinks.merged(rows, with_uses(7).filter("s_suppkey % 10 = 0"), ["s_suppkey"])
+    rows = rows.withColumn("uses", F.when(F.col("s_nationkey") < 5, F.col("uses") + 1).otherwise(F.col("uses")))
+    busier = table(spark, sf_dir, "nation").selectExpr("n_nationkey as s_nationkey", "1000L + n_regionkey as uses").filter("s_nationkey = 7")
+    rows = joins.update_from(rows, busier, ["s_nationkey"], ["uses"]).filter("NOT s_suppkey % 11 = 0")
+    path = scratch(spark, "suppliers")
+    rows.write.parquet(path)
+    spark.read.parquet(path).createOrReplaceTempView("rivulet_suppliers")
+    return spark.sql("WITH busy AS (SELECT * FROM rivulet_suppliers WHERE uses >= 0) SELECT s_suppkey, s_nationkey, uses, (SELECT count(*) FROM rivulet_suppliers) AS total FROM busy")
 
 
 DATABASE = """
@@ -501,21 +497,22 @@ SPEED = "WITH q AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_id %
 
 
 def event_ownership(spark, sf_dir):
-    """A replayed batch against the log and its owners, with an event twice in the batch."""
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("aggregate_id"), (F.row_number().over(_by_type()) - 1).cast("long").alias("seq"), F.lit("t").alias("type"), "props")
-    log = rows.withColumnRenamed("props", "data").filter("seq < 100")
-    batch = rows.withColumnRenamed("props", "data").filter("seq between 95 and 110").withColumn("owner_id", F.lit("me"))
-    owners = rows.select("aggregate_id").distinct().withColumn("owner_id", F.when(F.col("aggregate_id") == "error", "you").otherwise("me"))
-    return eventlog.incoming(log, batch.unionByName(batch.filter("seq >= 100")), owners).groupBy("aggregate_id", "verdict").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
-
-
-def _by_type():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("event_type").orderBy("event_id")
-
-
-OWNERSHIP = "WITH r AS (SELECT event_type AS aggregate_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS seq FROM events), b AS (SELECT * FROM r WHERE seq BETWEEN 95 AND 110), v AS (SELECT aggregate_id, seq, CASE WHEN aggregate_id = 'error' THEN 'foreign' WHEN seq < 100 THEN 'replay' ELSE 'append' END AS verdict FROM b UNION ALL SELECT aggregate_id, seq, CASE WHEN aggregate_id = 'error' THEN 'foreign' ELSE 'replay' END FROM b WHERE seq >= 100) SELECT aggregate_id, verdict, count(*) AS n, max(seq) AS last FROM v GROUP BY 1, 2"
+    """Each user's whole log replayed against its first half and its owners, the second half twice in the batch."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    seq, half = (F.row_number().over(order) - 1).cast("long"), F.floor(F.count(F.lit(1)).over(Window.partitionBy("user_id")) / 2)
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("aggregate_id"), seq.alias("seq"), F.lit("t").alias("type"), F.col("props").alias("data"), half.alias("half"))
+    batch = rows.drop("half").withColumn("owner_id", F.lit("me"))
+    owners = rows.select("aggregate_id").distinct().withColumn("owner_id", F.when(F.col("aggregate_id").endswith("3"), "you").otherwise("me"))
+    log = rows.filter("seq < half").drop("half")
+    again = rows.filter("seq >= half").drop("half").withColumn("owner_id", F.lit("me"))
+    return eventlog.incoming(log, batch.unionByName(again), owners).groupBy("aggregate_id", "verdict").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
+
+
+OWNERSHIP = """
+WITH r AS (SELECT CAST(user_id AS VARCHAR) AS aggregate_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, floor(count(*) OVER (PARTITION BY user_id) / 2) AS half FROM events),
+v AS (SELECT aggregate_id, seq, CASE WHEN aggregate_id LIKE '%3' THEN 'foreign' WHEN seq < half THEN 'replay' ELSE 'append' END AS verdict FROM r UNION ALL SELECT aggregate_id, seq, CASE WHEN aggregate_id LIKE '%3' THEN 'foreign' ELSE 'replay' END FROM r WHERE seq >= half)
+SELECT aggregate_id, verdict, count(*) AS n, max(seq) AS last FROM v GROUP BY 1, 2
+"""
 
 
 def dead_and_dangling(spark, sf_dir):

@@ -477,17 +477,38 @@ SELECT node, level, row_number() OVER (ORDER BY level, file, action, node) AS po
 """
 
 
-def topo_order(spark, sf_dir):
-    """The order of each region's small graph: nation n before nation (3 n + 1) mod 25 of the same region where that is larger, cycles last."""
+def _region_graphs(spark, sf_dir):
+    """A graph a region: from each nation n to nation (3 n + 1) mod 25."""
     n = table(spark, sf_dir, "nation")
     edges = n.select("n_regionkey", F.col("n_name").alias("from"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("k")).join(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("to")), "k")
-    return graph.topological(edges.select(F.col("n_regionkey").alias("graph"), "from", "to"))
+    return edges.select(F.col("n_regionkey").alias("graph"), "from", "to")
+
+
+_REGION_GRAPHS = "e AS MATERIALIZED (SELECT DISTINCT n.n_regionkey AS graph, n.n_name AS a, m.n_name AS b FROM nation n JOIN nation m ON m.n_nationkey = (n.n_nationkey * 3 + 1) % 25), r(graph, a, b) AS (SELECT * FROM e UNION SELECT r.graph, r.a, e.b FROM r JOIN e ON e.graph = r.graph AND e.a = r.b)"
+
+
+def topo_order(spark, sf_dir):
+    return graph.topological(_region_graphs(spark, sf_dir))
+
+
+TOPO = f"""
+WITH RECURSIVE {_REGION_GRAPHS}, n AS (SELECT graph, a AS node FROM e UNION SELECT graph, b FROM e), x AS (SELECT graph, a AS node FROM r WHERE a = b UNION SELECT r.graph, r.b FROM r JOIN r c ON c.graph = r.graph AND c.a = c.b AND c.a = r.a),
+f AS (SELECT * FROM n EXCEPT SELECT * FROM x), w(graph, node, level) AS (SELECT graph, node, 0 FROM f UNION SELECT w.graph, e.b, level + 1 FROM w JOIN e ON e.graph = w.graph AND e.a = w.node JOIN f ON f.graph = e.graph AND f.node = e.b),
+l AS (SELECT n.graph, n.node, max(level) AS level FROM n LEFT JOIN w USING (graph, node) GROUP BY 1, 2)
+SELECT graph, node, row_number() OVER (PARTITION BY graph ORDER BY level IS NULL, level, node) - 1 AS position, level IS NULL AS is_cyclic FROM l
+"""
 
 
 def cycle_paths(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    edges = n.select("n_regionkey", F.col("n_name").alias("from"), ((F.col("n_nationkey") * 3 + 1) % 25).alias("k")).join(n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("to")), "k")
-    return graph.cycle_paths(edges.select(F.col("n_regionkey").alias("graph"), "from", "to")).select("graph", F.array_join("cycle", ">").alias("cycle"))
+    return graph.cycle_paths(_region_graphs(spark, sf_dir)).select("graph", F.array_join("cycle", ">").alias("cycle"))
+
+
+#: Each node has one edge out, so a component is one cycle.
+CYCLE_PATHS = f"""
+WITH RECURSIVE {_REGION_GRAPHS}, c AS (SELECT x.graph, x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.graph = y.graph AND x.a = y.b AND x.b = y.a GROUP BY 1, 2),
+w(graph, component, path) AS (SELECT DISTINCT graph, component, [component] FROM c UNION ALL SELECT w.graph, component, list_append(path, e.b) FROM w JOIN e ON e.graph = w.graph AND e.a = path[-1] WHERE len(path) = 1 OR path[-1] <> component)
+SELECT graph, array_to_string(path, '>') AS cycle FROM w WHERE len(path) > 1 AND path[-1] = component
+"""
 
 
 def hotspot_scores(spark, sf_dir):
@@ -601,7 +622,7 @@ QUERIES = {
     "session_stats_median": (session_stats_median, "WITH b AS (SELECT conv_id, count(*) AS turns, sum(length(text)) AS chars, count(*) FILTER (role = 'user') AS asked FROM conversations GROUP BY 1) SELECT count(*) AS sessions, CAST(sum(turns) AS BIGINT) AS turns, CAST(sum(chars) AS BIGINT) AS chars, CAST(median(chars) AS DOUBLE) AS median_chars, max(asked) AS most_asked FROM b"),
     "newest_within_budget": (newest_within_budget, NEWEST),
     "fan_in_out": (fan_in_out, FAN), "bfs_depth5": (bfs_depth5, BFS), "shortest_path": (shortest_path, SHORTEST), "fuzzy_names": (fuzzy_names, FUZZY), "edited_blocks": (edited_blocks, EDITED_BLOCKS), "orders_looked_up": (orders_looked_up, LOOKED_UP), "typed_line_counts": (typed_line_counts, LINE_COUNTS),
-    "cycle_nodes": (cycle_nodes, CYCLES), "strong_components": (strong_components, COMPONENTS), "component_cycles": (component_cycles, COMPONENT_CYCLES), "build_order": (build_order, BUILD_ORDER), "topo_order": (topo_order, None), "cycle_paths": (cycle_paths, None), "hotspot_scores": (hotspot_scores, HOTSPOTS),
+    "cycle_nodes": (cycle_nodes, CYCLES), "strong_components": (strong_components, COMPONENTS), "component_cycles": (component_cycles, COMPONENT_CYCLES), "build_order": (build_order, BUILD_ORDER), "topo_order": (topo_order, TOPO), "cycle_paths": (cycle_paths, CYCLE_PATHS), "hotspot_scores": (hotspot_scores, HOTSPOTS),
     "array_hof": (array_hof, HOF),
     "map_ops": (map_ops, "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, false AS has_z, CAST(2 AS INTEGER) AS size, CAST(5 AS BIGINT) AS set_k, 'k' AS keys FROM events"),
     "string_ops": (string_ops, STRINGS), "math_ops": (math_ops, MATH), "url_ops": (url_ops, URLS), "coercions": (coercions, COERCIONS),

@@ -18,17 +18,22 @@ from ..sources import sinks
 
 
 class Judge(StatefulProcessor):
-    """State of an aggregate: its last number, and a digest of each event by its number."""
+    """State of an aggregate: its last number, its owner, and a digest of each event by its number."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.head = handle.getValueState("head", "seq long")
+        self.owner = handle.getValueState("owner", "owner string")
         self.seen = handle.getMapState("seen", "seq long", "digest string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         head = self.head.get()[0] if self.head.exists() else -1
+        owner = self.owner.get()[0] if self.owner.exists() else None
         own = pd.concat(list(rows)).sort_values(["seq", "id", "digest"])
         verdicts = []
-        for seq, digest in zip(own["seq"].tolist(), own["digest"].tolist()):
+        for seq, digest, by in zip(own["seq"].tolist(), own["digest"].tolist(), own["owner_id"].tolist()):
+            if owner is not None and by != owner:
+                verdicts.append("foreign")
+                continue
             if self.seen.containsKey((seq,)):
                 verdicts.append("replay" if self.seen.getValue((seq,))[0] == digest else "divergent")
             elif seq != head + 1:
@@ -37,8 +42,12 @@ class Judge(StatefulProcessor):
                 head = seq
                 self.seen.updateValue((seq,), (digest,))
                 verdicts.append("append")
+            if owner is None and by is not None and verdicts[-1] in ("append", "replay"):
+                owner = by  # who is the first to bring an event with a name owns the aggregate
         if head >= 0:
             self.head.update((head,))
+        if owner is not None:
+            self.owner.update((owner,))
         yield own.assign(verdict=verdicts)[["aggregate_id", "seq", "id", "type", "data", "verdict"]]
 
     def close(self) -> None:
@@ -46,13 +55,14 @@ class Judge(StatefulProcessor):
 
 
 def judged(stream: DataFrame) -> DataFrame:
-    """Events (aggregate_id, seq, id, type, data) with their verdict, against all that the stream has appended before.
+    """Events (aggregate_id, seq, id, type, data, and owner_id if there is one) with their verdict, against all that the stream has appended before.
 
-    ``verdict``: append (it follows the last number), replay (same id, type and data at that number: nothing to do),
+    ``verdict``: foreign (the aggregate is another owner's: the first that came with an event of it), append (it follows the last number), replay (same id, type and data at that number: nothing to do),
     divergent (something else is there) or gap (nothing is recorded, so the event may come again in its turn). Of events
     of a batch at one number the first by id counts. The state holds a digest for each number of the log.
     """
-    own = stream.select("aggregate_id", F.col("seq").cast("long").alias("seq"), "id", "type", "data").withColumn("digest", F.sha2(F.to_json(F.struct("id", "type", "data")), 256))
+    owner = F.col("owner_id").cast("string") if "owner_id" in stream.columns else F.lit(None).cast("string")
+    own = stream.select("aggregate_id", owner.alias("owner_id"), F.col("seq").cast("long").alias("seq"), "id", "type", "data").withColumn("digest", F.sha2(F.to_json(F.struct("id", "type", "data")), 256))
     return own.groupBy("aggregate_id").transformWithStateInPandas(Judge(), "aggregate_id string, seq long, id string, type string, data string, verdict string", "Append", "None")
 
 

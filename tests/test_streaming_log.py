@@ -50,6 +50,22 @@ def test_judged_over_restarts(rocks, tmp_path):
     assert rest == [("e0", "divergent"), ("e1", "replay"), ("e2", "append"), ("e4", "gap"), ("f0", "append"), ("f1", "append")]
 
 
+def test_another_owners_events_are_foreign_over_restarts(rocks, tmp_path):
+    schema = SCHEMA + ", owner_id string"
+    stream = rocks.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    parts = [[("a", 0, "e0", "t", "x", None), ("b", 0, "f0", "t", "x", "me")], [("a", 1, "e1", "t", "x", "you"), ("b", 1, "f1", "t", "x", "you"), ("b", 0, "f0", "t", "x", None)], [("b", 1, "f1", "t", "x", "me"), ("a", 2, "e2", "t", "x", "me"), ("a", 0, "e0", "t", "x", "you")]]
+    seen = []
+    for rows in parts:
+        put(rocks, rows, tmp_path / "in", schema)
+        run(log.judged(stream), tmp_path / "out", tmp_path / "cp")
+        now = sorted((r.id, r.verdict) for r in rocks.read.parquet(f"{tmp_path}/out").collect())
+        new = list(now)
+        for v in seen:
+            new.remove(v)
+        parts[parts.index(rows)], seen = new, now
+    assert parts == [[("e0", "append"), ("f0", "append")], [("e1", "append"), ("f0", "foreign"), ("f1", "foreign")], [("e0", "replay"), ("e2", "foreign"), ("f1", "append")]]
+
+
 def test_projection_equals_batch_over_restarts_and_replays(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     fields = {"name": F.when(F.col("type") == "named", F.col("data")), "size": F.when(F.col("type") == "sized", F.col("data"))}
