@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, records, relational, streams
+from . import events, impact, records, relational, streams
 
-_ALL = events.QUERIES | relational.QUERIES | records.QUERIES | streams.QUERIES
+_ALL = events.QUERIES | relational.QUERIES | records.QUERIES | streams.QUERIES | impact.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
