@@ -9,8 +9,9 @@ Consecutive windows with one anchor form a run. A suffix at an anchor is ordered
 the whole run's content (a second hash, so 128 bits), then by its place in the corpus.
 
 1. Sampled splitters range-partition the suffixes by these leading tokens; a bucket sorts its suffixes by multikey
-   quicksort. Equal runs stand together: all but the first are repeats, whole. The first of a bucket is compared with
-   the last of the bucket before, so that equal runs may cross boundaries, and a hot one may fill many buckets.
+   quicksort. The suffixes are hashed and written once, so buckets follow their number, whatever the texts are. Equal runs
+   stand together: all but the first are repeats, whole. The first of a bucket is compared with the earliest end of a
+   bucket that has its run, so that equal runs may cross boundaries, and a hot one may fill many buckets.
 2. Where one token leads to different runs (the edges of repeated passages), the first suffix of each run fetches its
    text, and these are range-partitioned and sorted again: now single windows are compared. Groups that touch a
    bucket's boundary are compared across buckets by an aggregation over their windows.
@@ -29,12 +30,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import ODD, Spans, flat, long_array, mix, pieces
-from .store import materialize
+from .store import materialize, release
 
 LENGTH, TOKEN = 100, 37
 #: Suffixes of a bucket, about; second-level suffixes, which carry text.
@@ -209,13 +210,15 @@ def sort_buckets(units: DataFrame, buckets: int) -> DataFrame:
 
 
 def boundary_repeats(found: DataFrame) -> DataFrame:
-    """Rows that start a bucket and go on with the run that ended the bucket before: repeats as well. Two rows a bucket."""
-    marks = found.filter(F.col("kind").isin(_FIRST, _LAST))
-    before = Window.orderBy("bucket", "kind")
-    marks = marks.select("*", *[F.lag(c).over(before).alias(f"p_{c}") for c in ("token", "run", "doc", "place")])
+    """Rows that start a bucket and go on with a run that ended an earlier one: repeats as well.
+
+    Two rows a bucket, by the run: the earliest end of a bucket that has it is the run's earliest row, or of its text and start.
+    """
     start = lambda c: F.shiftright(c, 12)
-    other = (F.col("doc") != F.col("p_doc")) | (start("place") != start("p_place"))
-    return marks.filter((F.col("kind") == _FIRST) & (F.col("token") == F.col("p_token")) & (F.col("run") == F.col("p_run")) & other).select("doc", "tag", "place")
+    ends = found.filter(F.col("kind") == _LAST).groupBy("token", "run").agg(F.min_by(F.struct("doc", start("place").alias("start")), "bucket").alias("e"), F.min("bucket").alias("from"))
+    first = found.filter(F.col("kind") == _FIRST).join(ends, ["token", "run"])
+    other = (F.col("doc") != F.col("e.doc")) | (start("place") != F.col("e.start"))
+    return first.filter((F.col("bucket") > F.col("from")) & other).select("doc", "tag", "place")
 
 
 def bands(length: int, token: int) -> list[tuple[int, int]]:
@@ -357,10 +360,10 @@ def pack(docs: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, token: int = TOKEN) -> DataFrame:
     """doc, tag and the repeated byte ranges (lo, hi) of each text that has any; ranges of a text may overlap."""
     own = docs.select(*_owned(docs)).fillna("", "text")
-    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    expected = size * 2 // (length - token + 2)  # anchors, of ordinary text
-    buckets = max(1, -(-expected // BUCKET))
-    found = materialize(sort_buckets(suffixes(own, length, token), buckets), "suffix-buckets", -(-buckets // 3))
+    units = materialize(suffixes(own, length, token), "suffix-units")  # hashed once: splitters and buckets come from what is written
+    buckets = max(1, -(-units.count() // BUCKET))
+    found = materialize(sort_buckets(units, buckets), "suffix-buckets", -(-buckets // 3))
+    release(units)
     edges = found.filter(F.col("kind") == _EDGE)
     n = edges.count()
     windows = materialize(sort_windows(with_text(edges, pack(own), length, token), max(1, -(-n // TEXT_BUCKET)), length), "suffix-windows")

@@ -85,3 +85,17 @@ def test_many_texts_without_an_id(spark):
     rows = [(None, f"{' '.join(word() for _ in range(22))}{' ' + passage if i % 50 == 0 else ''}") for i in range(5000)]
     rows += [(i, t[:110]) for i, (_, t) in zip([7] * 300 + [-(1 << 63)] * 300, rows[1:601])]
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+
+
+def test_a_text_of_one_byte_fills_buckets_of_the_planned_size(spark, monkeypatch):
+    """Such a text has an anchor a byte; buckets are planned from the anchors that there are."""
+    monkeypatch.setattr(suffixes, "BUCKET", 20_000)
+    rows = [(1, "z" * 200_000), (2, "ab" * 300 + "z" * 150), (3, "z" * 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = docs.select(*suffixes._owned(docs))
+    units = suffixes.suffixes(own)
+    n = units.count()
+    found = suffixes.sort_buckets(units, -(-n // suffixes.BUCKET))
+    assert n > 190_000 and found.select("bucket").distinct().count() >= 8
+    got = sorted(tuple(r) for r in suffixes.digests(suffixes.remove_repeats(docs)).collect())
+    assert got == sorted(brute(rows))
