@@ -69,9 +69,14 @@ def retained(rows: DataFrame, ident: str, parent: str, kept: Column, recent: Col
     return roots.unionByName(children.join(ids, F.col(parent) == F.col("__p"), "left_semi")).unionByName(children.filter(recent).join(ids, F.col(parent) == F.col("__p"), "left_anti"))
 
 
-def update_from(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """UPDATE ... FROM: columns of matching rows take the source's values; of source rows of one key the least counts, so no target row is multiplied."""
-    one = source.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("__new"))
+def update_from(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """UPDATE ... FROM: columns of matching rows take the source's values. ``source`` may itself be any join of tables.
+
+    Of source rows of one key the first in ``order`` (names; by default the columns themselves) counts, whole, so no target
+    row is multiplied and no values of two rows are mixed.
+    """
+    first = F.min_by(F.struct(*columns), F.struct(*(order or columns), *columns)).alias("__new")
+    one = source.groupBy(*keys).agg(first)
     own = one.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(f"__new.{c}").alias(f"__new_{c}") for c in columns], F.lit(True).alias("__hit"))
     on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in keys])
     joined = target.join(own, on, "left")

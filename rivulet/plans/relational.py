@@ -172,6 +172,22 @@ def update_from(spark, sf_dir):
     return joins.update_from(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), source, ["c_custkey"], ["c_mktsegment"])
 
 
+def update_from_joined(spark, sf_dir):
+    """Customers' segments from a full join of their orders and nations: the dearest order's priority, or the nation's name where there is no order."""
+    orders = table(spark, sf_dir, "orders").filter("o_custkey % 2 = 0").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority", "o_totalprice", "o_orderkey")
+    places = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "right").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), "n_name")
+    source = orders.join(places, F.col("c_custkey") == F.col("k"), "full").select(F.coalesce("c_custkey", "k").alias("c_custkey"), F.coalesce("o_orderpriority", "n_name").alias("c_mktsegment"), (-F.col("o_totalprice")).alias("cheap"), "o_orderkey")
+    target = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return joins.update_from(target, source, ["c_custkey"], ["c_mktsegment"], ["cheap", "o_orderkey"])
+
+
+UPDATE_JOINED = """
+WITH p AS (SELECT c_custkey AS k, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 = 0), o AS (SELECT * FROM orders WHERE o_custkey % 2 = 0),
+s AS (SELECT coalesce(o_custkey, k) AS c_custkey, coalesce(o_orderpriority, n_name) AS v FROM o FULL JOIN p ON o_custkey = k QUALIFY row_number() OVER (PARTITION BY coalesce(o_custkey, k) ORDER BY -o_totalprice, o_orderkey) = 1)
+SELECT c_custkey, coalesce(v, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN s USING (c_custkey)
+"""
+
+
 _KEYS = [("o_totalprice", True), ("o_orderkey", True)]
 
 
@@ -602,7 +618,7 @@ QUERIES = {
     "correlated_scalar": (correlated_scalar, f"SELECT c_custkey, (SELECT max({_CENTS.format('o_totalprice')}) FROM orders WHERE o_custkey = c_custkey) AS top, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer"),
     "fallback_key_join": (fallback_key_join, "WITH k AS (SELECT p_brand AS k, min(p_name) AS v FROM part GROUP BY 1 UNION ALL SELECT p_type, max(p_name) FROM part GROUP BY 1) SELECT p_partkey, coalesce(a.v, b.v, p_name) AS found FROM part LEFT JOIN k a ON a.k = CASE WHEN p_size > 25 THEN p_brand ELSE 'Brand#none' END LEFT JOIN k b ON b.k = CASE WHEN p_size > 10 THEN p_type END"),
     "band_match": (band_match, "WITH s AS (SELECT s_nationkey, s_suppkey, CAST(floor(s_acctbal) AS BIGINT) AS u FROM supplier) SELECT a.s_nationkey, a.s_suppkey AS a_id, b.s_suppkey AS b_id, a.u AS a_value, b.u AS b_value FROM s a JOIN s b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND abs(a.u - b.u) <= 500"),
-    "update_from": (update_from, "SELECT c_custkey, c_name, coalesce(p, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS p FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1) ON c_custkey = o_custkey"),
+    "update_from_joined": (update_from_joined, UPDATE_JOINED), "update_from": (update_from, "SELECT c_custkey, c_name, coalesce(p, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS p FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1) ON c_custkey = o_custkey"),
     "keyset_page_first": (keyset_page_first, _page_sql("true")), "keyset_page_next": (keyset_page_next, _page_sql("(o_totalprice, o_orderkey) < (250000.0, 5000)")), "keyset_page_prev": (keyset_page_prev, _page_sql("(o_totalprice, o_orderkey) > (250000.0, 5000)", True)),
     "midrank_percentile": (midrank_percentile, MIDRANK),
     "set_union_last_wins": (set_union_last_wins, "WITH a AS (SELECT c_nationkey AS k, max(c_custkey) AS v, 1 AS batch FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, max(s_suppkey), 2 FROM supplier GROUP BY 1) SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY k ORDER BY batch DESC) = 1"),

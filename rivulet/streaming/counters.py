@@ -1,4 +1,4 @@
-"""Windowed counters and alerts, on a batch and on a stream alike; :func:`day_over_day` and :func:`on_change` are for batches, :func:`changes` for a stream."""
+"""Windowed counters and alerts, on a batch and on a stream alike; for :func:`day_over_day` and :func:`on_change` of batches there are :func:`day_over_day_stream` and :func:`changes`."""
 
 from __future__ import annotations
 
@@ -36,13 +36,57 @@ def gated(counts: DataFrame, failed: str, total: str, least: int, threshold: flo
 
 
 def day_over_day(counts: DataFrame, value: str, keys: list[str], percent: float = 50.0) -> DataFrame:
-    """Each window beside the one a day earlier; ``triggered`` if it fell by the percentage or more. For batches: a stream's windows go through foreachBatch."""
+    """Each window beside the one a day earlier; ``triggered`` if it fell by the percentage or more. For batches."""
     before = counts.select((F.col("window_start") + F.expr("INTERVAL 1 DAY")).alias("window_start"), *keys, F.col(value).alias("before"))
     joined = counts.join(before, ["window_start", *keys])
     drop = F.when(F.col("before") > 0, (F.col("before") - F.col(value)) / F.col("before") * 100)
     return joined.withColumn("drop_percent", drop).withColumn("triggered", F.coalesce(drop >= percent, F.lit(False)))
 
 
+DAY_MS = 86_400_000
+
+
+class DayBefore(StatefulProcessor):
+    """State of a key: the values of its windows of the last day or so, by their start."""
+
+    def __init__(self, percent: float, kept_ms: int):
+        self.percent, self.kept_ms = percent, kept_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.values = handle.getMapState("values", "start_ms long", "value double")
+        self.newest = handle.getValueState("newest", "start_ms long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        out, newest = [], self.newest.get()[0] if self.newest.exists() else -1
+        for part in rows:
+            for start, value in zip(part["start_ms"].tolist(), part["value"].tolist()):
+                self.values.updateValue((start,), (value,))
+                newest = max(newest, start)
+                out += [self._compared(key, at) for at in (start, start + DAY_MS) if self.values.containsKey((at,)) and self.values.containsKey((at - DAY_MS,))]
+        self.newest.update((newest,))
+        for (start,) in [k for k in self.values.keys() if k[0] < newest - DAY_MS - self.kept_ms]:
+            self.values.removeKey((start,))
+        yield pd.DataFrame(out, columns=["key", "start_ms", "value", "before", "drop_percent", "triggered"])
+
+    def _compared(self, key: Any, at: int) -> tuple:
+        value, before = self.values.getValue((at,))[0], self.values.getValue((at - DAY_MS,))[0]
+        drop = (before - value) / before * 100 if before > 0 else None
+        return key[0], at, value, before, drop, drop is not None and drop >= self.percent
+
+    def close(self) -> None:
+        pass
+
+
+def day_over_day_stream(counts: DataFrame, value: str, key: Column, percent: float = 50.0, kept_ms: int = 3_600_000) -> DataFrame:
+    """(key, start_ms, value, before, drop_percent, triggered) of a stream's windows (window_start, ...), as :func:`day_over_day` of a batch.
+
+    A window is compared when both it and the one a day earlier have come, in either order; windows that are more than a day
+    and ``kept_ms`` older than the key's newest are forgotten. Needs the RocksDB state store.
+    """
+    own = counts.select(key.cast("string").alias("key"), F.unix_millis("window_start").alias("start_ms"), F.col(value).cast("double").alias("value"))
+    return own.groupBy("key").transformWithStateInPandas(DayBefore(percent, kept_ms), "key string, start_ms long, value double, before double, drop_percent double, triggered boolean", "Append", "None")
+
+
 def on_change(states: DataFrame, keys: list[str], order: str, state: str = "triggered") -> DataFrame:
     """Rows at which a state differs from the one before; the first only if it is triggered."""
     before = F.lag(state).over(Window.partitionBy(*keys).orderBy(order))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rivulet.operators import sessions
 from rivulet.plans.streams import rocks
-from rivulet.streaming import keyed, projectors, replay
+from rivulet.streaming import counters, keyed, projectors, replay
 
 UTC = datetime.timezone.utc
 
@@ -135,3 +135,17 @@ def test_a_failing_projector_repeats_alone(spark, tmp_path):
     put(spark, [event("a", 9, type="x")], tmp_path / "in", replay.SCHEMA)
     found.start(stream, str(tmp_path / "cp")).awaitTermination()
     assert calls[4:] == [("x", 1, [9]), ("y", 1, []), ("z", 1, [])]
+
+
+def test_day_over_day_equals_batch(spark, tmp_path):
+    at = lambda d, h: datetime.datetime(2024, 1, d, h, tzinfo=UTC)
+    schema = "window_start timestamp, kind string, n long"
+    parts = [[(at(1, 3), "a", 10), (at(1, 4), "a", 0), (at(2, 5), "a", 4), (at(1, 3), "b", 5)], [(at(2, 3), "a", 5), (at(2, 4), "a", 9), (at(1, 5), "a", 9)], [(at(3, 3), "a", 4), (at(3, 5), "a", 1), (at(4, 3), "b", 1)]]
+    with rocks(spark):
+        for part in parts:
+            put(spark, part, tmp_path / "in", schema)
+            drain(counters.day_over_day_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "n", F.col("kind"), kept_ms=6 * 3_600_000), tmp_path / "out", tmp_path / "cp")
+    got = sorted((r.key, r.start_ms, r.value, r.before, r.drop_percent, r.triggered) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    batch = counters.day_over_day(spark.createDataFrame([r for p in parts for r in p], schema), "n", ["kind"])
+    want = sorted((r.kind, int(r.window_start.replace(tzinfo=UTC).timestamp() * 1000) if r.window_start.tzinfo is None else int(r.window_start.timestamp() * 1000), float(r.n), float(r.before), r.drop_percent, r.triggered) for r in batch.collect())
+    assert got == want and len(got) == 5 and {g[-1] for g in got} == {True, False}
