@@ -31,8 +31,8 @@ from .store import materialize, release
 from .vectors import first_per, longest, matrix, packed, unpacked
 
 K, TABLES, PROBES, RECALL, SEED = 5, 4, 4, 0.96, 11
-#: Vectors and queries of a block, at most in the mean.
-BLOCK, QUERIES = 8192, 2048
+#: Vectors and queries of a block, at most in the mean; queries whose cosines with 1,024 vectors are in memory at once.
+BLOCK, QUERIES, STEP = 32_768, 32_768, 2_048
 #: Differences of cosines that rounding may make; what is this near is compared again by one fixed order of sums.
 SLACK = 1e-9
 
@@ -151,6 +151,8 @@ def probes_of(queries: DataFrame, width: int, tables: int, seed: int) -> DataFra
 
 def near_in(a: pa.Table, b: pa.Table, width: int, k: int) -> pa.Table:
     """(item, score, found, ids): of a block of queries and a block of a bucket, each query's k + 1 best items."""
+    if a.num_rows > STEP:
+        return pa.concat_tables([near_in(a.slice(at, STEP), b, width, k) for at in range(0, a.num_rows, STEP)])
     q, x = unpacked(a.column("v"), np.float64, width), unpacked(b.column("v"), np.float64, width)
     q_len, x_len = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
     qu, xu, need = q / q_len[:, None], x / x_len[:, None], a.column("need").to_numpy().copy()

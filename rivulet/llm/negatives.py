@@ -27,8 +27,16 @@ from .store import materialize, release
 from .vectors import first_per, longest, products, quantised, unpacked
 
 SCALE, POSITIVES, NEGATIVES, LOW, HIGH = 256, 5, 5, 80, 100
-#: Rows of a range, of a bucket within it, and anchors of a block.
-RANGE, BUCKET, BLOCK = 4096, 512, 2048
+#: Least and most rows of a range and anchors of a block: between them a 64th of the table, an 8th of the anchors. Each row goes
+#: once to each block and each anchor once to each range, so larger ones are sent less often.
+RANGE, BLOCK = (1_024, 65_536), (1_024, 65_536)
+#: Rows of a bucket, and anchors whose scores with it are in memory at once.
+BUCKET, STEP = 512, 1_024
+
+
+def _dealt(n: int, parts: int, bounds: tuple[int, int]) -> int:
+    """Into how many parts ``n`` rows go: ``parts`` at least, within the bounds of a part's size."""
+    return max(1, -(-n // min(bounds[1], max(bounds[0], n // parts))))
 
 
 def rows_by_norm(vectors: DataFrame, scale: int, width: int) -> DataFrame:
@@ -44,7 +52,7 @@ def rows_by_norm(vectors: DataFrame, scale: int, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(norm)], ["id", "label", "q", "norm"])
 
     made = materialize(q.mapInArrow(run, "id long, label string, q binary, norm double"), "negatives-rows")
-    ranges = max(1, -(-made.count() // RANGE))
+    ranges = _dealt(made.count(), 64, RANGE)
     sorted_rows = made.repartitionByRange(ranges, F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id")
     out = materialize(sorted_rows.withColumn("range", F.spark_partition_id()), "negatives-ranges")
     release(made)
@@ -79,6 +87,8 @@ def _scan(anchors: pa.Table, rows: pa.Table, width: int, slots: int, k: int, wan
 
     ``wanted(slot, scores, same_label)`` is the mask of pairs that may enter a slot; ``need`` is what the k-th best was before.
     """
+    if anchors.num_rows > STEP:
+        return pa.concat_tables([_scan(anchors.slice(at, STEP), rows, width, slots, k, wanted) for at in range(0, anchors.num_rows, STEP)])
     rows = rows.take(np.lexsort((rows.column("id").to_numpy(), -rows.column("norm").to_numpy())))
     a, b = unpacked(anchors.column("q"), np.int32, width), unpacked(rows.column("q"), np.int32, width)
     ids, norms, own, own_norm = rows.column("id").to_numpy(), rows.column("norm").to_numpy(), anchors.column("id").to_numpy(), anchors.column("norm").to_numpy()
@@ -120,7 +130,7 @@ def _best(found: DataFrame, k: int, tag: str) -> DataFrame:
 def search(anchors: DataFrame, rows: DataFrame, width: int, slots: int, k: int, wanted) -> DataFrame:
     """The k best rows of each anchor (no, id, label, q, norm, needs: a lower limit for each slot) in each slot, written."""
     tops = [(r["range"], r["top"]) for r in rows.groupBy("range").agg(F.max("norm").alias("top")).orderBy(F.desc("top"), "range").collect()]  # a row a range
-    blocks = max(1, -(-anchors.count() // BLOCK))
+    blocks = _dealt(anchors.count(), 8, BLOCK)
 
     def scanned(anchors: DataFrame, tops: list) -> DataFrame:
         left, right = _cells(anchors.withColumn("need", F.array_min("needs")), rows, tops, blocks)

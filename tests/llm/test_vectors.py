@@ -121,10 +121,11 @@ def brute_negatives(rows, every, scale=256):
     return out
 
 
-@pytest.mark.parametrize(("span", "block"), [(4096, 2048), (50, 7)])
-def test_negatives(frame, rows, monkeypatch, span, block):
-    monkeypatch.setattr(negatives, "RANGE", span)
-    monkeypatch.setattr(negatives, "BLOCK", block)
+@pytest.mark.parametrize(("span", "block", "step"), [(4096, 2048, 1024), (50, 7, 3)])
+def test_negatives(frame, rows, monkeypatch, span, block, step):
+    monkeypatch.setattr(negatives, "RANGE", (span, span))
+    monkeypatch.setattr(negatives, "BLOCK", (block, block))
+    monkeypatch.setattr(negatives, "STEP", step)
     monkeypatch.setattr(negatives, "BUCKET", 16)
     found = negatives.hard_negatives(frame.select("vec_id", "label", "embedding"), F.col("vec_id") % 10 == 0)
     got = [tuple(r) for r in found.collect()]
@@ -178,7 +179,8 @@ def test_few_candidates_are_all_found(spark):
 def test_blocks_of_a_bucket(frame, monkeypatch):
     whole = {tuple(r) for r in ann.search(frame, F.col("vec_id") % 10 == 0).collect()}
     monkeypatch.setattr(ann, "BLOCK", 5)
-    monkeypatch.setattr(ann, "QUERIES", 2)
+    monkeypatch.setattr(ann, "QUERIES", 4)
+    monkeypatch.setattr(ann, "STEP", 2)
     assert {tuple(r) for r in ann.search(frame, F.col("vec_id") % 10 == 0).collect()} == whole
 
 
