@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, jsons, numbers, text, userlib
-from ..operators import analytics, catalog, eventlog, findings, graph, joins, paging, rollup, search, sessions, usage
+from ..functions import dates, jsons, numbers, userlib
+from ..operators import analytics, catalog, eventlog, findings, graph, joins, paging, rollup, search, sessions
 from ..session import scratch
 from ..sources import files, lake, sinks
 from ..sources.files import table

@@ -25,8 +25,9 @@ class Retracted(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         delta = 0
         for part in rows:
+            part = part.sort_values("seq").drop_duplicates("message_id", keep="last")  # a read of state a message, not a version
             for message, seq, tokens in zip(part["message_id"].tolist(), part["seq"].tolist(), part["tokens"].tolist()):
-                before = self.newest.getValue((message,)) if self.newest.containsKey((message,)) else (-1, 0)
+                before = self.newest.getValue((message,)) or (-1, 0)
                 if seq > before[0]:
                     self.newest.updateValue((message,), (seq, tokens))
                     delta += tokens - before[1]
@@ -67,7 +68,7 @@ class Expiring(StatefulProcessor):
         out = []
         for part in rows:
             for start, n in (part["at_ms"] // self.length_ms * self.length_ms).value_counts().items():
-                before = self.counts.getValue((int(start),))[0] if self.counts.containsKey((int(start),)) else 0
+                before = (self.counts.getValue((int(start),)) or (0,))[0]
                 if not before:
                     self.handle.registerTimer(int(start) + self.length_ms + self.kept_ms)
                 self.counts.updateValue((int(start),), (before + int(n),))
