@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
+from ..session import written
 
 # Which part of a model's name tells its author, in order of precedence; suffixes that are no part of a
 # name; models that are not counted.
@@ -117,22 +118,11 @@ AVERAGED = ("avg_duration_ms", "avg_ttfb_ms", "avg_output_tps")
 PERCENTILES = ("p50_duration_ms", "p95_duration_ms", "p50_ttfb_ms", "p95_ttfb_ms")
 
 
-def measures(exact: bool = False) -> list[Column]:
-    total = lambda n: F.coalesce(F.sum(n), F.lit(0))
-    quantile = (lambda n, q: F.percentile(F.col(n), q)) if exact else (lambda n, q: F.percentile_approx(F.col(n).cast("double"), q))
-    return [
-        F.count_distinct("session").alias("sessions"), F.count(F.lit(1)).alias("requests"), F.count_distinct("user_key").alias("unique_users"),
-        *[total(f"tokens_{k}").alias(f"{k}_tokens") for k in ("input", "output", "reasoning", "cache_read", "total")],
-        *[total(f"cost_{k}_microcents").alias(f"{k}_cost_microcents") for k in ("input", "output", "total")],
-        *[x for n in ("duration_ms", "ttfb_ms") for x in (F.avg(n).alias(f"avg_{n}"), quantile(n, 0.5).alias(f"p50_{n}"), quantile(n, 0.95).alias(f"p95_{n}"))],
-        F.avg("output_tps").alias("avg_output_tps"),
-        F.count_if((F.col("status") >= 200) & (F.col("status") < 400)).alias("success_count"), F.count_if(F.col("status") >= 400).alias("error_count"), F.count(F.lit(1)).alias("sample_count"),
-    ]
-
-
 #: Size of the percentile sketches: a rank error of some 0.4 %, whatever the number of requests.
 SKETCH = 800
 SKETCHED = ("duration_ms", "ttfb_ms")
+#: Ranks between which the exact percentiles are looked for first, and the size of the sketches that give the values there.
+EDGES, EDGE_SKETCH = (0.49, 0.51, 0.94, 0.96), 400
 _KEYS = ("week_key", "day_key", "tier", "provider", "model", "country")
 _SETS = tuple((grain, *dims) for grain in ("week_key", "day_key") for dims in (("tier", "provider", "model"), ("tier", "provider"), ("tier", "country"), ("tier", "provider", "model", "country")))
 
@@ -168,15 +158,39 @@ def _labels() -> list[Column]:
 SET_KEYS = ("grain", "period_key", "dimension", "tier", "provider", "model", "country")
 
 
+def _place(keys: tuple[str, ...]) -> list[Column]:
+    """:data:`SET_KEYS` of a request in the set of ``keys``."""
+    label = lambda k: F.col(k) if k in keys else F.lit("all" if k == "provider" or (k == "model" and "country" in keys) else None).cast("string")
+    dimension = "geo_model" if {"country", "model"} <= set(keys) else "geo" if "country" in keys else "model" if "model" in keys else "provider"
+    return [F.lit(keys[0][:-4]).alias("grain"), F.col(keys[0]).alias("period_key"), F.lit(dimension).alias("dimension"), F.col("tier"), *[label(k).alias(k) for k in ("provider", "model", "country")]]
+
+
+def _spread(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """The sketched measures of each request once a set, beside the row of ``own`` (:data:`SET_KEYS` and more) for its group there."""
+    values = [F.col(k).cast("double").alias(k) for k in SKETCHED]
+    spread = _periods(rows).select(F.explode(F.array(*[F.struct(*_place(s)) for s in _SETS])).alias("at"), *values).select(*[F.col(f"at.{k}").alias(f"__{k}") for k in SET_KEYS], *SKETCHED)
+    return spread.join(own, reduce(lambda a, b: a & b, [F.col(f"__{k}").eqNullSafe(F.col(k)) for k in SET_KEYS]))
+
+
+def _sketches(size: int) -> list[Column]:
+    return [F.expr(f"kll_sketch_agg_double(cast({k} as double), {size})").alias(f"kll_{k}") for k in SKETCHED]
+
+
+def _merged_sketches(size: int) -> list[Column]:
+    return [F.expr(f"kll_merge_agg_double(kll_{k}, {size})").alias(f"kll_{k}") for k in SKETCHED]
+
+
+def _sketched(k: str, rank: float) -> Column:
+    return F.when(F.expr(f"kll_sketch_get_n_double(kll_{k})") > 0, F.expr(f"kll_sketch_get_quantile_double(kll_{k}, {rank}d)"))
+
+
 def grouped(rows: DataFrame, dataset: str, exact: bool = False) -> DataFrame:
     """Both grains and four dimensions, with all measures.
 
     Sums, counts and percentile sketches are made once, in the finest group, and merged up the sets. Distinct sessions and
     users are counted over the distinct pairs of finest group and session (or user), so a request is not sent once a set.
-    ``exact`` takes exact percentiles instead, in one pass over the requests.
+    ``exact`` takes :func:`exact_percentiles` instead of the sketches' own.
     """
-    if exact:
-        return _by_sets(_periods(rows), *_labels(), *measures(True)).withColumn("dataset", F.lit(dataset))
     periods, count = _periods(rows), F.count(F.lit(1))
     whole = {f"tokens_{k}": f"{k}_tokens" for k in ("input", "output", "reasoning", "cache_read", "total")} | {f"cost_{k}_microcents": f"{k}_cost_microcents" for k in ("input", "output", "total")}
     means = (*SKETCHED, "output_tps")
@@ -185,19 +199,18 @@ def grouped(rows: DataFrame, dataset: str, exact: bool = False) -> DataFrame:
         *[F.max(F.nullif(F.col(k), F.lit(""))).alias(k) for k in ("provider_model", "continent")],
         *[F.sum(k).alias(k) for k in whole],
         *[x for k in means for x in (F.sum(k).alias(f"sum_{k}"), F.count(k).alias(f"n_{k}"))],
-        *[F.expr(f"kll_sketch_agg_double(cast({k} as double), {SKETCH})").alias(f"kll_{k}") for k in SKETCHED],
+        *([] if exact else _sketches(SKETCH)),
     )
     total = lambda k, name: F.coalesce(F.sum(k), F.lit(0)).alias(name)
     own = _by_sets(
         base, *_labels(), total("n", "requests"), *[total(k, name) for k, name in whole.items()],
         *[F.try_divide(F.sum(f"sum_{k}"), F.sum(f"n_{k}")).alias(f"avg_{k}") for k in means],
         total("good", "success_count"), total("bad", "error_count"), total("n", "sample_count"),
-        *[F.expr(f"kll_merge_agg_double(kll_{k}, {SKETCH})").alias(f"kll_{k}") for k in SKETCHED],
+        *([] if exact else _merged_sketches(SKETCH)),
     )
-    for k in SKETCHED:
-        some = F.expr(f"kll_sketch_get_n_double(kll_{k})") > 0
-        own = own.withColumns({f"p{q}_{k}": F.when(some, F.expr(f"kll_sketch_get_quantile_double(kll_{k}, {q / 100}d)")) for q in (50, 95)}).drop(f"kll_{k}")
-    parts = [own]
+    if not exact:
+        own = own.withColumns({f"p{q}_{k}": _sketched(k, q / 100) for k in SKETCHED for q in (50, 95)}).drop(*[f"kll_{k}" for k in SKETCHED])
+    parts = [own, exact_percentiles(rows)] if exact else [own]
     for k, name in (("session", "sessions"), ("user_key", "unique_users")):
         parts.append(_by_sets(periods.select(*_KEYS, k).distinct(), F.count_distinct(k).alias(name)))
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -205,17 +218,51 @@ def grouped(rows: DataFrame, dataset: str, exact: bool = False) -> DataFrame:
     return both.groupBy(*SET_KEYS).agg(*[F.max(c).alias(c) for c in rest]).withColumn("dataset", F.lit(dataset))
 
 
+def exact_percentiles(rows: DataFrame) -> DataFrame:
+    """:data:`SET_KEYS` and the exact, interpolated :data:`PERCENTILES` of every group of the eight sets.
+
+    Sketches name values around each percentile, and counting all requests up to those values tells between which of them
+    it lies. Only what lies there is sorted, by ranges, so that no group is in one task. A poor sketch makes more to sort,
+    not another result.
+    """
+    c, edges = F.col, [(k, j) for k in SKETCHED for j in range(len(EDGES))]
+    near = _by_sets(_periods(rows).groupBy(*_KEYS).agg(*_sketches(EDGE_SKETCH)), *_merged_sketches(EDGE_SKETCH))
+    near = near.select(F.monotonically_increasing_id().alias("id"), *SET_KEYS, *[_sketched(k, EDGES[j]).alias(f"{k}_{j}") for k, j in edges])
+    near = written(near, "percentile-edges")  # sketches are random: what is counted and what is sorted must be cut at the same values
+    upto = [F.count_if(c(k) <= c(f"{k}_{j}")).alias(f"upto_{k}_{j}") for k, j in edges]
+    counts = _spread(rows, near).groupBy("id").agg(*[F.count(k).alias(f"n_{k}") for k in SKETCHED], *upto).join(near, "id")
+
+    def around(k: str, q: int) -> Column:
+        """Where the percentile stands (from 0), the edges that its neighbours are between, and how many values are up to the lower edge."""
+        place = (c(f"n_{k}") - 1) * F.lit(q / 100)
+        before = lambda x: F.greatest(*[F.when(c(f"upto_{k}_{j}") <= F.floor(place), x(j)) for j in range(len(EDGES))])
+        after = F.least(*[F.when(c(f"upto_{k}_{j}") > F.ceil(place), c(f"{k}_{j}")) for j in range(len(EDGES))])
+        return F.struct(place.alias("place"), before(lambda j: c(f"{k}_{j}")).alias("over"), after.alias("upto"), F.coalesce(before(lambda j: c(f"upto_{k}_{j}")), F.lit(0)).alias("skip"))
+
+    names = {f"p{q}_{k}": (k, q) for k in SKETCHED for q in (50, 95)}
+    wanted = written(counts.select("id", *SET_KEYS, *[around(k, q).alias(name) for name, (k, q) in names.items()]), "percentile-places")
+    inside = {name: c(k).isNotNull() & (c(f"{name}.over").isNull() | (c(k) > c(f"{name}.over"))) & (c(f"{name}.upto").isNull() | (c(k) <= c(f"{name}.upto"))) for name, (k, _) in names.items()}
+    found = _spread(rows, wanted).filter(reduce(lambda a, b: a | b, inside.values()))
+    found = found.select("id", F.explode(F.array(*[F.when(inside[name], F.struct(F.lit(name).alias("name"), c(f"{name}.skip").alias("skip"), c(f"{name}.place").alias("place"), c(k).alias("value"))) for name, (k, _) in names.items()])).alias("at"))
+    found = found.filter("at IS NOT NULL").select("id", "at.*").groupBy("id", "name", "skip", "place", "value").agg(F.count(F.lit(1)).alias("n"))
+    part = written(found.repartitionByRange("id", "name", "value").withColumn("part", F.spark_partition_id()), "percentile-values")
+    earlier = Window.partitionBy("id", "name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = part.groupBy("id", "name", "part").agg(F.sum("n").alias("size")).select("id", "name", "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("earlier"))
+    here = Window.partitionBy("id", "name", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    upto = part.withColumn("here", F.sum("n").over(here)).join(sizes, ["id", "name", "part"]).withColumn("upto", c("skip") + c("earlier") + c("here"))
+    least = lambda at: F.min(F.when(c("upto") > at(c("place")), c("value")))
+    both = upto.groupBy("id", "name", "place").agg(least(F.floor).alias("low"), least(F.ceil).alias("high"))
+    share = c("place") - F.floor("place")
+    value = F.when(c("low") == c("high"), c("low")).otherwise(c("low") * (1 - share) + c("high") * share)
+    values = both.groupBy("id").agg(*[F.max(F.when(c("name") == name, value)).alias(name) for name in names])
+    return wanted.select("id", *SET_KEYS).join(values, "id", "left").select(*SET_KEYS, *names)
+
+
 def percentile_ranks(rows: DataFrame, estimates: DataFrame, error: float = 0.01) -> DataFrame:
     """For each row of ``estimates`` (:data:`SET_KEYS` and percentiles) whether each percentile's rank among its requests is within ``error``."""
     tags = [F.when(F.col(name).isNotNull(), (F.count_if(F.col(k) < F.col(name)) / F.count(k) - error <= q / 100) & (F.count_if(F.col(k) <= F.col(name)) / F.count(k) + error >= q / 100)).alias(f"{name}_ok") for k in SKETCHED for q in (50, 95) for name in (f"p{q}_{k}",)]
-    label = lambda k, s: F.col(k) if k in s else F.lit("all" if k == "provider" or (k == "model" and "country" in s) else None).cast("string")
-    dimension = lambda s: "geo_model" if {"country", "model"} <= set(s) else "geo" if "country" in s else "model" if "model" in s else "provider"
-    place = lambda s: F.struct(F.lit(s[0][:-4]).alias("grain"), F.col(s[0]).alias("period_key"), F.lit(dimension(s)).alias("dimension"), F.col("tier"), *[label(k, s).alias(k) for k in ("provider", "model", "country")])
-    spread = _periods(rows).select(F.explode(F.array(*[place(s) for s in _SETS])).alias("at"), *SKETCHED).select(*[F.col(f"at.{k}").alias(f"__{k}") for k in SET_KEYS], *SKETCHED)
-    own = estimates.select(*SET_KEYS, *[f"p{q}_{k}" for k in SKETCHED for q in (50, 95)])
-    met = spread.join(own, reduce(lambda a, b: a & b, [F.col(f"__{k}").eqNullSafe(F.col(k)) for k in SET_KEYS]))
     names = [f"p{q}_{k}" for k in SKETCHED for q in (50, 95)]
-    return met.groupBy(*SET_KEYS, *names).agg(*tags).drop(*names)
+    return _spread(rows, estimates.select(*SET_KEYS, *names)).groupBy(*SET_KEYS, *names).agg(*tags).drop(*names)
 
 
 def merged(rows: DataFrame, keys: list[str], added: tuple[str, ...] = ADDED, averaged: tuple[str, ...] = AVERAGED, percentiles: tuple[str, ...] = PERCENTILES, weight: str = "requests") -> DataFrame:

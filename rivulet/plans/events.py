@@ -44,13 +44,12 @@ _HALF = lambda e, n: f"floor({e} * {10**n} + 0.5) / {10**n}"
 
 
 def stats_rollup(spark, sf_dir):
-    """All eight sets; percentiles, which are sketches, are checked by their ranks in rollup_percentile_ranks."""
-    return rounded(rollup.grouped(requests(spark, sf_dir), "all").drop(*rollup.PERCENTILES), *rollup.AVERAGED, places=8)
+    """All eight sets and all measures, the percentiles exact; those of sketches are checked by their ranks in rollup_percentile_ranks."""
+    return rounded(rollup.grouped(requests(spark, sf_dir), "all", exact=True), *_AVERAGES, places=8)
 
 
 def rollup_exact_percentiles(spark, sf_dir):
-    out = rollup.grouped(requests(spark, sf_dir), "all", exact=True).select(*rollup.SET_KEYS, *rollup.PERCENTILES)
-    return rounded(out, *rollup.PERCENTILES, places=8)
+    return rounded(rollup.exact_percentiles(requests(spark, sf_dir)), *rollup.PERCENTILES, places=8)
 
 
 def rollup_percentile_ranks(spark, sf_dir):
@@ -72,7 +71,7 @@ SELECT {SET_KEYS}, 'all' AS dataset,
  count(DISTINCT session) AS sessions, count(*) AS requests, count(DISTINCT user_key) AS unique_users,
  CAST(sum(k) AS BIGINT) AS input_tokens, CAST(sum(k * 2) AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS reasoning_tokens, CAST(0 AS BIGINT) AS cache_read_tokens, CAST(sum(k * 3) AS BIGINT) AS total_tokens,
  CAST(sum(cents) AS BIGINT) AS input_cost_microcents, CAST(sum(cents) AS BIGINT) AS output_cost_microcents, CAST(sum(cents * 2) AS BIGINT) AS total_cost_microcents,
- {', '.join(f'{_HALF(_AVERAGES[n], 8)} AS {n}' for n in rollup.AVERAGED)},
+ {', '.join(f'{_HALF(e, 8)} AS {n}' for n, e in _AVERAGES.items())},
  count(*) FILTER (status >= 200 AND status < 400) AS success_count, count(*) FILTER (status >= 400) AS error_count, count(*) AS sample_count
 FROM r {BY_SETS}
 """
