@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ MICRO = 1_000_000
 
 
 def half_up(c: Column, places: int = 0) -> Column:
-    """Rounded half towards plus infinity: -2.5 gives -2."""
+    """Rounded half towards plus infinity: -2.5 gives -2. To no places, longs stay as they are: the half is a decimal, as a double's sum is not exact beyond 2**53."""
+    if not places:
+        return F.floor(c + F.lit(Decimal("0.5"))).cast("long")
     scale = 10**places
-    out = F.floor(c * scale + F.lit(0.5))
-    return out.cast("long") if not places else out / scale
+    return F.floor(c * scale + F.lit(0.5)) / scale
 
 
 def cents_to_micro(c: Column) -> Column:
@@ -51,8 +54,9 @@ def usd(c: Column) -> Column:
 
 
 def compact(c: Column) -> Column:
-    """1234567 as "1.2M", 1234 as "1.2K"."""
-    return F.when(c >= 1_000_000, F.concat(F.format_number(c / 1_000_000, 1), F.lit("M"))).when(c >= 1000, F.concat(F.format_number(c / 1000, 1), F.lit("K"))).otherwise(c.cast("string"))
+    """1234567 as "1.2M", 1234 as "1.2K"; thousands are not grouped: 999999 as "1000.0K"."""
+    tenths = lambda x: F.call_function("format_number", x, F.lit("0.0"))
+    return F.when(c >= 1_000_000, F.concat(tenths(c / 1_000_000), F.lit("M"))).when(c >= 1000, F.concat(tenths(c / 1000), F.lit("K"))).otherwise(c.cast("string"))
 
 
 def processing_fee(cents: Column, percent: float, fixed_cents: int) -> Column:
